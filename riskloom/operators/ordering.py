@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import materialize
+
 BINS_PER_OCTAVE = 1 << 20
 COARSE_SHIFT = 12
 
@@ -31,27 +33,32 @@ def order_key(value: Column) -> Column:
     return F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("bigint")
 
 
-def _before(sums: Sequence[str], window) -> list[Column]:
-    return [(F.sum(s).over(window) - F.col(s)).alias(f"_before_{s}") for s in sums]
-
+def _coarse_bins(keyed: DataFrame, by: list[str], sums: list[str], descending: bool) -> DataFrame:
+    """Per coarse bin: its totals, the totals ahead of it and the group's totals.
 
-def bin_offsets(keyed: DataFrame, by: list[str], sums: list[str], descending: bool) -> DataFrame:
-    """Per fine bin: its totals and the totals of every bin ahead of it."""
-    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    fine = keyed.groupBy(*by, "_coarse", "_fine").agg(*[F.sum(s).alias(s) for s in sums])
-    coarse = fine.groupBy(*by, "_coarse").agg(*[F.sum(s).alias(s) for s in sums])
-    ahead = coarse.select(
+    A group has at most a few hundred thousand coarse bins by the range of a double, typically
+    a few thousand, so this window is bounded even without a partition key.
+    """
+    coarse = keyed.groupBy(*by, "_coarse").agg(*[F.sum(s).alias(s) for s in sums])
+    group = Window.partitionBy(*by)
+    ordered = group.orderBy(F.desc("_coarse") if descending else F.asc("_coarse"))
+    return coarse.select(
         *by, "_coarse",
-        *[c.alias(f"_ahead_{s}") for s, c in zip(
-            sums, _before(sums, Window.partitionBy(*by).orderBy(order("_coarse"))))],
-    )
-    within = fine.select(
-        *by, "_coarse", "_fine", *sums,
-        *_before(sums, Window.partitionBy(*by, "_coarse").orderBy(order("_fine"))),
+        *[F.col(s).alias(f"_bin_{s}") for s in sums],
+        *[(F.sum(s).over(ordered) - F.col(s)).alias(f"_ahead_{s}") for s in sums],
+        *[F.sum(s).over(group).alias(f"_all_{s}") for s in sums],
     )
-    joined = within.join(ahead, [*by, "_coarse"])
-    return joined.select(
-        *by, "_fine",
+
+
+def _fine_bins(keyed: DataFrame, coarse: DataFrame, by: list[str], sums: list[str], descending: bool) -> DataFrame:
+    """Per fine bin: its totals and the totals of every bin ahead of it, plus the columns of ``coarse``."""
+    fine = keyed.groupBy(*by, "_coarse", "_fine").agg(*[F.sum(s).alias(s) for s in sums])
+    inner = Window.partitionBy(*by, "_coarse").orderBy(F.desc("_fine") if descending else F.asc("_fine"))
+    within = fine.select(*by, "_coarse", "_fine", *sums,
+                         *[(F.sum(s).over(inner) - F.col(s)).alias(f"_before_{s}") for s in sums])
+    extra = [c for c in coarse.columns if c not in (*by, "_coarse") and not c.startswith(("_bin_", "_ahead_"))]
+    return within.join(coarse.drop(*[f"_bin_{s}" for s in sums]), [*by, "_coarse"]).select(
+        *by, "_coarse", "_fine", *extra,
         *[F.col(s).alias(f"_bin_{s}") for s in sums],
         *[(F.col(f"_before_{s}") + F.col(f"_ahead_{s}")).alias(f"_offset_{s}") for s in sums],
     )
@@ -66,13 +73,13 @@ def running_totals(df: DataFrame, value: str, sums: list[str], by: Sequence[str]
                    descending: bool = False) -> DataFrame:
     """Add ``cum_<s>``: the inclusive running total of each sum in value order.
 
-    ``df`` holds one row per (by, value).
+    ``df`` holds one row per (by, value). It is read three times, so it is written out first.
     """
     by = list(by)
-    keyed = with_keys(df, value)
-    offsets = bin_offsets(keyed, by, sums, descending)
+    keyed = materialize(with_keys(df, value))
+    offsets = _fine_bins(keyed, _coarse_bins(keyed, by, sums, descending), by, sums, descending)
     window = Window.partitionBy(*by, "_fine").orderBy(F.desc(value) if descending else F.asc(value))
-    joined = keyed.join(offsets, [*by, "_fine"])
+    joined = keyed.join(offsets.drop("_coarse"), [*by, "_fine"])
     return joined.select(
         *df.columns,
         *[(F.sum(s).over(window) + F.col(f"_offset_{s}")).alias(f"cum_{s}") for s in sums],
@@ -91,37 +98,29 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         known.select(*by, F.col(value).cast("double").alias("_v"))
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    keyed = with_keys(counts, "_v")
-    offsets = bin_offsets(keyed, by, ["_n"], descending=False)
-    total = offsets.groupBy(*by).agg(F.sum("_bin__n").alias("_total"))
-    # (rank position, fraction) of every wanted quantile; both neighbours are looked up.
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("q"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
-                       for p in probs])
-    targets = (
-        total.select(*by, F.explode(wanted).alias("w"))
-        .select(*by, F.col("w.q").alias("q"), F.col("w.pos").alias("_pos"),
-                F.explode(F.array_distinct(F.array(F.floor("w.pos"), F.ceil("w.pos")))).alias("_rank"))
-    )
-    ranks = targets.groupBy(*by).agg(F.array_sort(F.collect_set("_rank")).alias("_ranks"))
-    if by:
-        marked = offsets.join(ranks, by)
-    else:
-        marked = offsets.withColumn("_ranks", ranks.scalar())
-    inside = lambda first, n: F.filter("_ranks", lambda r: (r >= first) & (r < first + n))
-    bins = marked.select(
-        *by, "_fine", "_offset__n", inside(F.col("_offset__n"), F.col("_bin__n")).alias("_ranks"),
-    ).where(F.size("_ranks") > 0)
+    keyed = materialize(with_keys(counts, "_v"))
+    # Both neighbours of every wanted position travel down to the one bin that holds them.
+    pos = lambda p: p * (F.col("_all__n") - 1)
+    ends = F.flatten(F.transform(F.lit([float(p) for p in probs]), lambda p: F.array(
+        F.struct(p.alias("q"), pos(p).alias("pos"), F.floor(pos(p)).alias("rank")),
+        F.struct(p.alias("q"), pos(p).alias("pos"), F.ceil(pos(p)).alias("rank")))))
+    inside = lambda items, first, n: F.filter(items, lambda w: (w["rank"] >= first) & (w["rank"] < first + n))
+    held = F.size("_wanted") > 0
+    coarse = _coarse_bins(keyed, by, ["_n"], descending=False).withColumn(
+        "_wanted", inside(ends, F.col("_ahead__n"), F.col("_bin__n"))).where(held)
+    bins = _fine_bins(keyed, coarse, by, ["_n"], descending=False).withColumn(
+        "_wanted", inside(F.col("_wanted"), F.col("_offset__n"), F.col("_bin__n"))).where(held)
+    bins = bins.select(*by, "_fine", "_offset__n", "_wanted")
     window = Window.partitionBy(*by, "_fine").orderBy("_v")
     first = F.sum("_n").over(window) - F.col("_n") + F.col("_offset__n")
     found = (
-        keyed.join(bins, [*by, "_fine"])
-        .withColumn("_first", first)
-        .select(*by, "_v", F.explode(inside(F.col("_first"), F.col("_n"))).alias("_rank"))
+        keyed.join(bins, [*by, "_fine"]).withColumn("_first", first)
+        .select(*by, "_v", F.explode(inside(F.col("_wanted"), F.col("_first"), F.col("_n"))).alias("w"))
     )
-    joined = targets.join(found, [*by, "_rank"])
-    ends = joined.groupBy(*by, "q", "_pos").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    pair = found.groupBy(*by, F.col("w.q").alias("q"), F.col("w.pos").alias("_pos")).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     frac = F.col("_pos") - F.floor("_pos")
-    return ends.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+    return pair.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
 
 
 def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:

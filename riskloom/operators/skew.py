@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A hot key holds more than 1/SHARE of the rows, so there are fewer than SHARE hot keys.
 SHARE = 500
+# A lookup table is broadcast only after a count has shown it to be at most this long.
+BROADCAST_ROWS = 50_000
 
 
 class DuplicateKey(ValueError):
@@ -19,6 +21,11 @@ def check_unique(df: DataFrame, key: str) -> None:
         raise DuplicateKey(f"{key} repeats, e.g. {[r[key] for r in repeated]}")
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """True when the table holds at most ``limit`` rows; reads no more than one row past it."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def dominant_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
     """Keys holding more than 1/SHARE of the rows (at most SHARE - 1 of them, by counting)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -27,18 +34,22 @@ def dominant_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
     return [r[key] for r in heavy.collect()]
 
 
-def left_lookup(facts: DataFrame, dim: DataFrame, key: str, hot: list | None = None) -> DataFrame:
-    """Many-to-one left join with the hot keys of the fact side taken out of the shuffle.
+def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCAST_ROWS,
+                hot_rows: int = 1_000_000) -> DataFrame:
+    """Many-to-one left join; ``dim`` holds one row per key.
 
-    ``hot`` comes from :func:`dominant_keys`: at most SHARE - 1 keys, and ``dim`` holds one row
-    per key, so the broadcast side has a proven bound. The other keys use whatever join
-    Spark picks from the real sizes.
+    A table counted to be small is broadcast. A larger one is joined by shuffle, with the hot
+    keys of the fact side taken out first: they are few by counting, so their lookup rows
+    (one each) are broadcast and their facts never meet in one task.
     """
-    if not hot:
-        return facts.join(dim, key, "left")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread = facts.where(is_hot).join(F.broadcast(dim.where(F.col(key).isin(hot))), key, "left")
-    return facts.where(~is_hot).join(dim, key, "left").unionByName(spread)
+    if is_small(dim, small):
+        return facts.join(F.broadcast(dim), key, "left")
+    hot = dominant_keys(facts, key, hot_rows)
+    # A NULL key matches nothing, so its rows need no shuffle either.
+    apart = facts[key].isNull() | facts[key].isin(hot) if hot else facts[key].isNull()
+    few = dim.where(F.col(key).isin(hot)) if hot else dim.limit(0)
+    spread = facts.where(apart).join(F.broadcast(few), key, "left")
+    return facts.where(~apart).join(dim, key, "left").unionByName(spread)
 
 
 def crowded_keys(df: DataFrame, key: str, limit: int) -> DataFrame:

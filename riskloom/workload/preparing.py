@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import features, parsing
 from riskloom.operators import context, splits
-from riskloom.operators.ordering import exact_quantiles
-from riskloom.operators.skew import dominant_keys, left_lookup
+from riskloom.operators.skew import left_lookup
 from riskloom.operators.velocity import add_velocity
 from riskloom.operators import medians
 from riskloom.workload.tables import (CARD, ENRICHED, TXN, USER, cards, enriched, read, split_sql,
@@ -104,9 +103,8 @@ def card_age(spark, sf):
   LEFT JOIN (SELECT r_regionkey AS code, r_name AS name FROM region) m ON t.k % 7 = m.code""")
 def join_context(spark, sf):
     t = transactions(spark, sf)
-    hot = dominant_keys(t, "card_id")
     names = read(spark, sf, "region").select(F.col("r_regionkey").alias("mcc"), F.col("r_name").alias("name"))
-    joined = left_lookup(left_lookup(t, cards(spark, sf), "card_id", hot), users(spark, sf), "client_id", hot)
+    joined = left_lookup(left_lookup(t, cards(spark, sf), "card_id"), users(spark, sf), "client_id")
     joined = joined.withColumn("mcc", F.col("k") % 7)
     return left_lookup(joined, names, "mcc").select(
         "id", "card_brand", "card_type", parsing.money(F.col("credit_limit")).alias("credit_limit"), "home_state",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import parsing
-from riskloom.operators.skew import dominant_keys, left_lookup
+from riskloom.operators.skew import left_lookup
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -103,9 +103,8 @@ USER = """u AS (
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions joined to cards and users, cleaned: the frame features are built from."""
     t = transactions(spark, sf)
-    hot = dominant_keys(t, "card_id")
-    joined = left_lookup(t, cards(spark, sf), "card_id", hot)
-    joined = left_lookup(joined, users(spark, sf), "client_id", hot)
+    joined = left_lookup(t, cards(spark, sf), "card_id")
+    joined = left_lookup(joined, users(spark, sf), "client_id")
     return joined.withColumns({
         "has_chip": parsing.yes_flag(F.col("has_chip")),
         "card_on_dark_web": parsing.yes_flag(F.col("card_on_dark_web")),
