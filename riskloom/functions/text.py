@@ -41,7 +41,7 @@ def four_digits(x: Column) -> Column:
     """Four significant digits, trailing zeros dropped, scientific outside 1e-4..1e4."""
     sci = F.format_string("%.3e", x)
     exponent = F.substring_index(sci, "e", -1).cast("int")
-    fixed = F.format_number(x, F.greatest(F.lit(3) - exponent, F.lit(0)))
+    fixed = F.call_function("format_number", x, F.greatest(F.lit(3) - exponent, F.lit(0)))
     trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
     mantissa = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.?0+$", "")
     return (

@@ -1,9 +1,9 @@
 """All registered queries: name -> (Spark function, SQL twin or None)."""
 
-from riskloom.workload import measuring, preparing
+from riskloom.workload import deciding, measuring, preparing
 
 QUERIES: dict = {}
-for module in (preparing, measuring):
+for module in (preparing, measuring, deciding):
     clash = QUERIES.keys() & module.Q.keys()
     if clash:
         raise ValueError(f"query registered twice: {sorted(clash)}")
