@@ -25,7 +25,7 @@ def with_contributions(fitted: Fitted, df: DataFrame, train: DataFrame | None =
                        prefix: str = "_contrib_") -> DataFrame:
     """Add ``<prefix><feature>`` for every feature. The linear member needs training rows for its means."""
     head = fitted.model
-    vectors = model_inputs(df)
+    vectors = model_inputs(df, fitted.name, fitted.levels)
     for stage in head.stages[:-1]:
         vectors = stage.transform(vectors)
     rows = vectors.select(*df.columns, vector_to_array("features").alias("_v"))
@@ -37,7 +37,7 @@ def with_contributions(fitted: Fitted, df: DataFrame, train: DataFrame | None =
 
 
 def _linear(fitted: Fitted, rows: DataFrame, train: DataFrame) -> DataFrame:
-    vectors = model_inputs(train)
+    vectors = model_inputs(train, fitted.name, fitted.levels)
     for stage in fitted.model.stages[:-1]:
         vectors = stage.transform(vectors)
     mean = vectors.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
@@ -55,7 +55,8 @@ def read_leaves(fitted: Fitted, spark) -> list[tuple[float, list[tuple]]]:
     """Every leaf as (value, path); a path step is (slot, threshold, left categories, goes left, cover share)."""
     path = scratch(spark, "trees")
     fitted.model.stages[-1].write().overwrite().save(path)
-    weights = [r["weights"] for r in spark.read.parquet(f"{path}/treesMetadata").orderBy("treeID").collect()]
+    meta = spark.read.parquet(f"{path}/treesMetadata")  # (tree, metadata, weight), by position
+    weights = [r[2] for r in sorted(meta.collect(), key=lambda r: r[0])]
     nodes: dict[int, dict] = {}
     for r in spark.read.parquet(f"{path}/data").collect():  # numTrees x nodes per tree: set by the parameters
         nodes.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]

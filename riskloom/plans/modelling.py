@@ -6,9 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.weights import combined_weight, effective_sample_size
@@ -37,7 +37,18 @@ class Fitted:
     info: dict = field(default_factory=dict)
 
 
-def model_inputs(df: DataFrame) -> DataFrame:
+def _one_hot_columns(levels: dict[str, list[str]]) -> dict[str, Column]:
+    """One 0/1 column per trained level, per missing marker and for anything unseen."""
+    made = {}
+    for c, t in zip(CATEGORICAL, TEXTS):
+        known = [*levels.get(c, []), MISSING]
+        for i, level in enumerate(known):
+            made[f"_h_{c}_{i}"] = (F.col(t) == F.lit(level)).cast("double")
+        made[f"_h_{c}_{len(known)}"] = (~F.col(t).isin(known)).cast("double")
+    return made
+
+
+def model_inputs(df: DataFrame, name: str, levels: dict[str, list[str]]) -> DataFrame:
     """Columns a Spark learner can take: missing numbers become 0 plus a flag, missing text a level."""
     made = {}
     for c, x, na in zip(NUMERIC, NUMBERS, GAPS):
@@ -47,7 +58,8 @@ def model_inputs(df: DataFrame) -> DataFrame:
         made[na] = (~known).cast("double")
     for c, t in zip(CATEGORICAL, TEXTS):
         made[t] = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    return df.withColumns(made)
+    out = df.withColumns(made)
+    return out.withColumns(_one_hot_columns(levels)) if name == "linear" else out
 
 
 def feature_slots(levels: dict[str, list[str]], one_hot: bool) -> list[int]:
@@ -65,10 +77,8 @@ def _stages(name: str, levels: dict[str, list[str]], params: dict) -> list:
     common = {"featuresCol": "features", "labelCol": LABEL, "weightCol": "weight", **DEFAULTS[name], **params}
     bins = max(32, max(len(k) for k in known) + 2)
     if name == "linear":
-        hot = [f"{c}_hot" for c in CODES]
-        encode = OneHotEncoder(inputCols=CODES, outputCols=hot, dropLast=False)
-        return [index, encode, VectorAssembler(inputCols=[*NUMBERS, *GAPS, *hot], outputCol="features"),
-                LogisticRegression(**common)]
+        hot = list(_one_hot_columns(levels))
+        return [VectorAssembler(inputCols=[*NUMBERS, *GAPS, *hot], outputCol="features"), LogisticRegression(**common)]
     gather = VectorAssembler(inputCols=[*NUMBERS, *GAPS, *CODES], outputCol="features")
     if name == "gbt":
         return [index, gather, GBTClassifier(seed=42, maxBins=bins, validationIndicatorCol="_held", **common)]
@@ -89,7 +99,7 @@ def fit(name: str, train: DataFrame, val_fit: DataFrame, levels: dict[str, list[
     rows = weighted.select(*keep, F.lit(False).alias("_held"))
     if name == "gbt":
         rows = rows.unionByName(val_fit.withColumn("weight", F.lit(1.0)).select(*keep, F.lit(True).alias("_held")))
-    model = Pipeline(stages=_stages(name, levels, params or {})).fit(model_inputs(rows))
+    model = Pipeline(stages=_stages(name, levels, params or {})).fit(model_inputs(rows, name, levels))
     stats = weighted.agg(F.count(F.lit(1)).alias("rows_used"), F.sum(LABEL).alias("frauds_used")).first()
     info = {"rows_used": stats[0], "frauds_used": stats[1], "recency_half_life_days": half_life or 0,
             "effective_sample_size": round(effective_sample_size(weighted).first()[0], 1)}
@@ -99,7 +109,7 @@ def fit(name: str, train: DataFrame, val_fit: DataFrame, levels: dict[str, list[
 def predict(fitted: Fitted, df: DataFrame, into: str | None = None) -> DataFrame:
     """Add the fraud probability as a column."""
     into = into or fitted.name
-    scored = fitted.model.transform(model_inputs(df))
+    scored = fitted.model.transform(model_inputs(df, fitted.name, fitted.levels))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(into))
 
 
