@@ -19,21 +19,23 @@ class Leakage(AssertionError):
 
 
 def by_time(df: DataFrame, fractions: dict[str, float], ts: str = "date", key: str = "id",
-            into: str = "split") -> DataFrame:
+            into: str = "split", source: DataFrame | None = None) -> DataFrame:
     """Label each row by its place on the timeline: the first ``int(n * fraction)`` rows get the
     first name and so on; ties on the timestamp fall back to the key.
 
     Only the boundary rows are searched for. Labelling is then a comparison with constants: no
-    row moves, whatever the size of a single day.
+    row moves, whatever the size of a single day. ``source`` names a cheaper frame with the same
+    rows (say, the table before joins and windows) to search in.
     """
     names = list(fractions)
-    n = df.count()
+    base = df if source is None else source
+    n = base.count()
     ends, start = [], 0
     for name in names[:-1]:
         start += int(n * fractions[name])
         ends.append(start)
     us, k = clock(F.col(ts)), F.col(key)
-    cuts = rank_cuts(df, us, k, [e for e in sorted(set(ends)) if e < n])
+    cuts = rank_cuts(base, us, k, [e for e in sorted(set(ends)) if e < n])
     found = dict(zip([e for e in sorted(set(ends)) if e < n], cuts))
     label = F.lit(names[-1])
     for name, end in reversed(list(zip(names[:-1], ends))):
@@ -46,8 +48,8 @@ def by_time(df: DataFrame, fractions: dict[str, float], ts: str = "date", key: s
     return df.withColumn(into, label)
 
 
-def time_split(df: DataFrame, ts: str = "date", key: str = "id") -> DataFrame:
-    return by_time(df, SPLIT_FRACTIONS, ts, key)
+def time_split(df: DataFrame, ts: str = "date", key: str = "id", source: DataFrame | None = None) -> DataFrame:
+    return by_time(df, SPLIT_FRACTIONS, ts, key, source=source)
 
 
 def val_cut(df: DataFrame, ts: str = "date", key: str = "id") -> DataFrame:

@@ -63,7 +63,7 @@ def build(rows: DataFrame) -> Prepared:
     the training split alone. The split and the windows are computed once and written out, since
     medians, checks and the final table all read them.
     """
-    split = materialize(splits.time_split(add_velocity(rows)))
+    split = materialize(splits.time_split(add_velocity(rows), source=rows))
     fitted = medians.fit(split.where("split = 'train'"))
     table = medians.apply(row_features(split), fitted)
     splits.assert_no_leakage(split)
@@ -77,7 +77,8 @@ def run(spark: SparkSession, raw: str, out: str) -> Prepared:
     joined = join_context(rows, readers.read_cards(spark, f"{raw}/cards_data.csv"),
                           readers.read_users(spark, f"{raw}/users_data.csv"),
                           readers.read_codes(spark, f"{raw}/mcc_codes.json"))
-    prepared = build(clean(joined))
+    # Text is parsed once; counts, boundaries and windows then read single columns of a columnar table.
+    prepared = build(materialize(clean(joined)))
     sinks.write_splits(prepared.table, f"{out}/splits")
     sinks.write_small(prepared.medians.category, f"{out}/category_medians")
     sinks.write_small(prepared.medians.overall, f"{out}/global_median")

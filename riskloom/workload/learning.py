@@ -58,7 +58,7 @@ def csv_scan(spark, sf):
 def split_table_scan(spark, sf):
     """The split table on disk: partition pruning on the split, column pruning on the projection."""
     path = scratch(spark, "splits")
-    f = splits.time_split(frame(spark, sf))
+    f = splits.time_split(frame(spark, sf), source=transactions(spark, sf))
     sinks.write_splits(f, path)
     return readers.read_split(spark, path, "test", ["id", "abs_amount"]).withColumn("abs_amount", F.round("abs_amount", 6))
 
@@ -77,11 +77,24 @@ def review_log_scan(spark, sf):
 # ----------------------------------------------------------------------------- modelling
 
 
+_kept: dict = {}
+
+
+def _once(spark, key, make):
+    """Queries of one session share the prepared rows and the fitted models."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def _modelling_rows(spark, sf):
-    f = splits.val_cut(splits.time_split(frame(spark, sf)))
-    rows = materialize(f.select("id", "date", "split", *FEATURES, "is_fraud"))
-    levels = requests.levels_dict(context.learn_levels(rows.where("split = 'train'")))
-    return rows, levels
+    def make():
+        f = splits.time_split(frame(spark, sf), source=transactions(spark, sf))
+        rows = splits.val_cut(materialize(f.select("id", "date", "split", *FEATURES, "is_fraud")))
+        levels = requests.levels_dict(context.learn_levels(rows.where("split = 'train'")))
+        return rows, levels
+    return _once(spark, ("rows", sf), make)
 
 
 def _part(rows, name):
@@ -91,8 +104,10 @@ def _part(rows, name):
 SMALL = {"gbt": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 5, "maxDepth": 4}, "linear": {"maxIter": 10}}
 
 
-def _fit(rows, levels, name, half_life=10.0):
-    return modelling.fit(name, _part(rows, "train"), _part(rows, "val_fit"), levels, SMALL[name], half_life)
+def _fit(spark, sf, name, half_life=10.0):
+    rows, levels = _modelling_rows(spark, sf)
+    return _once(spark, ("model", sf, name), lambda: modelling.fit(
+        name, _part(rows, "train"), _part(rows, "val_fit"), levels, SMALL[name], half_life))
 
 
 @query()
@@ -101,7 +116,7 @@ def model_scores(spark, sf):
     rows, levels = _modelling_rows(spark, sf)
     later = rows.where("split <> 'train'")
     for name in modelling.FAMILIES:
-        later = modelling.predict(_fit(rows, levels, name), later, name)
+        later = modelling.predict(_fit(spark, sf, name), later, name)
     return later.select("id", "split", F.inline(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in modelling.FAMILIES])))
 
@@ -110,14 +125,14 @@ def model_scores(spark, sf):
 def tree_attribution(spark, sf):
     """Shapley contributions of the boosted model for each test row."""
     rows, levels = _modelling_rows(spark, sf)
-    out = attribution.with_contributions(_fit(rows, levels, "gbt"), _part(rows, "test").select("id", *FEATURES))
+    out = attribution.with_contributions(_fit(spark, sf, "gbt"), _part(rows, "test").select("id", *FEATURES))
     return out.select("id", *[c for c in out.columns if c.startswith("_contrib_")])
 
 
 @query()
 def linear_attribution(spark, sf):
     rows, levels = _modelling_rows(spark, sf)
-    out = attribution.with_contributions(_fit(rows, levels, "linear"), _part(rows, "test").select("id", *FEATURES),
+    out = attribution.with_contributions(_fit(spark, sf, "linear"), _part(rows, "test").select("id", *FEATURES),
                                          _part(rows, "train"))
     return out.select("id", *[c for c in out.columns if c.startswith("_contrib_")])
 
@@ -127,7 +142,7 @@ def top_factors(spark, sf):
     """The six strongest factors of each test row with their evidence."""
     rows, levels = _modelling_rows(spark, sf)
     train = _part(rows, "train")
-    out = attribution.with_contributions(_fit(rows, levels, "gbt"), _part(rows, "test").select("id", *FEATURES))
+    out = attribution.with_contributions(_fit(spark, sf, "gbt"), _part(rows, "test").select("id", *FEATURES))
     ranked = decisions.top_factors(out, context.build(train, 10.0))
     return ranked.select("id", F.inline("top_factors"))
 
@@ -143,8 +158,12 @@ def tuned_search(spark, sf):
 
 
 def _assessed(spark, sf):
+    return _once(spark, ("assessed", sf), lambda: _assess(spark, sf))
+
+
+def _assess(spark, sf):
     rows, levels = _modelling_rows(spark, sf)
-    members = {n: _fit(rows, levels, n) for n in modelling.FAMILIES}
+    members = {n: _fit(spark, sf, n) for n in modelling.FAMILIES}
     predictions = assess.predict_all(members, rows.where("split <> 'train'"))
     return rows, levels, members, assess.run(predictions, list(members), n_boot=50)
 

@@ -123,8 +123,8 @@ def cost_sweep(spark, sf):
 @query(f"""WITH {TXN}, {split_sql()}, {_yp('score', 's', "split = 'test'")}, {_GRID}, {_SWEEP} {_COSTED.format(src='x')}""")
 def cost_curve(spark, sf):
     """Flagship: enrich with velocity, split by time, then the whole cost curve of the test period."""
-    t = add_velocity(transactions(spark, sf))
-    test = splits.time_split(t).where("split = 'test'")
+    t = transactions(spark, sf)
+    test = splits.time_split(add_velocity(t), source=t).where("split = 'test'")
     return _money_rounded(metrics.cost_sweep(test))
 
 
