@@ -43,7 +43,10 @@ def four_digits(x: Column) -> Column:
     exponent = F.substring_index(sci, "e", -1).cast("int")
     fixed = F.call_function("format_number", x, F.greatest(F.lit(3) - exponent, F.lit(0)))
     trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    mantissa = F.regexp_replace(F.substring_index(sci, "e", 1), r"\.?0+$", "")
+    # Below 1e-4 the digits come from the fixed form too, which rounds on the binary value.
+    digits = F.regexp_replace(fixed, r"^-?0\.0*", "")
+    small = F.concat(F.when(x < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 3))
+    mantissa = F.regexp_replace(F.when(exponent < 0, small).otherwise(F.substring_index(sci, "e", 1)), r"\.?0+$", "")
     return (
         F.when(x == 0, F.lit("0"))
         .when((exponent >= -4) & (exponent < 4), trimmed)

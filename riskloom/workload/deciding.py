@@ -52,10 +52,10 @@ _KNOT_COLS = ["abs_amount", "amount_to_credit_limit", "hour", "is_online"]
 
 @query(f"""WITH {FRAME}, l AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM f WHERE is_fraud = 0" for c in _KNOT_COLS)}),
   q AS (SELECT feature, quantile_cont(v, list_transform(range(0, 101), lambda i: i / CAST(100 AS DOUBLE))) AS vs FROM l WHERE v IS NOT NULL GROUP BY feature)
-  SELECT feature, (i - 1) / CAST(100 AS DOUBLE) AS q, round(vs[i], 6) AS value FROM q, range(1, 102) g(i)""")
+  SELECT feature, (i - 1) / CAST(100 AS DOUBLE) AS q, round(vs[i], 8) AS value FROM q, range(1, 102) g(i)""")
 def percentile_knots(spark, sf):
     """101 percentiles of legitimate rows per feature; rows with a missing value are left out."""
-    return context.percentile_knots(frame(spark, sf), _KNOT_COLS).withColumn("value", F.round("value", 6))
+    return context.percentile_knots(frame(spark, sf), _KNOT_COLS)
 
 
 @query()
@@ -170,12 +170,12 @@ _EVIDENCE = f"""WITH {FRAME}, o AS (SELECT avg(is_fraud) AS o FROM f),
 
 
 @query(f"""{_EVIDENCE} SELECT f.id, round(r / o, 2) AS lift, round(pct, 6) AS percentile,
-  'merchant category: ' || mcc_category || ' — ' || format('{{:.2f}}%', r * 100) || ' of transactions in this group were fraud'
+  CASE WHEN r IS NULL THEN 'merchant category: ' || mcc_category || ' (no reference data)' ELSE 'merchant category: ' || mcc_category || ' — ' || format('{{:.2f}}%', r * 100) || ' of transactions in this group were fraud'
    || CASE WHEN r / o >= 1.5 THEN ' (' || format('{{:.1f}}', r / o) || 'x the overall rate)' ELSE '' END
-   || ', against ' || format('{{:.2f}}%', o * 100) || ' overall (n=' || format('{{:,}}', n) || ')' AS category_evidence,
+   || ', against ' || format('{{:.2f}}%', o * 100) || ' overall (n=' || format('{{:,}}', n) || ')' END AS category_evidence,
   'transaction size (ignoring refund sign): ' || format('{{:,.2f}}', p.v) || ' — ' || CASE WHEN pct >= 0.5 THEN 'higher' ELSE 'lower' END
    || ' than ' || format('{{:.1f}}', (CASE WHEN pct >= 0.5 THEN pct ELSE 1 - pct END) * 100) || '% of legitimate transactions' AS amount_evidence
-  FROM f JOIN p ON f.id = p.id JOIN r ON f.mcc_category = r.level, o""")
+  FROM f JOIN p ON f.id = p.id LEFT JOIN r ON f.mcc_category = r.level AND n >= 200 CROSS JOIN o""")
 def evidence_text(spark, sf):
     """One sentence of evidence per feature value: base rate and lift, or a percentile."""
     f, ctx = _small_context(spark, sf)
