@@ -28,7 +28,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_transactions(spark: SparkSession, path: str, labels: DataFrame | None = None) -> DataFrame:
     """The transaction file with a fixed schema; with labels given, only labelled rows and their label."""
-    rows = spark.read.csv(path, header=True, schema=TRANSACTIONS, enforceSchema=False)
+    # The header line gives the column order of this file; columns not in the schema are skipped.
+    known = {f.name: f for f in TRANSACTIONS.fields}
+    header = spark.read.csv(path, header=True).columns
+    layout = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+    rows = spark.read.csv(path, header=True, schema=layout).select(*TRANSACTIONS.fieldNames())
     return rows if labels is None else rows.join(labels, "id")
 
 
