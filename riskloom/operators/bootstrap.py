@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.lookup import locate
 from riskloom.operators.metrics import rank_quality
 from riskloom.schema import LABEL
+from riskloom.sources.shared import materialize
 
 SLICE_ROWS = 200_000  # distinct scores aimed at per task
 MAX_SLICES = 256
@@ -90,15 +91,15 @@ def replicates(df: DataFrame, scores: list[str], label: str = LABEL, n_boot: int
                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(b, ap_0[, ap_1]): average precision of each score on each resample."""
     names = ["s0", "s1"][: len(scores)]
-    groups = (
+    groups = materialize(  # read by the count, the edges, the cells and every axis
         df.groupBy(*[F.col(s).cast("double").alias(n) for s, n in zip(scores, names)])
         .agg(F.sum(label).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
     )
     slices = max(1, min(MAX_SLICES, math.ceil(groups.count() / slice_rows)))
     hot: list[set[int]] = []
     placed = groups
-    for s, n, into in zip(scores, names, ("i", "j")):
-        edges, single = _edges(df, s, slices)
+    for n, into in zip(names, ("i", "j")):
+        edges, single = _edges(groups, n, slices)
         placed = locate(placed, edges, n, into)
         hot.append(single)
     if len(scores) == 1:

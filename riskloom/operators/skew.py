@@ -52,6 +52,21 @@ def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCA
     return facts.where(~apart).join(dim, key, "left").unionByName(spread)
 
 
+def inner_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
+                 hot_rows: int = 1_000_000) -> DataFrame:
+    """Many-to-one inner join where ``lookup`` knows, in ``rows``, how many facts each key has.
+
+    Keys with more than ``hot_rows`` facts are joined by broadcast when a count shows them to be
+    few; the others are joined by shuffle.
+    """
+    hot = lookup.where(F.col(rows) > hot_rows)
+    if hot.isEmpty() or not is_small(hot):
+        return facts.join(lookup, keys)
+    cold = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return facts.join(F.broadcast(hot), keys).unionByName(
+        cold.join(lookup.where(F.col(rows) <= hot_rows), keys))
+
+
 def crowded_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows, as a table: their number grows with the data."""
     return (

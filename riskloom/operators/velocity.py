@@ -6,10 +6,12 @@ Two plans give identical results and are chosen per card by row count:
 
 * **frames** - one exchange on the card, then RANGE frames. A sliding frame costs rows times
   frame length, so it is kept for cards with at most ``crowded`` rows.
-* **prefix sums** - for crowded cards. A window is the difference of two running totals. The
-  timeline of a card is cut into granules, each (card, granule) is its own task key, and a
-  row sends one probe to the granule in which each window starts. Work is linear in rows and
-  a single card spreads over as many tasks as it has granules.
+* **prefix sums** - for crowded cards. Rows of one card at one instant see the same windows, so
+  they are merged to one tick first, map-side. A window is the difference of two running totals
+  over ticks. The timeline of a card is cut into granules, each (card, granule) is its own task
+  key, and a tick sends one probe to the granule in which each window starts. Work is linear,
+  a card spreads over as many tasks as it has granules, and a granule holds no more ticks than
+  the clock has instants in it.
 
 Amounts are added as decimals, so totals do not depend on row order or plan.
 """
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.features import clock, safe_ratio
-from riskloom.operators.skew import crowded_keys
+from riskloom.operators.skew import crowded_keys, inner_lookup, is_small
+from riskloom.sources.shared import materialize
 
 HOUR_US = 3_600_000_000
 SPANS = {"1h": HOUR_US, "24h": 24 * HOUR_US, "7d": 7 * 24 * HOUR_US}
@@ -30,7 +33,7 @@ RAW = [f"_n_{s}" for s in SPANS] + ["_amt_24h", "_amt_7d", "_prev_us", "_first_m
 
 def add_velocity(df: DataFrame, card: str = "card_id", ts: str = "date", key: str = "id",
                  amount: str = "abs_amount", category: str = "mcc_category",
-                 crowded: int = 20_000, granule_us: int = HOUR_US,
+                 crowded: int = 10_000, granule_us: int = HOUR_US,
                  force: str | None = None) -> DataFrame:
     """Add the eight velocity columns. ``force`` pins one plan ('frames' or 'prefix')."""
     rows = df.withColumn("_us", clock(F.col(ts))).withColumn("_amt", F.col(amount).cast(MONEY))
@@ -39,10 +42,12 @@ def add_velocity(df: DataFrame, card: str = "card_id", ts: str = "date", key: st
     elif force == "prefix":
         raw = _prefix(rows, card, key, category, granule_us)
     else:
-        busy = crowded_keys(rows, card, crowded)
+        busy = materialize(crowded_keys(rows, card, crowded))
         if busy.isEmpty():
             raw = _frames(rows, card, key, category)
         else:
+            if is_small(busy):
+                busy = F.broadcast(busy)
             raw = _frames(rows.join(busy, card, "left_anti"), card, key, category).unionByName(
                 _prefix(rows.join(busy, card, "left_semi"), card, key, category, granule_us))
     return _finish(raw, df.columns, amount)
@@ -78,7 +83,7 @@ def _frames(rows: DataFrame, card: str, key: str, category: str) -> DataFrame:
         rows.withColumn("_first_mcc", F.row_number().over(by_category) == 1)
         .withColumn("_prev_us", F.lag("_us").over(by_card))
         .select(
-            "*",
+            *rows.columns, "_first_mcc", "_prev_us",
             *[F.count(F.lit(1)).over(trail[s]).alias(f"_n_{s}") for s in SPANS],
             _zero(F.sum("_amt").over(trail["24h"])).alias("_amt_24h"),
             _zero(F.sum("_amt").over(trail["7d"])).alias("_amt_7d"),
@@ -89,9 +94,10 @@ def _frames(rows: DataFrame, card: str, key: str, category: str) -> DataFrame:
 def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int) -> DataFrame:
     if any(w % granule_us for w in SPANS.values()):
         raise ValueError("the granule must divide every window")
-    off = F.pmod(F.col("_us"), F.lit(granule_us))
-    placed = rows.select(
-        card, key, "_us", "_amt", off.alias("_off"),
+    ticks = rows.groupBy(card, "_us").agg(
+        F.count(F.lit(1)).alias("_tn"), F.sum("_amt").alias("_tm"), F.min(key).alias("_lead"))
+    placed = ticks.select(
+        "*", F.pmod(F.col("_us"), F.lit(granule_us)).alias("_off"),
         F.expr(f"(_us - pmod(_us, {granule_us})) div {granule_us}").alias("_g"),
     )
     marks = F.array(F.struct(F.lit("now").alias("tag"), F.lit(0).cast("bigint").alias("back")),
@@ -99,10 +105,10 @@ def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int
                       for s, w in SPANS.items()])
     own = F.col("m.tag") == "now"
     probes = placed.select("*", F.explode(marks).alias("m")).select(
-        card, key, "_off", F.col("m.tag").alias("_tag"), (F.col("_g") - F.col("m.back")).alias("_g"),
-        F.when(own, 1).otherwise(0).cast("bigint").alias("_one"),
-        F.when(own, F.col("_amt")).otherwise(F.lit(0).cast(MONEY)).alias("_money"),
-        F.when(own, F.col("_us")).alias("_data_us"),
+        card, "_us", "_off", F.col("m.tag").alias("_tag"), (F.col("_g") - F.col("m.back")).alias("_g"),
+        F.when(own, F.col("_tn")).otherwise(0).alias("_one"),
+        F.when(own, F.col("_tm")).otherwise(F.lit(0).cast(MONEY)).alias("_money"),
+        F.when(own, F.col("_us")).alias("_data_us"), F.when(own, F.col("_lead")).alias("_lead"),
     )
     # Totals of all granules ahead, per card. One row per visited granule, not per transaction.
     ahead = Window.partitionBy(card).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,19 +123,21 @@ def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int
         )
     )
     earlier = Window.partitionBy(card, "_g").orderBy("_off").rangeBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy(card, "_g").orderBy("_off", key).rowsBetween(Window.unboundedPreceding, -1)
     totals = probes.join(granules, [card, "_g"]).select(
-        key, "_tag",
-        F.coalesce(F.max("_data_us").over(above), F.col("_last_ahead")).alias("_prev"),
+        card, "_us", "_tag", "_one", "_lead",
+        F.coalesce(F.max("_data_us").over(earlier), F.col("_last_ahead")).alias("_prev"),
         (F.col("_n_ahead") + _zero(F.sum("_one").over(earlier))).alias("_cn"),
         (F.col("_m_ahead") + _zero(F.sum("_money").over(earlier))).alias("_cm"),
     )
     at = lambda tag, c: F.max(F.when(F.col("_tag") == tag, F.col(c)))
-    wide = totals.groupBy(key).agg(
+    windows = totals.groupBy(card, "_us").agg(
         *[(at("now", "_cn") - at(s, "_cn")).alias(f"_n_{s}") for s in SPANS],
         *[(at("now", "_cm") - at(s, "_cm")).alias(f"_amt_{s}") for s in ("24h", "7d")],
-        at("now", "_prev").alias("_prev_us"),
+        at("now", "_prev").alias("_before"), F.max("_lead").alias("_lead"), F.max("_one").alias("_rows"),
     )
+    # Written once: the lookup below reads it per branch, and its row counts name the hot ticks.
+    wide = inner_lookup(rows, materialize(windows), [card, "_us"], "_rows").withColumn(
+        "_prev_us", F.when(F.col(key) == F.col("_lead"), F.col("_before")).otherwise(F.col("_us")))
     # The first use of a (card, category) pair by a plain minimum: combined map-side, so a pair
     # that covers most of the table is still one row per task after the partial aggregation.
     firsts = (
@@ -137,6 +145,8 @@ def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int
         .select(F.col(f"f.{key}").alias(key), F.lit(True).alias("_is_first"))
     )
     return (
-        rows.join(wide, key).join(firsts, key, "left")
-        .withColumn("_first_mcc", F.coalesce("_is_first", F.lit(False))).drop("_is_first")
+        wide.join(firsts, key, "left")
+        .withColumn("_first_mcc", F.coalesce("_is_first", F.lit(False)))
+        .drop("_is_first", "_before", "_lead", "_rows")
+        .select(*rows.columns, *RAW)
     )
