@@ -30,6 +30,30 @@ class Service:
     formula: object = None
 
 
+def load_service(spark, path: str, codes: str | None = None) -> Service:
+    """Assemble a service from what the other plans saved below ``path``.
+
+    Only the members the served model needs are loaded. Whatever is absent is left at its
+    default, so a partly built folder still scores.
+    """
+    from pyspark.sql.types import StructType
+
+    from riskloom.operators import context
+    from riskloom.plans import assess, modelling
+    from riskloom.sources import readers, sinks
+
+    point, weights = assess.load_point(spark, path)
+    needed = [n for n in modelling.FAMILIES if weights.get(n, 0) > 0] if point.model == "ensemble" else [point.model]
+    members = modelling.load(spark, f"{path}/models", needed)
+    if point.explainer not in members:
+        point.explainer = next((n for n in members if n != "linear"), "none")
+    overall = readers.read_or_empty(spark, f"{path}/global_median", StructType.fromDDL("med double")).first()
+    medians = readers.read_or_empty(spark, f"{path}/category_medians", StructType.fromDDL("mcc_category string, med double"))
+    names = readers.read_codes(spark, codes) if codes else None
+    dictionaries = Dictionaries(names, medians, overall["med"] if overall else 0.0, sinks.read_document(spark, f"{path}/levels"))
+    return Service(dictionaries, point, members, weights, context.load(spark, f"{path}/context"))
+
+
 def raw_score(df: DataFrame, service: Service) -> DataFrame:
     """The served model's probability, or the blend of the members at hand."""
     if not service.members:

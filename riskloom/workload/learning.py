@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import parsing
 from riskloom.operators import context, decisions, requests, review, splits
 from riskloom.operators.decisions import OperatingPoint
-from riskloom.plans import assess, attribution, modelling, scoring, tuning
+from riskloom.operators.skew import left_lookup
+from riskloom.plans import assess, attribution, modelling, scoring, train, tuning
 from riskloom.schema import FEATURES, REVIEW_EVENT
 from riskloom.sources import readers, sinks
 from riskloom.sources.shared import materialize, scratch
@@ -74,6 +75,26 @@ def review_log_scan(spark, sf):
     return readers.read_log(spark, path).where(F.col("event").isNotNull()).select("request_id", "event", "risk_score")
 
 
+@query(f"""WITH {TXN} SELECT id, score AS a, score_b AS b FROM t""")
+def predictions_scan(spark, sf):
+    """Scores stored per model, read back by model and matched by id."""
+    path = scratch(spark, "predictions")
+    t = transactions(spark, sf).withColumn("split", F.lit("val_fit"))
+    for model, c in (("a", "score"), ("b", "score_b")):
+        sinks.write_predictions(t.select("id", "split", "is_fraud", "abs_amount", F.col(c).alias("score")), path, model)
+    return train.aligned(spark, path, ["a", "b"]).select("id", "a", "b")
+
+
+@query("SELECT n_nationkey AS mcc, n_name AS name, count(*) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2")
+def code_list_scan(spark, sf):
+    """A JSON code list written and read back, then looked up by every customer."""
+    path = scratch(spark, "codes")
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.col("n_name"))))
+    read(spark, sf, "nation").agg(F.to_json(pairs).alias("value")).write.text(path)
+    c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("mcc"))
+    return left_lookup(c, readers.read_codes(spark, path), "mcc").groupBy("mcc", "name").agg(F.count(F.lit(1)).alias("customers"))
+
+
 # ----------------------------------------------------------------------------- modelling
 
 
@@ -141,9 +162,9 @@ def linear_attribution(spark, sf):
 def top_factors(spark, sf):
     """The six strongest factors of each test row with their evidence."""
     rows, levels = _modelling_rows(spark, sf)
-    train = _part(rows, "train")
+    history = _part(rows, "train")
     out = attribution.with_contributions(_fit(spark, sf, "gbt"), _part(rows, "test").select("id", *FEATURES))
-    ranked = decisions.top_factors(out, context.build(train, 10.0))
+    ranked = decisions.top_factors(out, context.build(history, 10.0))
     return ranked.select("id", F.inline("top_factors"))
 
 
@@ -179,8 +200,7 @@ def assessment(spark, sf):
 def score_requests(spark, sf):
     """Requests rebuilt from the last split, scored end to end and explained."""
     rows, levels, members, a = _assessed(spark, sf)
-    train = _part(rows, "train")
-    ctx = context.build(train, 10.0, a.scored_val)
+    ctx = context.build(_part(rows, "train"), 10.0, a.scored_val)
     service = scoring.Service(requests.Dictionaries(None, None, 60.0, levels), a.point, members, a.weights, ctx)
     service.point.explainer = "gbt"
     asked = requests.to_request(_part(rows, "demo")).withColumn("request_id", F.col("id").cast("string"))

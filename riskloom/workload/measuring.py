@@ -324,12 +324,23 @@ def calibrate_apply(spark, sf):
     return out.select("id", F.round("calibrated", 9).alias("calibrated"))
 
 
-@query()
+@query(f"""WITH {TXN}, {split_sql()}, {_VAL}, g AS (SELECT score AS x, CAST(sum(is_fraud) AS DOUBLE) AS y, count(*) AS w FROM p WHERE split = 'val_fit' GROUP BY score),
+  c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y) OVER (ORDER BY x) AS cy, sum(w) OVER (ORDER BY x) AS cw FROM g),
+  c0 AS (SELECT i, cy, cw FROM c UNION ALL SELECT 0, 0, 0),
+  lo AS (SELECT a.i AS a, e.i AS e, (e.cy - a.cy) / (e.cw - a.cw) AS m FROM c0 a JOIN c e ON e.i > a.i),
+  mn AS (SELECT a, e AS i, min(m) OVER (PARTITION BY a ORDER BY e DESC) AS m FROM lo),
+  iso AS (SELECT i, max(m) AS v FROM mn GROUP BY i),
+  pts AS (SELECT x, v, lead(x) OVER (ORDER BY x) AS x2, lead(v) OVER (ORDER BY x) AS v2 FROM c JOIN iso USING (i)),
+  q AS (SELECT quantile_cont(score, list_transform(range(0, 512), lambda j: j / CAST(511 AS DOUBLE))) AS ks FROM p WHERE split = 'val_fit'),
+  k AS (SELECT DISTINCT unnest(ks) AS x FROM q)
+  SELECT round(k.x, 8) AS x, round(CASE WHEN k.x = pts.x OR x2 IS NULL THEN v ELSE v + (v2 - v) / (x2 - pts.x) * (k.x - pts.x) END, 6) AS y
+  FROM k ASOF JOIN pts ON k.x >= pts.x""")
 def isotonic_fit(spark, sf):
     """Isotonic calibration fitted on val_fit: its knots."""
     p = splits.val_cut(splits.time_split(transactions(spark, sf))).where("split = 'val_fit'")
     xs, ys = blending.fit_isotonic(p)
-    return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    knots = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    return knots.select(F.round("x", 8).alias("x"), F.round("y", 6).alias("y"))
 
 
 # ---------------------------------------------------------------- analyses from the docs

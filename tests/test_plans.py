@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import context, requests, splits
 from riskloom.operators.metrics import ap_value
-from riskloom.plans import assess, attribution, modelling, prepare, scoring, tuning
+from riskloom.plans import assess, attribution, modelling, prepare, scoring, train, tuning
 from riskloom.schema import FEATURES, VELOCITY
-from riskloom.sources import readers
+from riskloom.sources import readers, sinks
 from riskloom.sources.shared import materialize
 
 SMALL = {"gbt": {"maxIter": 6, "maxDepth": 3}, "forest": {"numTrees": 6, "maxDepth": 4}, "linear": {"maxIter": 15}}
@@ -164,6 +164,36 @@ def test_linear_contributions_add_up(spark, fitted):
     assert np.ptp(base) < 1e-6
 
 
+def test_training_resumes_and_a_service_is_assembled(spark, table, tmp_path):
+    out, names = str(tmp_path), ("gbt", "linear")
+    members, weights = train.run(spark, f"{table}/splits", out, names, SMALL)
+    assert set(weights) == set(names) and abs(sum(weights.values()) - 1) < 1e-9
+    about = sinks.read_document(spark, f"{out}/training_summary")
+    assert [m["restored"] for m in about["models"]] == [False, False] and about["val_rows"] == 237
+    train.run(spark, f"{table}/splits", out, names, SMALL)
+    again = sinks.read_document(spark, f"{out}/training_summary")
+    assert [m["restored"] for m in again["models"]] == [True, True]
+    assert [m["val_average_precision"] for m in again["models"]] == [m["val_average_precision"] for m in about["models"]]
+
+    rows = materialize(splits.val_cut(readers.read_split(spark, f"{table}/splits")))
+    a = assess.run(assess.predict_all(members, rows.where("split <> 'train'")), list(members), ship="gbt", n_boot=5)
+    assess.save(a, out)
+    ctx = context.build(rows.where("split = 'train'"), 30.0, a.scored_val)
+    context.save(ctx, spark, f"{out}/context")
+    assert context.load(spark, f"{out}/context") == ctx and not context.load(spark, f"{out}/none").available
+    service = scoring.load_service(spark, out)
+    assert set(service.members) == {"gbt"} and service.point.explainer == "gbt" and service.context.bands
+    asked = spark.createDataFrame([("r", 500.0, "Online Transaction")], "request_id string, amount double, use_chip string")
+    (r,) = scoring.score(asked, service).collect()
+    assert 0 <= r["risk_score"] <= 1 and len(r["top_factors"]) == 6 and "date" in r["missing_fields"]
+
+
+def test_half_life_of_the_served_model():
+    infos = {"gbt": {"recency_half_life_days": 0}, "forest": {"recency_half_life_days": 60}}
+    assert train.shipped_half_life(infos, "ensemble") == 60
+    assert train.shipped_half_life(infos, "gbt") == 0 and train.shipped_half_life({}, "forest") == 0
+
+
 def test_search_resumes(spark, fitted, tmp_path):
     rows, levels, _ = fitted
     tr, vf = rows.where("split = 'train'"), rows.where("split = 'val_fit'")
@@ -194,8 +224,8 @@ def test_assessment_and_scoring_end_to_end(spark, fitted, tmp_path):
     assert weights == a.weights
     assert assess.load_point(spark, str(tmp_path / "none"))[0].block == 0.5
 
-    train = rows.where("split = 'train'")
-    ctx = context.build(train, 60.0, a.scored_val)
+    history = rows.where("split = 'train'")
+    ctx = context.build(history, 60.0, a.scored_val)
     point.explainer = "gbt"
     service = scoring.Service(requests.Dictionaries(None, None, 60.0, levels), point, members, weights, ctx)
     asked = requests.to_request(rows.where("split = 'demo'")).withColumn("request_id", F.col("id").cast("string"))
@@ -205,4 +235,4 @@ def test_assessment_and_scoring_end_to_end(spark, fitted, tmp_path):
         assert len(row["top_factors"]) == 6 and row["decision"] in ("allow", "review", "block") and row["base_rate"] is not None
     log = spark.createDataFrame([], "event string, request_id string, ts string, risk_score double, queued_reason string, action string")
     h = scoring.health(spark, service, log).first()
-    assert h["pending"] == 0 and h["context_available"] and h["reference_rows"] == train.where("is_fraud = 0").count()
+    assert h["pending"] == 0 and h["context_available"] and h["reference_rows"] == history.where("is_fraud = 0").count()
