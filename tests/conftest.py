@@ -14,7 +14,10 @@ def spark():
         SparkSession.builder.master("local[8]").appName("riskloom-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        # Tiny inputs: compiling generated code costs more than interpreting it.
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+        .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
