@@ -76,13 +76,13 @@ def log_amount(spark, sf):
                     F.round(f["log_amount"], 6).alias("log_amount"), f["is_refund"].alias("is_refund"))
 
 
-@query(f"""WITH {ENRICHED} SELECT id, round(abs_amount / credit_limit, 6) AS amount_to_credit_limit,
-  round(abs_amount / yearly_income, 6) AS amount_to_income,
-  round(total_debt / yearly_income, 6) AS debt_to_income FROM e""")
+@query(f"""WITH {ENRICHED} SELECT id, round(abs_amount / credit_limit, 9) AS amount_to_credit_limit,
+  round(abs_amount / yearly_income, 9) AS amount_to_income,
+  round(total_debt / yearly_income, 9) AS debt_to_income FROM e""")
 def safe_ratios(spark, sf):
     e = enriched(spark, sf)
     r = features.ratios(F.col("abs_amount"), F.col("credit_limit"), F.col("yearly_income"), F.col("total_debt"))
-    return e.select("id", *[F.round(c, 6).alias(n) for n, c in r.items()])
+    return e.select("id", *[F.round(c, 9).alias(n) for n, c in r.items()])
 
 
 @query(f"""WITH {ENRICHED} SELECT id, round(date_diff('day', opened, CAST(date AS DATE)) / 365.25, 6) AS card_age_years,
@@ -161,15 +161,15 @@ def medians_train(spark, sf):
   cm AS (SELECT card_id, median(abs_amount) AS m FROM s WHERE split = 'train' GROUP BY 1),
   mm AS (SELECT mcc_category, median(abs_amount) AS m FROM s WHERE split = 'train' GROUP BY 1),
   g AS (SELECT median(abs_amount) AS m FROM s WHERE split = 'train')
-  SELECT id, round(abs_amount / nullif(coalesce(cm.m, g.m), 0), 6) AS amount_vs_card_median,
-         round(abs_amount / nullif(coalesce(mm.m, g.m), 0), 6) AS amount_vs_mcc_median
+  SELECT id, round(abs_amount / nullif(coalesce(cm.m, g.m), 0), 9) AS amount_vs_card_median,
+         round(abs_amount / nullif(coalesce(mm.m, g.m), 0), 9) AS amount_vs_mcc_median
   FROM s CROSS JOIN g LEFT JOIN cm ON s.card_id = cm.card_id LEFT JOIN mm ON s.mcc_category = mm.mcc_category""")
 def amount_vs_medians(spark, sf):
     t = splits.time_split(transactions(spark, sf))
     fitted = medians.fit(t.where("split = 'train'"))
     return medians.apply(t, fitted).select(
-        "id", F.round("amount_vs_card_median", 6).alias("amount_vs_card_median"),
-        F.round("amount_vs_mcc_median", 6).alias("amount_vs_mcc_median"))
+        "id", F.round("amount_vs_card_median", 9).alias("amount_vs_card_median"),
+        F.round("amount_vs_mcc_median", 9).alias("amount_vs_mcc_median"))
 
 
 # --------------------------------------------------------------------- velocity
@@ -198,20 +198,20 @@ def velocity_counts_crowded(spark, sf):
 
 
 _SUMS = f"""WITH {TXN} SELECT id, CAST(coalesce(sum({_DEC}) {_frame(24)}, 0) AS DOUBLE) AS card_amount_24h,
-  CASE WHEN count(*) {_frame(168)} > 0 THEN round(CAST(sum({_DEC}) {_frame(168)} AS DOUBLE) / count(*) {_frame(168)}, 6)
+  CASE WHEN count(*) {_frame(168)} > 0 THEN round(CAST(sum({_DEC}) {_frame(168)} AS DOUBLE) / count(*) {_frame(168)}, 9)
   END AS card_mean_amount_7d FROM t"""
 
 
 @query(_SUMS)
 def velocity_amounts(spark, sf):
     return add_velocity(transactions(spark, sf)).select(
-        "id", "card_amount_24h", F.round("card_mean_amount_7d", 6).alias("card_mean_amount_7d"))
+        "id", "card_amount_24h", F.round("card_mean_amount_7d", 9).alias("card_mean_amount_7d"))
 
 
 @query(_SUMS)
 def velocity_amounts_crowded(spark, sf):
     return add_velocity(transactions(spark, sf), force="prefix").select(
-        "id", "card_amount_24h", F.round("card_mean_amount_7d", 6).alias("card_mean_amount_7d"))
+        "id", "card_amount_24h", F.round("card_mean_amount_7d", 9).alias("card_mean_amount_7d"))
 
 
 _HISTORY = f"""WITH {TXN} SELECT id,
@@ -219,7 +219,7 @@ _HISTORY = f"""WITH {TXN} SELECT id,
     AS hours_since_card_txn,
   CASE WHEN row_number() OVER (PARTITION BY card_id, mcc_category ORDER BY date, id) = 1 THEN 1 ELSE 0 END
     AS new_mcc_for_card,
-  round(abs_amount / nullif(CAST(sum({_DEC}) {_frame(168)} AS DOUBLE) / nullif(count(*) {_frame(168)}, 0), 0), 6)
+  round(abs_amount / nullif(CAST(sum({_DEC}) {_frame(168)} AS DOUBLE) / nullif(count(*) {_frame(168)}, 0), 0), 9)
     AS amount_vs_card_recent
   FROM t"""
 
@@ -228,14 +228,14 @@ _HISTORY = f"""WITH {TXN} SELECT id,
 def card_history(spark, sf):
     return add_velocity(transactions(spark, sf)).select(
         "id", F.round("hours_since_card_txn", 6).alias("hours_since_card_txn"), "new_mcc_for_card",
-        F.round("amount_vs_card_recent", 6).alias("amount_vs_card_recent"))
+        F.round("amount_vs_card_recent", 9).alias("amount_vs_card_recent"))
 
 
 @query(_HISTORY)
 def card_history_crowded(spark, sf):
     return add_velocity(transactions(spark, sf), force="prefix").select(
         "id", F.round("hours_since_card_txn", 6).alias("hours_since_card_txn"), "new_mcc_for_card",
-        F.round("amount_vs_card_recent", 6).alias("amount_vs_card_recent"))
+        F.round("amount_vs_card_recent", 9).alias("amount_vs_card_recent"))
 
 
 def _orders_as_transactions(spark, sf):
