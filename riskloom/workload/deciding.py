@@ -279,7 +279,7 @@ def rejected_requests(spark, sf):
 
 
 @query(f"""WITH {FRAME} SELECT id, abs_amount AS amount, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, use_chip, mcc_category,
-  CASE WHEN error_kind <> 'none' THEN error_kind END AS errors, round(credit_limit, 6) AS credit_limit, has_chip = 1 AS has_chip,
+  CASE WHEN error_kind <> 'none' THEN error_kind END AS errors, CASE WHEN abs_amount > 0 THEN round(credit_limit, 6) END AS credit_limit, has_chip = 1 AS has_chip,
   is_online = 1 AS is_online FROM f""")
 def request_rebuild(spark, sf):
     """Requests recovered from stored features: the limit comes back from its ratio."""
