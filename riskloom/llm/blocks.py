@@ -113,6 +113,25 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def spread(each: list, codes: np.ndarray, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """For values given by code, each a sequence: all items in order of ``codes``, and the offset of each code's items."""
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    flat = np.fromiter((i for e in each for i in e), kind, int(sizes.sum()))
+    begin = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])], upto
+
+
+def ended(values: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with one more value after each."""
+    k = len(offsets) - 1
+    out = np.empty(len(values) + k, values.dtype)
+    out[np.arange(len(values)) + np.repeat(np.arange(k), np.diff(offsets))] = values
+    out[offsets[1:] + np.arange(k)] = end
+    return out, offsets + np.arange(k + 1)
+
+
 def map_text(df: DataFrame, text: str, added: T.StructType, fn: Callable[[pa.Array], list[pa.Array]],
              keep: list[str] | None = None) -> DataFrame:
     """Append columns computed from a text column, slice by slice.

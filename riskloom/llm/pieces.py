@@ -151,20 +151,9 @@ class PieceTable:
             at = np.flatnonzero(first)
         codes, distinct = blocks.coded(blocks.strings(data, np.append(at, len(data))))
         each = [self.ids(c.decode().replace(" ", SPACE)) for c in distinct.to_pylist()]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for e in each for i in e), np.int32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        ids, upto = blocks.spread(each, codes)
         offsets = upto[np.searchsorted(at, rows)]
-        if not end:
-            return ids, offsets
-        k = len(rows) - 1
-        out = np.empty(len(ids) + k, np.int32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(k), np.diff(offsets))] = ids
-        out[offsets[1:] + np.arange(k)] = self.eos
-        return out, offsets + np.arange(k + 1)
+        return blocks.ended(ids, offsets, self.eos) if end else (ids, offsets)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts of rows of ids: pieces joined, the leading blank dropped, bytes that are no UTF-8 replaced one by one."""
@@ -183,7 +172,9 @@ class PieceTable:
         return pa.array([raw[a:b].decode(errors="each_byte") for a, b in zip(begin.tolist(), stop.tolist())], pa.large_string())
 
 
-table = lru_cache(2)(PieceTable)
+@lru_cache(2)
+def table(path: str) -> PieceTable:
+    return PieceTable(path)
 
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", end: bool = True,

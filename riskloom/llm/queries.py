@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import pieces
+from riskloom.llm import pieces, rans
+from riskloom.sources import shared
 
 QUERIES: dict = {}
 
@@ -23,6 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -32,3 +34,10 @@ def op8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op7_rans(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared.scratch(spark, "ids")
+    rans.write(table(spark, sf, "documents"), folder, WORDS, end=1)
+    return rans.read(spark, folder).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
