@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import pieces, rans
+from riskloom.llm import decontaminate, perplexity, pieces, rans, rules, warc
 from riskloom.sources import shared
 
 QUERIES: dict = {}
@@ -27,6 +27,49 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: ASCII letters lower-cased, and the words of the two definitions, in SQL.
+LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN_SQL = f"regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+BLANK_SQL = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query()
+def op1_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    out = perplexity.score(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def held_out(key: str) -> Column:
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+@query()
+def op2_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = rules.classify(docs, table(spark, sf, "labels"), usable=~held_out("_key"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_SQL} AS w FROM documents),
+i AS (SELECT item_id, {PLAIN_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM i WHERE len(w) > 0)),
+o AS (SELECT r, k, m, array_to_string(w[k:k + m - 1], ' ') AS g
+      FROM (SELECT d.r, d.w, m.m, unnest(range(1, len(w) - m.m + 2)) AS k FROM d, (SELECT DISTINCT m FROM p) m WHERE len(w) >= m.m)),
+h AS (SELECT r, k, m, item_id FROM o JOIN p USING (m, g)),
+n AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS pos FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)""")
+def op5_wu_manber(spark: SparkSession, sf: str) -> DataFrame:
+    out = decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(ids, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
 
 @query()
 def op8_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,3 +84,21 @@ def op7_rans(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared.scratch(spark, "ids")
     rans.write(table(spark, sf, "documents"), folder, WORDS, end=1)
     return rans.read(spark, folder).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+@query("""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)""")
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared.scratch(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    page = lambda c: F.nullif(F.regexp_extract(c, "page:(-?[0-9]*)", 1), F.lit("")).cast("long")
+    whole = F.col("payload").isNotNull()
+    return warc.read(spark, folder).select(
+        page("record_id").alias("page_id"), F.when(whole, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"))
