@@ -46,11 +46,17 @@ def strings(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = No
 
 def words(column: pa.Array, word_bytes: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of a text column one after another, and the int64 word offsets of its rows."""
+    flat, rows, _ = placed(column, word_bytes, lower)
+    return flat, rows
+
+
+def placed(column: pa.Array, word_bytes: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As ``words``, with the byte at which each word starts."""
     data, rows = buffers(column)
     if lower:
         data = LOWER[data]
     if not len(data):
-        return pa.array([], pa.large_binary()), np.zeros(len(rows), np.int64)
+        return pa.array([], pa.large_binary()), np.zeros(len(rows), np.int64), np.zeros(0, np.int64)
     inside = word_bytes[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[rows] = True
@@ -59,7 +65,7 @@ def words(column: pa.Array, word_bytes: np.ndarray, lower: bool = False) -> tupl
     last[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     offsets = np.concatenate([[0], np.cumsum(end - start)])
-    return strings(data[inside], offsets), np.searchsorted(start, rows)
+    return strings(data[inside], offsets), np.searchsorted(start, rows), start
 
 
 def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:

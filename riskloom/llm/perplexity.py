@@ -7,7 +7,8 @@ documents, takes continuation counts and discounts of modified Kneser-Ney smooth
 language's tables sorted by hash. Tasks look n-grams up in these arrays by binary search, once for each
 distinct word of a slice.
 
-A document passes if its log perplexity lies between its language's quartiles, widened on both
+The log perplexity of a text is the median of its lines', each weighed by its symbols, so that a foreign
+passage or a table inside a text does not decide. A document passes if it lies between its language's quartiles, widened on both
 sides by ``WIDTH`` times their distance, or ``LEAST`` if that is more.
 """
 
@@ -27,7 +28,7 @@ from riskloom.llm import blocks, stats, store
 from riskloom.sources import shared
 
 ORDER = 4
-WIDTH, LEAST = 8.0, 0.25
+WIDTH, LEAST = 4.0, 0.1
 BITS = 6
 EDGE = 0
 
@@ -172,6 +173,22 @@ def model(folder: str, lang: str, order: int) -> Model:
     return _models[folder, lang]
 
 
+def median(log: np.ndarray, symbols: np.ndarray, lines: np.ndarray, line_rows: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the median of its lines' mean negative logs, weighed by symbols; NaN without symbols."""
+    total, weight = (np.diff(np.concatenate([[0], np.cumsum(v)])[lines]) for v in (log, symbols))
+    some = weight > 0
+    value, weight, row = -total[some] / weight[some], weight[some], line_rows[some]
+    by = np.lexsort((value, row))
+    value, weight, row = value[by], weight[by], row[by]
+    upto = np.cumsum(weight)
+    whole = np.bincount(row, weight, n)
+    before = np.cumsum(whole) - whole
+    half = np.flatnonzero(2 * (upto - before[row]) >= whole[row])
+    out = np.full(n, np.nan)
+    out[row[half[::-1]]] = value[half[::-1]]  # the first of each row is written last
+    return out
+
+
 def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """Append counts, ``log_perplexity``, ``base_failed``, the band and ``kept`` to ``df``.
 
@@ -191,25 +208,23 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
         from riskloom.llm import perplexity as own
 
         for part in blocks.slices(batches, text):
-            made, codes, at, distinct = stats.counts(part.column(text))
-            key, cut = grams(distinct, order)
-            line = part.column("_lang").to_pylist()
-            total, symbols = np.zeros(len(line)), np.concatenate([[0], np.cumsum(np.diff(cut)[codes])])
+            made, words = stats.counts(part.column(text))
+            key, cut = grams(words.distinct, order)
+            line = np.array(part.column("_lang").to_pylist(), object)
+            of = np.repeat(np.arange(len(line)), np.diff(words.rows))
+            log = np.zeros(len(words.codes))
             for code in set(line):
-                mine = np.flatnonzero([x == code for x in line])
-                used = np.zeros(len(distinct), bool)
-                for r in mine:
-                    used[codes[at[r]:at[r + 1]]] = True
-                of = np.flatnonzero(np.repeat(used, np.diff(cut)))
+                mine = (line == code)[of]
+                used = np.zeros(len(words.distinct), bool)
+                used[words.codes[mine]] = True
+                at = np.flatnonzero(np.repeat(used, np.diff(cut)))
                 logs = np.zeros(len(key))
-                if len(of):
-                    logs[of] = own.model(folder, code, order).log(key[of])
+                if len(at):
+                    logs[at] = own.model(folder, code, order).log(key[at])
                 upto = np.concatenate([[0], np.cumsum(logs)])
-                word = upto[cut[1:]] - upto[cut[:-1]]
-                for r in mine:
-                    total[r] = word[codes[at[r]:at[r + 1]]].sum()
-            n = symbols[at[1:]] - symbols[at[:-1]]
-            value = pa.array(np.round(-total / np.maximum(n, 1), 9), mask=n == 0)
+                log[mine] = (upto[cut[1:]] - upto[cut[:-1]])[words.codes[mine]]
+            value = own.median(log, np.diff(cut)[words.codes], words.lines, words.line_rows, len(line))
+            value = pa.array(np.round(value, 9), mask=np.isnan(value))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(made[c], pa.int64()) for c in names), value], names=schema.names)
 
     scored = shared.materialize(source.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{text}`"])).mapInArrow(run, schema))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,11 +56,21 @@ def repeated(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, pa.Array]:
-    """The counts of each row; and the codes, row offsets and distinct values of its words `[^\\x20\\x09-\\x0D]+`."""
+class Words(NamedTuple):
+    """The words `[^\\x20\\x09-\\x0D]+` of a column: codes, distinct values, offsets of rows and of lines, the row of each line."""
+
+    codes: np.ndarray
+    distinct: pa.Array
+    rows: np.ndarray
+    lines: np.ndarray
+    line_rows: np.ndarray
+
+
+def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], Words]:
+    """The counts of each row, and its words."""
     data, rows = blocks.buffers(column)
     n = len(rows) - 1
-    flat, at = blocks.words(column, blocks.BLANK_WORDS)
+    flat, at, place = blocks.placed(column, blocks.BLANK_WORDS)
     codes, distinct = blocks.coded(flat)
     row = np.repeat(np.arange(n), np.diff(at))
     out = {"n_words": np.diff(at)}
@@ -91,4 +103,4 @@ def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     size = np.concatenate([np.diff(cuts)[codes], [0]])
     longest = np.maximum.reduceat(size, np.minimum(at[:-1], len(size) - 1)) if n else np.zeros(0, np.int64)
     out["longest_word"] = np.where(out["n_words"] > 0, longest, 0)
-    return out, codes, at, distinct
+    return out, Words(codes, distinct, at, np.append(np.searchsorted(place, begin), len(codes)), line_row)
