@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, perplexity, pieces, rans, rules, warc
+from riskloom.llm import decontaminate, jaccard, perplexity, pieces, rans, rules, warc
 from riskloom.sources import shared
 
 QUERIES: dict = {}
@@ -79,6 +79,21 @@ def op8_pieces(spark: SparkSession, sf: str) -> DataFrame:
                       F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {BLANK_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') AS g FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 175 * c >= 75 * (x.n + y.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""")
+def op6_signature_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.group(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op7_rans(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared.scratch(spark, "ids")

@@ -13,19 +13,22 @@ notes (word position uint32, LANES states uint64) and words (uint32). Little-end
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import blocks, store
+from riskloom.sources import shared
 
 LANES, TURNS, CHECK = 64, 1024, 256
 BLOCK = LANES * TURNS
@@ -38,6 +41,7 @@ MAGIC = b"RNS1"
 NOTE = np.dtype([("at", "<u4"), ("state", "<u8", LANES)])
 INDEX = np.dtype([("offset", "<u8"), ("words", "<u4"), ("crc", "<u4")])
 AT_ONCE = 32  # blocks coded side by side
+NO_KEY = -(1 << 63)
 SPLIT = 2_000_000  # tokens that one reading task takes
 
 
@@ -160,22 +164,62 @@ def read_file(folder: str, name: str, table: Frequencies, part: int = 0, parts:
 
 
 class Words:
-    """Ids of a tokenizer that never joins what blanks part, found once for each distinct word."""
+    """Ids of a tokenizer that never joins what blanks part, found once for each distinct word.
 
-    CACHED = 300_000
+    Most words go to the library many at a time. Where the tokens of a piece of such a text end is told by the
+    end-of-word sign of the vocabulary and by how many pieces the split pattern makes of each word; words for
+    which that is not plain, and texts whose count comes out different, are encoded one by one.
+    """
+
+    CACHED, TOGETHER = 400_000, 1000
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         probe = "it's  1st\tWord\n<|endoftext|>x, naïve"
-        if self.raw([probe])[0] != [i for r in self.raw(probe.split()) for i in r]:
+        if self.each_alone([probe])[0] != [i for r in self.each_alone(probe.split()) for i in r]:
             raise ValueError("this tokenizer does not treat words alone")
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+        for token, i in self.lib.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.together = self.each_alone(["it's 1a,b!"]) == [self.several(["it's", "1a,b!"])[0] + self.several(["it's", "1a,b!"])[1]]
         self.seen: dict[bytes, list[int]] = {}
 
-    def raw(self, texts: list[str]) -> list[list[int]]:
+    def each_alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @classmethod
+    def pieces(cls, word: str) -> int:
+        """How many pieces the tokenizer splits a word into; 0 if that is not plain."""
+        if word.isascii():
+            if word.isalpha():
+                return 1
+            return len(cls.SPLIT.findall(word.lower())) if word.isprintable() and "<|" not in word else 0
+        return int(word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
+
+    def several(self, words: list[str]) -> list[list[int]]:
+        ids = self.each_alone([" ".join(words)])[0]
+        end = np.flatnonzero(self.ends[ids]) + 1
+        upto = np.cumsum([self.pieces(w) for w in words])
+        if len(end) != upto[-1] or end[-1] != len(ids):
+            return self.each_alone(words)
+        cut = end[upto - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *cut], cut)]
+
+    def raw(self, words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if self.together and self.pieces(w)]
+        for a in range(0, len(plain), self.TOGETHER):
+            some = plain[a:a + self.TOGETHER]
+            for k, ids in zip(some, self.several([words[k] for k in some])):
+                out[k] = ids
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.each_alone([words[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def each(self, distinct: list[bytes]) -> list[list[int]]:
         if len(self.seen) > self.CACHED:
             self.seen.clear()
@@ -189,15 +233,6 @@ class Words:
         ids, upto = blocks.spread(self.each(distinct.to_pylist()), codes)
         return blocks.ended(ids, upto[rows], end)
 
-    def counts(self, column: pa.Array, end: int, size: int) -> np.ndarray:
-        flat, rows = blocks.words(column, blocks.BLANK_WORDS)
-        codes, distinct = blocks.coded(flat)
-        times = np.bincount(codes, minlength=len(distinct)).astype(np.float64)
-        ids, upto = blocks.spread(self.each(distinct.to_pylist()), np.arange(len(distinct)))
-        out = np.bincount(ids, np.repeat(times, np.diff(upto)), size)
-        out[end] += len(rows) - 1
-        return out
-
 
 @lru_cache(2)
 def tokenizer(path: str) -> Words:
@@ -207,18 +242,38 @@ def tokenizer(path: str) -> Words:
     return Words(path)
 
 
-def count(df: DataFrame, model: str, end: int, text: str = "text") -> np.ndarray:
-    """How often each id occurs in the encoded corpus; at most one row per id and task travels."""
+def encode(df: DataFrame, model: str, end: int, key: str, text: str) -> DataFrame:
+    """(key, tie, ids): the token ids of every text, packed."""
     def run(batches):
         t = tokenizer(model)
-        size = max(t.lib.get_vocab_size(), end + 1)
-        total = np.zeros(size)
         for part in blocks.slices(batches, text):
-            total += t.counts(part.column(text), end, size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["id", "n"])
+            flat, offsets = t.encode(part.column(text), end)
+            pack = zstandard.ZstdCompressor(level=1)
+            raw = flat.astype("<u4" if flat.size and int(flat.max()) > 0xFFFF else "<u2")
+            ids = [bytes([raw.itemsize]) + pack.compress(raw[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(key), part.column("tie"), pa.array(ids, pa.binary())], names=["key", "tie", "ids"])
+
+    source = df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text), F.xxhash64(f"`{text}`").alias("tie"))
+    return source.mapInArrow(run, "key long, tie long, ids binary")
+
 
-    rows = df.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
+def unpack(ids: pa.Array) -> list[np.ndarray]:
+    pack = zstandard.ZstdDecompressor()
+    return [np.frombuffer(pack.decompress(raw[1:]), f"<u{raw[0]}") for raw in ids.to_pylist()]
+
+
+def count(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs; at most one row per id and task travels."""
+    def run(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            some = np.bincount(np.concatenate(unpack(batch.column("ids"))))
+            total = np.pad(total, (0, max(0, len(some) - len(total))))
+            total[:len(some)] += some
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # bounded by the vocabulary
     out = np.zeros(max((r.id for r in rows), default=0) + 1)
     for r in rows:
         out[r.id] = r.n
@@ -232,33 +287,34 @@ def write(df: DataFrame, folder: str, model: str, end: int, key: str = "doc_id",
     are ordered by a hash of their text; a null key is written as the least integer and sorts first; null
     texts are empty. Other columns are not written.
     """
-    counts = count(df, model, end, text)
+    spark = df.sparkSession
+    encoded = shared.materialize(encode(df, model, end, key, text))
+    counts = count(encoded)
 
     def run(batches):
-        t, table = tokenizer(model), Frequencies(counts)
-        number, made, ids, sizes, held = TaskContext.get().partitionId(), 0, [], [], []
+        table = Frequencies(counts)
+        number, made, ids, held = TaskContext.get().partitionId(), 0, [], []
 
         def flush():
             name = f"part-{number:06d}-{made:04d}.rans"
-            n = np.concatenate(sizes)
-            write_file(folder, name, table, np.concatenate(ids), n, np.concatenate(held))
+            n = np.array([len(x) for x in held], np.int64)
+            write_file(folder, name, table, np.array(ids, np.int64), n, np.concatenate(held).astype(np.uint32))
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(n)]), pa.array([int(n.sum())])], names=["file", "docs", "tokens"])
 
-        for part in blocks.slices(batches, text):
-            flat, offsets = t.encode(part.column(text), end)
-            ids.append(pc.fill_null(part.column(key), -(1 << 63)).to_numpy(zero_copy_only=False))
-            sizes.append(np.diff(offsets))
-            held.append(flat.astype(np.uint32))
-            if sum(map(len, held)) >= 4 * SPLIT:  # a file of bounded size, so that a task holds no more
-                yield flush()
-                made, ids, sizes, held = made + 1, [], [], []
+        size = 0
+        for batch in batches:
+            for doc, tokens in zip(batch.column("key").to_pylist(), unpack(batch.column("ids"))):
+                ids.append(NO_KEY if doc is None else doc)
+                held.append(tokens)
+                size += len(tokens)
+                if size >= 2 * SPLIT:  # a file of bounded size, so that a task holds no more
+                    yield flush()
+                    made, ids, held, size = made + 1, [], [], 0
         if ids:
             yield flush()
 
-    source = df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text)).withColumn("_tie", F.xxhash64(text))
-    ordered = source.repartitionByRange(F.col(key).asc_nulls_first(), "_tie").sortWithinPartitions(F.col(key).asc_nulls_first(), "_tie").drop("_tie")
-    spark = df.sparkSession
-    ordered.mapInArrow(run, "file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
+    ordered = encoded.repartitionByRange(F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
+    ordered.select("key", "ids").mapInArrow(run, "file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
     store.put(folder, "frequencies.bin", [counts.astype("<i8").tobytes()])
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -293,7 +349,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 for a in range(0, len(ids), step):
                     b = min(len(ids), a + step)
                     crc = [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(upto[a:b].tolist(), upto[a + 1:b + 1].tolist())]
-                    null = ids[a:b] == -(1 << 63)
+                    null = ids[a:b] == NO_KEY
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[a:b], mask=null), pa.array(first[a:b] + row["start"]),
                          blocks.lists(tokens[upto[a]:upto[b]].astype(np.int32), upto[a:b + 1] - upto[a], pa.int32()),
