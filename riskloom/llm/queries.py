@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, jaccard, perplexity, pieces, rans, rules, warc
+from riskloom.llm import decontaminate, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
 from riskloom.sources import shared
 
 QUERIES: dict = {}
@@ -50,6 +50,22 @@ def op2_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query()
+def op3_licences(spark: SparkSession, sf: str) -> DataFrame:
+    out = licences.scan(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return out.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+                      F.size(sure).cast("long").alias("n_confirmed"), (F.size("licences") - F.size(sure)).cast("long").alias("n_unconfirmed"),
+                      F.array_join(F.transform(sure, lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"))
+
+
+@query()
+def op4_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix.remove(table(spark, sf, "documents"), keep=["doc_id"])
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_SQL} AS w FROM documents),
 i AS (SELECT item_id, {PLAIN_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -117,3 +133,29 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
         page("record_id").alias("page_id"), F.when(whole, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
         "record_type", page("refers_to").alias("refers_to"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, turns[1].role || chr(10) || turns[1].text AS opening FROM c),
+p AS (SELECT 'opening' AS kind, m.a AS chosen_id, f.conv_id AS rejected_id FROM f JOIN (SELECT opening, min(conv_id) AS a FROM f GROUP BY opening) m USING (opening) WHERE f.conv_id > m.a
+      UNION ALL SELECT 'neighbour', a.conv_id, b.conv_id FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+b AS (SELECT p.*, x.turns AS a, y.turns AS b, least(len(x.turns), len(y.turns)) AS m FROM p JOIN c x ON x.conv_id = chosen_id JOIN c y ON y.conv_id = rejected_id),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: a[i] <> b[i])) - 1, m) AS n FROM b),
+r AS (SELECT *, '<|im_start|>' AS o, '<|im_end|>' AS e FROM n)
+SELECT kind, chosen_id, rejected_id, CAST(n AS BIGINT) AS n_prompt_turns,
+  sha256(array_to_string(list_transform(a[1:n], lambda t: o || replace(replace(t.role, o, '< |im_start|>'), e, '< |im_end|>') || chr(10) || replace(replace(t.text, o, '< |im_start|>'), e, '< |im_end|>') || e || chr(10)), '')) AS prompt_sha256,
+  sha256(array_to_string(list_transform(a[n + 1:], lambda t: o || replace(replace(t.role, o, '< |im_start|>'), e, '< |im_end|>') || chr(10) || replace(replace(t.text, o, '< |im_start|>'), e, '< |im_end|>') || e || chr(10)), '')) AS chosen_sha256,
+  sha256(array_to_string(list_transform(b[n + 1:], lambda t: o || replace(replace(t.role, o, '< |im_start|>'), e, '< |im_end|>') || chr(10) || replace(replace(t.text, o, '< |im_start|>'), e, '< |im_end|>') || e || chr(10)), '')) AS rejected_sha256,
+  CAST(coalesce(list_sum(list_transform(list_filter(a[n + 1:], lambda t: t.role = 'assistant'), lambda t: length(replace(replace(t.text, o, '< |im_start|>'), e, '< |im_end|>')) + 11)), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(list_sum(list_transform(list_filter(b[n + 1:], lambda t: t.role = 'assistant'), lambda t: length(replace(replace(t.text, o, '< |im_start|>'), e, '< |im_end|>')) + 11)), 0) AS BIGINT) AS rejected_trained
+FROM r""")
+def op10_preference(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    out = preference.format_pairs(preference.pair_up(turns), turns)
+    whole = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x["text"]), ""), 256)
+    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.when(x["trained"], F.length(x["text"])).otherwise(0))
+    return out.select("kind", "chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), F.sha2("prompt", 256).alias("prompt_sha256"),
+                      whole("chosen").alias("chosen_sha256"), whole("rejected").alias("rejected_sha256"), trained("chosen").alias("chosen_trained"), trained("rejected").alias("rejected_trained"))
