@@ -27,6 +27,8 @@ ROWS, MISS = 3, 1e-10
 BITS = 2048
 LEAF, FAN = 8, 8
 CELL = 1500  # sets that one task searches at most against each other
+PAIRS = 1 << 12  # node pairs opened at once
+FEW = 1_000_000  # ids that are broadcast at most, as counted; more are joined by a shuffle
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,8 +118,8 @@ class Tree:
         bits, low, high, excess, group = self.levels[level]
         ok = (group[i] != group[j]) & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
         at = np.flatnonzero(ok)
-        for a in range(0, len(at), 1 << 14):
-            part = at[a:a + (1 << 14)]
+        for a in range(0, len(at), PAIRS):
+            part = at[a:a + PAIRS]
             x, y = i[part], j[part]
             overlap = np.minimum(np.bitwise_count(bits[x] & bits[y]).sum(1) + np.minimum(excess[x], excess[y]), np.minimum(high[x], high[y]))
             ok[part] = (100 + percent) * overlap >= percent * (low[x] + low[y])
@@ -128,8 +130,8 @@ class Tree:
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, i, j = todo.pop()
-            if len(i) > 1 << 16:
-                todo += [(level, i[a:a + (1 << 16)], j[a:a + (1 << 16)]) for a in range(0, len(i), 1 << 16)]
+            if len(i) > PAIRS:
+                todo += [(level, i[a:a + PAIRS], j[a:a + PAIRS]) for a in range(0, len(i), PAIRS)]
                 continue
             # A node with itself: its own sets may differ in group unless it is of one.
             own = (i == j) & (self.levels[level][4][i] < 0 if level else False)
@@ -211,7 +213,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
     first = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where("hub < _last").drop("_last")
     shared_rows = shared.materialize(rows.join(first, "band"))
     pairs = shared.materialize(shared_rows.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    wanted = shared.materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
 
     def shingles(column: pa.Array) -> list[pa.Array]:
         values, at = sets(column, k)
