@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,13 +66,33 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables this session materialized. Frames built on them stop working."""
+def written() -> list[str]:
+    """Paths of the tables of this session that are not released yet."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables this session materialized, all by default. Frames built on them stop working."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in list(_written) if paths is None else paths:
+        if name in _written:
+            _written.remove(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete on leaving what was materialized inside, but for the frames put into the list."""
+    before, keep = set(_written), []
+    try:
+        yield keep
+    finally:
+        stay = before | {frame.table_path for frame in keep}
+        release(spark, [p for p in _written if p not in stay])
