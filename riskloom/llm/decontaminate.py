@@ -128,7 +128,7 @@ def find(df: DataFrame, items: DataFrame, size: int = 10, text: str = "text", sh
     have no words and no hits. Rows are judged one by one; repeated item ids count once. Columns of the
     added names are replaced.
     """
-    folder, names = prepare(items, size, text=text, share_bytes=share_bytes)
+    folder, names = prepare(items, size, share_bytes=share_bytes)
 
     def run(column: pa.Array) -> list[pa.Array]:
         from riskloom.llm import decontaminate as own

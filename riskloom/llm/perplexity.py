@@ -198,7 +198,8 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
     """
     spark: SparkSession = df.sparkSession
     source = df.withColumn("_lang", F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")))
-    folder = train(source.select(F.col("_lang").alias("lang"), F.col(f"`{text}`").alias("text")), "lang", "text", order)
+    with shared.scope(spark):
+        folder = train(source.select(F.col("_lang").alias("lang"), F.col(f"`{text}`").alias("text")), "lang", "text", order)
     names = stats.NAMES[:5]
     added = T.StructType([*(T.StructField(c, T.LongType()) for c in names), T.StructField("log_perplexity", T.DoubleType())])
     kept = [c for c in df.columns if c not in added.names and c not in ("base_failed", "low", "high", "kept")] + ["_lang"]

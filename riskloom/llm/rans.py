@@ -280,17 +280,8 @@ def count(encoded: DataFrame) -> np.ndarray:
     return out
 
 
-def write(df: DataFrame, folder: str, model: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode ``text`` with the tokenizer at ``model``, put ``end`` after each row, and write files in order of ``key``.
-
-    Returns the manifest (file, docs, tokens), also stored as ``folder``/manifest. Rows of equal keys
-    are ordered by a hash of their text; a null key is written as the least integer and sorts first; null
-    texts are empty. Other columns are not written.
-    """
-    spark = df.sparkSession
-    encoded = shared.materialize(encode(df, model, end, key, text))
-    counts = count(encoded)
-
+def _writer(folder: str, counts: np.ndarray):
+    """Writes a partition's rows to files and returns their lines of the manifest."""
     def run(batches):
         table = Frequencies(counts)
         number, made, ids, held = TaskContext.get().partitionId(), 0, [], []
@@ -313,8 +304,22 @@ def write(df: DataFrame, folder: str, model: str, end: int, key: str = "doc_id",
         if ids:
             yield flush()
 
-    ordered = encoded.repartitionByRange(F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
-    ordered.select("key", "ids").mapInArrow(run, "file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
+    return run
+
+
+def write(df: DataFrame, folder: str, model: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode ``text`` with the tokenizer at ``model``, put ``end`` after each row, and write files in order of ``key``.
+
+    Returns the manifest (file, docs, tokens), also stored as ``folder``/manifest. Rows of equal keys
+    are ordered by a hash of their text; a null key is written as the least integer and sorts first; null
+    texts are empty. Other columns are not written.
+    """
+    spark = df.sparkSession
+    with shared.scope(spark):
+        encoded = shared.materialize(encode(df, model, end, key, text))
+        counts = count(encoded)
+        ordered = encoded.repartitionByRange(F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
+        ordered.select("key", "ids").mapInArrow(_writer(folder, counts), "file string, docs long, tokens long").write.parquet(f"{folder}/manifest")
     store.put(folder, "frequencies.bin", [counts.astype("<i8").tobytes()])
     return spark.read.parquet(f"{folder}/manifest")
 

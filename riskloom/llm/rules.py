@@ -8,6 +8,7 @@ one Spark column over the statistics, which scores all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -27,13 +28,17 @@ PENALTY = 0.0005
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, is it at most, threshold) for each comparison
 
 
+def _count_of(name: str) -> Column:
+    return F.col(f"_c._{name}")
+
+
 def _ratio(a: str, b: str) -> Column:
-    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return F.when(_count_of(b) > 0, _count_of(a) / _count_of(b)).otherwise(0.0)
 
 
 #: Statistics that rules compare.
-STATISTICS: dict[str, Column | object] = {
-    "words": lambda: F.log1p(F.col("n_words").cast("double")),
+STATISTICS: dict[str, Callable[[], Column]] = {
+    "words": lambda: F.log1p(_count_of("n_words").cast("double")),
     "word_length": lambda: _ratio("word_chars", "n_words"),
     "symbols": lambda: _ratio("n_symbols", "n_words"),
     "dup_lines": lambda: _ratio("n_dup_lines", "n_lines"),
@@ -46,7 +51,7 @@ STATISTICS: dict[str, Column | object] = {
     "line_words": lambda: _ratio("n_words", "n_lines"),
     "distinct": lambda: _ratio("n_distinct", "n_words"),
     "bare": lambda: _ratio("n_bare", "n_words"),
-    "longest": lambda: F.log1p(F.col("longest_word").cast("double")),
+    "longest": lambda: F.log1p(_count_of("longest_word").cast("double")),
 }
 COUNTS = T.StructType([T.StructField(f"_{c}", T.LongType()) for c in stats.NAMES])
 
@@ -58,12 +63,9 @@ def _count(column: pa.Array) -> list[pa.Array]:
 
 def measure(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and a struct ``_s`` of the statistics of every whole text."""
-    made = blocks.map_text(df, text, COUNTS, _count, keep)
-    plain = made.select(*(F.col(f"`{c}`") for c in keep), F.struct(*(F.col(f"_{c}").alias(c) for c in stats.NAMES)).alias("_c"))
-    inner = {c: F.col(f"_c.{c}") for c in stats.NAMES}
-    made = plain.withColumns({f"_x_{c}": v for c, v in inner.items()}).drop("_c")
-    named = made.withColumnsRenamed({f"_x_{c}": c for c in stats.NAMES if c not in keep})
-    return named.select(*(F.col(f"`{c}`") for c in keep), F.struct(*(f().alias(n) for n, f in STATISTICS.items())).alias("_s"))
+    row = df.select(F.struct(*(f"`{c}`" for c in keep)).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    made = blocks.map_text(row, "_text", COUNTS, _count, ["_row"]).select("_row", F.struct(*COUNTS.names).alias("_c"))
+    return made.select("_row.*", F.struct(*(f().alias(n) for n, f in STATISTICS.items())).alias("_s"))
 
 
 def paths(forest) -> list[Rule]:
@@ -129,5 +131,6 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
         known = known.where(usable)
     chosen = known.groupBy("_key").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(train_rows)
     slim = measured.select(F.col(f"`{key}`").alias("_key"), "_s")
-    intercept, rules = fit(slim.join(chosen, "_key").select("_label", "_s"), "_label")
+    with shared.scope(df.sparkSession):
+        intercept, rules = fit(slim.join(chosen, "_key").select("_label", "_s"), "_label")
     return measured.withColumn(score, compile_score(intercept, rules)).drop("_s")

@@ -361,8 +361,8 @@ def merge(span: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.StructType) -> DataFrame:
-    """Step 3: ``columns`` with n_bytes, spans and what is kept."""
+def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.StructType, as_text: bool) -> DataFrame:
+    """Step 3: ``columns`` with n_bytes, spans and what is kept, as bytes and perhaps as text."""
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         texts, keys = _texts(left)
         null = left.column("_id").is_null().to_pylist()
@@ -382,6 +382,8 @@ def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.Struc
             kept.append(b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)])))
             runs.append([{"first": x, "last": y - 1} for x, y in zip(a, b)])
         made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.binary())]
+        if as_text:
+            made.append(pa.array([raw.decode(errors="ignore") for raw in kept], pa.string()))
         return pa.Table.from_arrays([*(left.column(f"c{k}") for k in range(len(columns))), *made], names=schema.names)
 
     out = T.StructType([*(T.StructField(f"c{k}", schema[k].dataType) for k in range(len(columns))), *schema[len(columns):]])
@@ -394,15 +396,19 @@ def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.Struc
     return done.toDF(*schema.names)
 
 
-def remove(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: str | None = None) -> DataFrame:
     """``keep`` (all columns but ``text`` by default), n_bytes, removed (byte runs, first and last) and kept (bytes).
 
+    ``as_text`` names a further column with the kept text, without bytes of characters that were cut through.
+
     Null texts are empty. Documents with equal keys do not cover each other; rows without a key are neither
     searched nor covered. Matches never cross documents. A column of an added name is replaced.
     """
     added = T.StructType([T.StructField("n_bytes", T.LongType()),
                           T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
                           T.StructField("kept", T.BinaryType())])
+    if as_text:
+        added = added.add(as_text, T.StringType())
     columns = [c for c in (df.columns if keep is None else keep) if c != text and c not in added.names]
     docs = df.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
@@ -421,8 +427,10 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
                                               *(part.column(f"c{k}") for k in range(len(columns)))], names=zip_schema.names)
 
     zipped = docs.mapInArrow(zip_texts, zip_schema)
-    found = shared.materialize(find_anchors(docs, buckets))
-    entries = judge(found.where("kind = 1").select("bucket", "packed"), buckets).union(found.where("kind = 0").select("bucket", "packed"))
-    around = shared.materialize(surroundings(zipped, entries, buckets))
+    with shared.scope(df.sparkSession) as stay:
+        found = shared.materialize(find_anchors(docs, buckets))
+        entries = judge(found.where("kind = 1").select("bucket", "packed"), buckets).union(found.where("kind = 0").select("bucket", "packed"))
+        around = shared.materialize(surroundings(zipped, entries, buckets))
+        stay.append(around)
     spans = around.where("kind = 0").select("bucket", "packed").union(covered(around.where("kind = 1").select("bucket", "packed", "bytes"), buckets))
-    return cut(zipped, spans, columns, T.StructType([*(df.schema[c] for c in columns), *added]))
+    return cut(zipped, spans, columns, T.StructType([*(df.schema[c] for c in columns), *added]), bool(as_text))
