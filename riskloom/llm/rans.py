@@ -171,7 +171,7 @@ class Words:
     which that is not plain, and texts whose count comes out different, are encoded one by one.
     """
 
-    CACHED, TOGETHER = 400_000, 1000
+    CACHED, TOGETHER = 600_000, 1000
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
@@ -179,15 +179,19 @@ class Words:
 
         self.lib = Tokenizer.from_file(path)
         probe = "it's  1st\tWord\n<|endoftext|>x, naïve"
-        if self.each_alone([probe])[0] != [i for r in self.each_alone(probe.split()) for i in r]:
+        if self.alone([probe])[0] != [i for r in self.alone(probe.split()) for i in r]:
             raise ValueError("this tokenizer does not treat words alone")
         self.ends = np.zeros(self.lib.get_vocab_size(), bool)
         for token, i in self.lib.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.together = self.each_alone(["it's 1a,b!"]) == [self.several(["it's", "1a,b!"])[0] + self.several(["it's", "1a,b!"])[1]]
-        self.seen: dict[bytes, list[int]] = {}
+        self.clear()
 
-    def each_alone(self, texts: list[str]) -> list[list[int]]:
+    def clear(self) -> None:
+        """Words known so far: their number, and where their ids lie."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     @classmethod
@@ -199,38 +203,44 @@ class Words:
             return len(cls.SPLIT.findall(word.lower())) if word.isprintable() and "<|" not in word else 0
         return int(word.isalpha() and word.lower().isalpha() and unicodedata.is_normalized("NFC", word))
 
-    def several(self, words: list[str]) -> list[list[int]]:
-        ids = self.each_alone([" ".join(words)])[0]
-        end = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum([self.pieces(w) for w in words])
-        if len(end) != upto[-1] or end[-1] != len(ids):
-            return self.each_alone(words)
-        cut = end[upto - 1].tolist()
-        return [ids[a:b] for a, b in zip([0, *cut], cut)]
-
-    def raw(self, words: list[str]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        plain = [k for k, w in enumerate(words) if self.together and self.pieces(w)]
+    def several(self, words: list[str], pieces: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words one after another, and how many each has."""
+        ids = np.array(self.alone([" ".join(words)])[0], np.int32)
+        end, upto = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces)
+        if len(end) == upto[-1] and end[-1] == len(ids):
+            return ids, np.diff(end[upto - 1], prepend=0)
+        return self.joined(self.alone(words))
+
+    @staticmethod
+    def joined(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([i for e in each for i in e], np.int32), np.array([len(e) for e in each], np.int64)
+
+    def learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        pieces = list(map(self.pieces, words))
+        plain, rest = [k for k, n in enumerate(pieces) if n], [k for k, n in enumerate(pieces) if not n]
+        made = [self.joined(self.alone([words[k] for k in rest]))]
         for a in range(0, len(plain), self.TOGETHER):
             some = plain[a:a + self.TOGETHER]
-            for k, ids in zip(some, self.several([words[k] for k in some])):
-                out[k] = ids
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self.each_alone([words[k] for k in rest])):
-            out[k] = ids
-        return out
-
-    def each(self, distinct: list[bytes]) -> list[list[int]]:
-        if len(self.seen) > self.CACHED:
-            self.seen.clear()
-        new = [w for w in distinct if w not in self.seen]
-        self.seen.update(zip(new, self.raw([w.decode() for w in new])))
-        return [self.seen[w] for w in distinct]
+            made.append(self.several([words[k] for k in some], [pieces[k] for k in some]))
+        size = np.concatenate([n for _, n in made])
+        self.known.update((new[k], len(self.size) + i) for i, k in enumerate([*rest, *plain]))
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.ids)])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *(i for i, _ in made)])
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         flat, rows = blocks.words(column, blocks.BLANK_WORDS)
         codes, distinct = blocks.coded(flat)
-        ids, upto = blocks.spread(self.each(distinct.to_pylist()), codes)
+        distinct = distinct.to_pylist()
+        if len(self.known) > self.CACHED:
+            self.clear()
+        if new := [w for w in distinct if w not in self.known]:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+        n = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])]
         return blocks.ended(ids, upto[rows], end)
 
 
@@ -341,8 +351,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.parquet(f"{folder}/manifest")  # one row per file
     before = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     shares = F.greatest(F.lit(1), F.ceil(F.col("tokens") / SPLIT)).cast("int")
+    n = files.agg(F.sum(shares)).first()[0] or 1  # as many tasks as shares
     tasks = (files.select("file", F.coalesce(before, F.lit(0)).alias("start"), shares.alias("parts"))
-             .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(F.col("file"), F.col("part")))
+             .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(int(n), F.col("file"), F.col("part")))
 
     def run(batches):
         table = frequencies(folder)
