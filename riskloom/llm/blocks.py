@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.sources import shared
+
 SLICE_BYTES = 8 << 20
 
 
@@ -154,6 +157,12 @@ def ended(values: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return out, offsets + np.arange(k + 1)
 
 
+def light(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The frame as a table, to be broadcast if it is counted to have few rows (of fixed width), else to be joined by a shuffle."""
+    table = shared.materialize(df)
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def map_text(df: DataFrame, text: str, added: T.StructType, fn: Callable[[pa.Array], list[pa.Array]],
              keep: list[str] | None = None) -> DataFrame:
     """Append columns computed from a text column, slice by slice.

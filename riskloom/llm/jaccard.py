@@ -28,7 +28,6 @@ BITS = 2048
 LEAF, FAN = 8, 8
 CELL = 1500  # sets that one task searches at most against each other
 PAIRS = 1 << 12  # node pairs opened at once
-FEW = 1_000_000  # ids that are broadcast at most, as counted; more are joined by a shuffle
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,8 +216,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
         first = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where("hub < _last").drop("_last")
         shared_rows = shared.materialize(rows.join(first, "band"))
         pairs = shared.materialize(shared_rows.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        wanted = shared.materialize(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        wanted = blocks.light(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
 
         def shingles(column: pa.Array) -> list[pa.Array]:
             values, at = sets(column, k)

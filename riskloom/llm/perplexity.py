@@ -90,7 +90,7 @@ def count(df: DataFrame, lang: str, text: str, order: int) -> DataFrame:
                 key, of = np.unique(key, return_inverse=True)
                 held[code] = key, np.bincount(of, times, len(key)).astype(np.int64)
         for code, (key, times) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([code] * len(key)), pa.array(key), pa.array(times)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([code] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(times, pa.int64())], names=["lang", "gram", "n"])
 
     return df.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -105,7 +105,7 @@ def train(df: DataFrame, lang: str, text: str, order: int = ORDER) -> str:
         of = [F.sum((F.col("n") == j).cast("long")).alias(f"t{j}") for j in (1, 2, 3, 4)]
         y = F.when(F.col("t1") + 2 * F.col("t2") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.5)
         cut = [F.least(F.lit(j - 0.01), F.greatest(F.lit(0.1), F.when(F.col(f"t{j}") > 0, j - (j + 1) * y * F.col(f"t{j + 1}") / F.col(f"t{j}")).otherwise(0.5 * j))).alias(f"d{j}") for j in (1, 2, 3)]
-        discounts = level.groupBy("lang").agg(*of).select("lang", *cut)
+        discounts = blocks.light(level.groupBy("lang").agg(*of).select("lang", *cut))
         cut_here = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         each = level.join(discounts, "lang").select("lang", "gram", "n", cut_here.alias("d"), F.shiftright("gram", BITS).alias("context"))
         grams_k = each.select("lang", F.lit(k).alias("order"), F.lit(0).alias("kind"), F.col("gram").alias("key"), (F.col("n") - F.col("d")).alias("a"), F.lit(0.0).alias("b"))
@@ -235,5 +235,6 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
     spread = F.greatest(width * (F.col("_q")[1] - F.col("_q")[0]), F.lit(least))
     bands = (scored.where(~F.col("base_failed")).groupBy("_lang").agg(quarter.alias("_q"))
              .select("_lang", (F.col("_q")[0] - spread).alias("low"), (F.col("_q")[1] + spread).alias("high")))
+    bands = blocks.light(bands)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return scored.join(bands, "_lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")

@@ -45,6 +45,11 @@ NO_KEY = -(1 << 63)
 SPLIT = 2_000_000  # tokens that one reading task takes
 
 
+def turns_of(size: np.ndarray) -> np.ndarray:
+    """Turns in which a block of so many tokens is coded; its last one is filled up."""
+    return -(-size // LANES)
+
+
 class Frequencies:
     """Counts of symbols 0..n-1, scaled to a power of two; a symbol that occurs keeps at least one slot."""
 
@@ -75,6 +80,7 @@ class Frequencies:
             n = -(-len(part) // BLOCK)
             grid = np.full(n * BLOCK, filler, np.uint32)
             grid[:len(part)] = part
+            turns = turns_of(np.minimum(BLOCK, len(part) - BLOCK * np.arange(n)))[:, None]
             grid = grid.reshape(n, TURNS, LANES)
             state = np.full((n, LANES), LOW, np.uint64)
             out, emit = np.empty((TURNS, n, LANES), np.uint32), np.zeros((TURNS, n, LANES), bool)
@@ -82,11 +88,12 @@ class Frequencies:
             for turn in range(TURNS - 1, -1, -1):
                 s = grid[:, turn]
                 f = self.f[s]
-                full = state >= (f << (np.uint64(63) - bits))
+                live = turn < turns
+                full = live & (state >= (f << (np.uint64(63) - bits)))
                 out[turn], emit[turn] = state & MASK, full
                 state = np.where(full, state >> WORD, state)
                 q = state // f
-                state = (q << bits) + (state - q * f) + self.cum[s]
+                state = np.where(live, (q << bits) + (state - q * f) + self.cum[s], state)
                 if turn % CHECK == 0:
                     saved[turn // CHECK] = state
             for b in range(n):
@@ -108,14 +115,16 @@ class Frequencies:
             at = notes["at"].astype(np.int64) + np.repeat(base, NOTES)
             state = notes["state"].astype(np.uint64)
             out = np.empty((len(notes), CHECK, LANES), np.uint32)
+            turns = np.repeat(turns_of(np.array(sizes[a:a + AT_ONCE])), NOTES)[:, None] - CHECK * (np.arange(len(notes)) % NOTES)[:, None]
             for turn in range(CHECK):
                 slot = state & low
                 s = self.symbol[slot]
                 out[:, turn] = s
-                state = self.f[s] * (state >> bits) + slot - self.cum[s]
-                short = state < LOW
+                live = turn < turns
+                state = np.where(live, self.f[s] * (state >> bits) + slot - self.cum[s], state)
+                short = live & (state < LOW)
                 place = np.cumsum(short, axis=1) + (at[:, None] - 1)
-                state = np.where(short, state << WORD | stream[np.where(short, place, -1)], state)
+                state = np.where(short, state << WORD | stream[np.minimum(np.where(short, place, -1), len(stream) - 1)], state)
                 at += short.sum(1)
             grid = out.reshape(len(some), BLOCK)
             for k, (_, _, crc) in enumerate(some):
