@@ -21,7 +21,6 @@ from riskloom.schema import LABEL
 from riskloom.sources.shared import materialize
 
 SLICE_ROWS = 200_000  # distinct scores aimed at per task
-MAX_SLICES = 256
 
 
 def _edges(df: DataFrame, score: str, slices: int) -> tuple[list[float], set[int]]:
@@ -29,7 +28,7 @@ def _edges(df: DataFrame, score: str, slices: int) -> tuple[list[float], set[int
     if slices <= 1:
         return [], set()
     probs = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10_000)).first()[0]
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, max(10_000, 50 * slices))).first()[0]
     edges: set[float] = set()
     heavy: set[float] = set()
     for a, b in zip(cuts, cuts[1:]):
@@ -54,10 +53,11 @@ def _slice_ap(key_slice: int, pdf: pd.DataFrame, axis: int, cells: np.ndarray, n
     all_pos, all_neg = int(cell_pos.sum()), int(cell_neg.sum())
     ahead, mine = where > key_slice, np.flatnonzero(where == key_slice)
     spans = {}
-    ids = pdf["i"].to_numpy(np.int64) * (MAX_SLICES * 4) + pdf["j"].to_numpy(np.int64)
-    for c in mine:
-        own = np.flatnonzero(ids == int(cells[c, 0]) * (MAX_SLICES * 4) + int(cells[c, 1]))
-        spans[c] = (own[0], own[-1] + 1)
+    # Rows are in order of (i, j), as the cells are: each cell is a run of rows.
+    ids = pdf["i"].to_numpy(np.int64) << 32 | pdf["j"].to_numpy(np.int64)
+    named = cells[mine, 0].astype(np.int64) << 32 | cells[mine, 1].astype(np.int64)
+    for c, lo, hi in zip(mine, np.searchsorted(ids, named, "left"), np.searchsorted(ids, named, "right")):
+        spans[c] = (int(lo), int(hi))
     order = np.argsort(-value, kind="stable")
     sorted_values = value[order]
     starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
@@ -95,7 +95,7 @@ def replicates(df: DataFrame, scores: list[str], label: str = LABEL, n_boot: int
         df.groupBy(*[F.col(s).cast("double").alias(n) for s, n in zip(scores, names)])
         .agg(F.sum(label).cast("bigint").alias("pos"), F.sum(1 - F.col(label)).cast("bigint").alias("neg"))
     )
-    slices = max(1, min(MAX_SLICES, math.ceil(groups.count() / slice_rows)))
+    slices = max(1, math.ceil(groups.count() / slice_rows))
     hot: list[set[int]] = []
     placed = groups
     for n, into in zip(names, ("i", "j")):
@@ -104,7 +104,7 @@ def replicates(df: DataFrame, scores: list[str], label: str = LABEL, n_boot: int
         hot.append(single)
     if len(scores) == 1:
         placed = placed.withColumns({"j": F.lit(0), "s1": F.lit(0.0)})
-    # At most (2 * MAX_SLICES) squared cells, whatever the number of rows.
+    # Cells that hold scores; for one score as many as slices.
     table = placed.groupBy("i", "j").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).orderBy("i", "j")
     cells = np.array([[r["i"], r["j"], r["p"], r["n"]] for r in table.collect()], dtype=float)
     positives = float(cells[:, 2].sum())

@@ -152,7 +152,7 @@ def to_request(df: DataFrame) -> DataFrame:
 
     The limit is recovered from its ratio, ``none`` reads as no error, empty text as absent.
     """
-    text = lambda c: F.when(~F.col(c).isin("nan", "NaT", "<NA>", ""), F.col(c))
+    text = lambda c: F.when(F.col(c) != "", F.col(c))
     ratio = F.col("amount_to_credit_limit")
     return df.select(
         *[c for c in ("id",) if c in df.columns],

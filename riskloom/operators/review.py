@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.decisions import MODEL_VERSION, RULES
+from riskloom.sources.shared import materialize, scope
+from riskloom.sources.sinks import append_log
 
 ACTIONS = ("approve", "decline")
 MAX_REVIEWER, MAX_NOTE = 64, 500
@@ -65,29 +67,36 @@ def check_resolutions(resolutions: DataFrame) -> DataFrame:
 def resolve(events: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Match resolutions (request_id, ts, action, reviewer, note) to pending cases.
 
-    Returns (resolved events to append, rejected resolutions). Only the first well-formed
-    resolution of a case counts, so replaying a batch changes nothing.
+    Returns (resolved events to append, rejected resolutions). Of the well-formed resolutions of a pending case the
+    first is accepted; every other row is rejected with its reason, also one that repeats another. So
+    replaying a batch changes nothing.
     """
     checked = check_resolutions(resolutions)
-    body = F.struct("ts", "action", "reviewer", "note")
-    sound = checked.where(F.col("problem").isNull())
-    first = sound.groupBy("request_id").agg(F.min(body).alias("_r")).select("request_id", "_r.*")
+    said = ["ts", "action", "reviewer", "note"]
+    body = F.struct(*said)
+    # Rows that repeat each other are counted, map-side first, so many of them meet in no task.
+    sound = checked.where(F.col("problem").isNull()).groupBy("request_id", *said).agg(F.count(F.lit(1)).alias("_n"))
     cases = pending(events).select("request_id", "risk_score", "queued_reason")
-    accepted = first.join(cases, "request_id").select(
-        F.lit("resolved").alias("event"), "request_id", "ts", "action", "reviewer", "note",
-        "risk_score", "queued_reason")
-    unknown = (
-        first.join(cases.select("request_id"), "request_id", "left_anti")
-        .withColumn("problem", F.lit("no pending review"))
-    )
-    columns = ["request_id", "ts", "action", "reviewer", "note", "problem"]
-    later = sound.join(first.select("request_id", F.struct("ts", "action", "reviewer", "note").alias("_f")),
-                       "request_id").where(body != F.col("_f")).withColumn("problem", F.lit("no pending review"))
-    rejected = (checked.where(F.col("problem").isNotNull()).select(*columns)
-                .unionByName(unknown.select(*columns)).unionByName(later.select(*columns)))
+    first = sound.groupBy("request_id").agg(F.min(body).alias("_r")).join(cases, "request_id")
+    accepted = first.select(F.lit("resolved").alias("event"), "request_id", "_r.*", "risk_score", "queued_reason")
+    taken = first.select("request_id", F.col("_r").alias("_taken"))
+    rest = F.col("_n") - F.coalesce((body == F.col("_taken")).cast("int"), F.lit(0))
+    columns = ["request_id", *said, "problem"]
+    others = (sound.join(taken, "request_id", "left").where(rest > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), rest)))
+              .withColumn("problem", F.lit("no pending review")))
+    rejected = checked.where(F.col("problem").isNotNull()).select(*columns).unionByName(others.select(*columns))
     return accepted, rejected
 
 
+def resolve_and_log(events: DataFrame, resolutions: DataFrame, queue: str, audit: str, rejects: str) -> None:
+    """Append accepted resolutions to the queue's log with an audit row each, and the others to a log of their own."""
+    with scope(events.sparkSession):
+        accepted, rejected = (materialize(x) for x in resolve(events, resolutions))
+        append_log(accepted, queue)
+        append_log(resolution_audit(accepted), audit)
+        append_log(rejected, rejects)
+
+
 def resolution_audit(accepted: DataFrame, version: str = MODEL_VERSION) -> DataFrame:
     """The audit row that every accepted resolution leaves behind."""
     return accepted.select(

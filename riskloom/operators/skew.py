@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 SHARE = 500
 # A lookup table is broadcast only after a count has shown it to be at most this long.
 BROADCAST_ROWS = 50_000
+# Tasks over which the facts of one key spread in a lookup by shuffle.
+SALTS = 16
 
 
 class DuplicateKey(ValueError):
     """The one-side of a many-to-one join repeats a key."""
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, count) of keys that stand on several rows; a missing key is none."""
+    return df.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull())
+
+
 def check_unique(df: DataFrame, key: str) -> None:
-    repeated = df.groupBy(key).count().where((F.col("count") > 1) & F.col(key).isNotNull()).limit(3).collect()
+    repeated = repeated_keys(df, key).limit(3).collect()
     if repeated:
         raise DuplicateKey(f"{key} repeats, e.g. {[r[key] for r in repeated]}")
 
@@ -34,22 +41,22 @@ def dominant_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
     return [r[key] for r in heavy.collect()]
 
 
-def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCAST_ROWS,
-                hot_rows: int = 1_000_000) -> DataFrame:
-    """Many-to-one left join; ``dim`` holds one row per key.
+def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """Many-to-one left join; ``dim`` holds one row per key. The facts are scanned once, whatever the size of ``dim``.
 
-    A table counted to be small is broadcast. A larger one is joined by shuffle, with the hot
-    keys of the fact side taken out first: they are few by counting, so their lookup rows
-    (one each) are broadcast and their facts never meet in one task.
+    A table counted to be small is broadcast. A larger one is joined by one shuffle on key and salt: facts draw
+    a salt, and each row of ``dim`` stands once for every salt, so the facts of one key, and those without a
+    key, spread over ``salts`` tasks.
     """
     if is_small(dim, small):
         return facts.join(F.broadcast(dim), key, "left")
-    hot = dominant_keys(facts, key, hot_rows)
-    # A NULL key matches nothing, so its rows need no shuffle either.
-    apart = facts[key].isNull() | facts[key].isin(hot) if hot else facts[key].isNull()
-    few = dim.where(F.col(key).isin(hot)) if hot else dim.limit(0)
-    spread = facts.where(apart).join(F.broadcast(few), key, "left")
-    return facts.where(~apart).join(dim, key, "left").unionByName(spread)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in facts.columns if not _nested(facts, c))), F.lit(salts)).cast("int")
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return facts.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def _nested(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("map", "variant")
 
 
 def inner_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
@@ -71,5 +78,5 @@ def crowded_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows, as a table: their number grows with the data."""
     return (
         df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > limit) & F.col(key).isNotNull()).select(key)
+        .where(F.col("_n") > limit).select(key)
     )

@@ -29,7 +29,9 @@ def by_time(df: DataFrame, fractions: dict[str, float], ts: str = "date", key: s
     """
     names = list(fractions)
     base = df if source is None else source
-    n = base.count()
+    n, timed = base.agg(F.count(F.lit(1)), F.count(F.col(ts))).first()
+    if timed < n:
+        raise ValueError(f"{n - timed} rows have no {ts}: they belong to no split")
     ends, start = [], 0
     for name in names[:-1]:
         start += int(n * fractions[name])

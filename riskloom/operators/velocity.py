@@ -13,7 +13,10 @@ Two plans give identical results and are chosen per card by row count:
   a card spreads over as many tasks as it has granules, and a granule holds no more ticks than
   the clock has instants in it.
 
-Amounts are added as decimals, so totals do not depend on row order or plan.
+Amounts are added as decimals, so totals do not depend on row order or plan. What a row gets depends on
+values only: of rows at one instant, those with the least id look back to the instant before and
+the others see this one; the first use of a category is at the least (instant, id), on every row that has
+it. A missing card is a card of its own, and an id may occur on several rows and cards.
 """
 
 from __future__ import annotations
@@ -42,14 +45,16 @@ def add_velocity(df: DataFrame, card: str = "card_id", ts: str = "date", key: st
     elif force == "prefix":
         raw = _prefix(rows, card, key, category, granule_us)
     else:
-        busy = materialize(crowded_keys(rows, card, crowded))
+        rows = materialize(rows)  # read by the count and by both plans
+        busy = materialize(crowded_keys(rows, card, crowded).withColumnRenamed(card, "_busy"))
         if busy.isEmpty():
             raw = _frames(rows, card, key, category)
         else:
             if is_small(busy):
                 busy = F.broadcast(busy)
-            raw = _frames(rows.join(busy, card, "left_anti"), card, key, category).unionByName(
-                _prefix(rows.join(busy, card, "left_semi"), card, key, category, granule_us))
+            same = rows[card].eqNullSafe(busy["_busy"])
+            raw = _frames(rows.join(busy, same, "left_anti"), card, key, category).unionByName(
+                _prefix(rows.join(busy, same, "left_semi"), card, key, category, granule_us))
     return _finish(raw, df.columns, amount)
 
 
@@ -74,14 +79,15 @@ def _zero(c: Column) -> Column:
 
 
 def _frames(rows: DataFrame, card: str, key: str, category: str) -> DataFrame:
-    # (card, category) is clustered already once rows are clustered by card, and the range
-    # order (card, clock) is a prefix of the lag order: one exchange, two sorts in all.
-    by_card = Window.partitionBy(card).orderBy("_us", key)
-    by_category = Window.partitionBy(card, category).orderBy("_us", key)
+    # (card, category) and (card, instant) are clustered already once rows are clustered by card: one exchange.
+    instant = Window.partitionBy(card, "_us")
+    before = Window.partitionBy(card).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     trail = {s: Window.partitionBy(card).orderBy("_us").rangeBetween(-w, -1) for s, w in SPANS.items()}
+    use = F.struct("_us", key)
+    leads = F.col(key).eqNullSafe(F.min(key).over(instant))
     return (
-        rows.withColumn("_first_mcc", F.row_number().over(by_category) == 1)
-        .withColumn("_prev_us", F.lag("_us").over(by_card))
+        rows.withColumn("_first_mcc", use == F.min(use).over(Window.partitionBy(card, category)))
+        .withColumn("_prev_us", F.when(leads, F.max("_us").over(before)).otherwise(F.col("_us")))
         .select(
             *rows.columns, "_first_mcc", "_prev_us",
             *[F.count(F.lit(1)).over(trail[s]).alias(f"_n_{s}") for s in SPANS],
@@ -94,6 +100,8 @@ def _frames(rows: DataFrame, card: str, key: str, category: str) -> DataFrame:
 def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int) -> DataFrame:
     if any(w % granule_us for w in SPANS.values()):
         raise ValueError("the granule must divide every window")
+    plain, given, card = rows.columns, card, "_card"
+    rows = rows.withColumn(card, F.struct(given))  # a struct is never NULL itself, so a missing card joins like any other
     ticks = rows.groupBy(card, "_us").agg(
         F.count(F.lit(1)).alias("_tn"), F.sum("_amt").alias("_tm"), F.min(key).alias("_lead"))
     placed = ticks.select(
@@ -137,16 +145,16 @@ def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int
     )
     # Written once: the lookup below reads it per branch, and its row counts name the hot ticks.
     wide = inner_lookup(rows, materialize(windows), [card, "_us"], "_rows").withColumn(
-        "_prev_us", F.when(F.col(key) == F.col("_lead"), F.col("_before")).otherwise(F.col("_us")))
+        "_prev_us", F.when(F.col(key).eqNullSafe(F.col("_lead")), F.col("_before")).otherwise(F.col("_us")))
     # The first use of a (card, category) pair by a plain minimum: combined map-side, so a pair
     # that covers most of the table is still one row per task after the partial aggregation.
     firsts = (
         rows.groupBy(card, category).agg(F.min(F.struct("_us", key)).alias("f"))
-        .select(F.col(f"f.{key}").alias(key), F.lit(True).alias("_is_first"))
+        .select(F.struct(F.col(card), F.col(category), F.col("f._us").alias("_us"), F.col(f"f.{key}").alias(key)).alias("_use"),
+                F.lit(True).alias("_is_first"))
     )
     return (
-        wide.join(firsts, key, "left")
+        wide.withColumn("_use", F.struct(F.col(card), F.col(category), F.col("_us"), F.col(key))).join(firsts, "_use", "left")
         .withColumn("_first_mcc", F.coalesce("_is_first", F.lit(False)))
-        .drop("_is_first", "_before", "_lead", "_rows")
-        .select(*rows.columns, *RAW)
+        .select(*plain, *RAW)
     )

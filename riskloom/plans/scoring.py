@@ -69,15 +69,29 @@ def raw_score(df: DataFrame, service: Service) -> DataFrame:
     return out.withColumn("raw_score", score).drop(*[f"_score_{n}" for n in wanted])
 
 
-def score(requests: DataFrame, service: Service, explained: bool = True) -> DataFrame:
+def with_ids(kept: DataFrame, origin: str) -> DataFrame:
+    """Give requests without an id one of their own: fingerprint, origin, and a number among equal requests.
+
+    Equal rows are counted, map-side first, and dealt out again with numbers, so a retried batch repeats the ids
+    and twins stay two requests.
+    """
+    nameless = kept.where("request_id IS NULL")
+    if nameless.isEmpty():
+        return kept
+    apart = nameless.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    made = F.concat_ws("-", "input_sha256", F.lit(origin or None), F.col("_k").cast("string"))
+    return kept.where("request_id IS NOT NULL").unionByName(apart.withColumn("request_id", made).select(*kept.columns))
+
+
+def score(requests: DataFrame, service: Service, explained: bool = True, origin: str = "") -> DataFrame:
     """Requests to decisions. Works on batches and inside a stream's micro-batches.
 
-    ``request_id`` comes from the caller so that a retried task logs the same id; without one,
-    the fingerprint of the request stands in.
+    ``request_id`` comes from the caller so that a retried task logs the same id; without one, the fingerprint
+    of the request, ``origin`` (which batch it came in) and a number stand in.
     """
     typed = as_requests(requests)
     kept = typed.withColumns({"input_sha256": fingerprint(typed), "request_category": F.col("mcc_category")})
-    kept = kept.withColumn("request_id", F.coalesce("request_id", "input_sha256"))
+    kept = with_ids(kept, origin)
     rows = raw_score(featurize(kept, service.dictionaries), service)
     explainer = service.members.get(service.point.explainer)
     if explained and explainer is not None and explainer.name != "linear":

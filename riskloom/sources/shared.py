@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get(SETTING, None) or sc.getConf().get(SETTING)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set(SETTING, named)

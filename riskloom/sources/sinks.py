@@ -46,6 +46,21 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_batch(df: DataFrame, path: str, batch: int) -> None:
-    """The rows of one micro-batch. A replayed batch overwrites itself, so nothing is logged twice."""
-    df.write.mode("overwrite").json(f"{path}/batch={batch}")
+def write_batch(df: DataFrame, path: str, stream: str, batch: int) -> None:
+    """The rows of one micro-batch of one stream.
+
+    A batch that the same stream replays overwrites itself, so nothing is logged twice. A stream with a new
+    checkpoint has a new id and so leaves what others have written.
+    """
+    df.write.mode("overwrite").json(f"{path}/stream={stream}/batch={batch}")
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps with a stream's checkpoint for as long as that exists."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def quarantine(parsed: DataFrame, path: str) -> DataFrame:
+    """Append the rejected requests of a batch to the log at ``path``; return the sound ones."""
+    append_log(parsed.where("reject_reason IS NOT NULL").select("body", "reject_reason"), path)
+    return parsed.where("reject_reason IS NULL").drop("body", "reject_reason")

@@ -8,48 +8,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.plans.scoring import Service, log_rows, score
-from riskloom.sources.sinks import write_batch
+from riskloom.sources.sinks import stream_id, write_batch
 
 
 def score_stream(requests: DataFrame, service: Service, audit: str, queue: str, checkpoint: str,
-                 explained: bool = True):
+                 explained: bool = True, rejects: str | None = None):
     """Start scoring a stream of requests; each micro-batch appends to the audit log and the queue.
 
+    Parsed requests may still hold rejected ones (``reject_reason``): these go to the log at ``rejects``.
     Scoring keeps no state, so no watermark is needed. A batch that is replayed after a failure
-    overwrites its own directory, which makes both logs exactly-once.
+    overwrites its own directory, which makes all logs exactly-once.
     """
+    checked = "reject_reason" in requests.columns
+    if checked and not rejects:
+        raise ValueError("rejected requests need a log to go to")
+
     def append(batch: DataFrame, number: int) -> None:
-        scored = score(batch, service, explained).persist()  # two sinks read it
+        stream = stream_id(batch.sparkSession, checkpoint)
+        if checked:
+            write_batch(batch.where("reject_reason IS NOT NULL").select("body", "reject_reason"), rejects, stream, number)
+            batch = batch.where("reject_reason IS NULL").drop("body", "reject_reason")
+        scored = score(batch, service, explained, f"{stream}-{number}").persist()  # two sinks read it
         rows, cases = log_rows(scored, service)
-        write_batch(rows, audit, number)
-        write_batch(cases, queue, number)
+        write_batch(rows, audit, stream, number)
+        write_batch(cases, queue, stream, number)
         scored.unpersist()
 
     return (requests.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-STATE = "status string, risk_score double, ts string"
+STATE = "ts string, resolved boolean, status string, risk_score double"
+
 
+def _fold(keep_ms: int):
+    def fold(key: tuple, batches, state: GroupState):
+        """The latest event of one case, a resolution after a queueing of the same time: in whatever order they arrive."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = tuple(state.get) if state.exists else None
+        last = 0
+        for rows in batches:
+            for r in rows.itertuples():
+                if r.event not in ("queued", "resolved"):
+                    continue
+                now = (r.ts or "", r.event == "resolved")
+                status = r.action if now[1] else "pending"
+                risk = None if pd.isna(r.risk_score) else float(r.risk_score)
+                if best is None or now > (best[0], best[1]):
+                    best = (*now, status, risk)
+                last = max(last, 0 if pd.isna(r.at_ms) else int(r.at_ms))
+        if best is None:
+            return
+        state.update(best)
+        if best[1]:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + keep_ms)
+        yield pd.DataFrame({"request_id": [key[0]], "status": [best[2]], "risk_score": [best[3]], "ts": [best[0]]})
 
-def _fold(key: tuple, batches, state: GroupState):
-    """Latest status of one case. Events of a case are few: queued once, resolved once."""
-    status, risk, seen = state.get if state.exists else (None, None, "")
-    rows = pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable")  # queued < resolved
-    for r in rows.itertuples():
-        if r.event == "queued":
-            status, risk, seen = "pending", r.risk_score, r.ts
-        elif status == "pending" and r.event == "resolved":
-            status, seen = r.action, r.ts
-    state.update((status, risk, seen))
-    yield pd.DataFrame({"request_id": [key[0]], "status": [status], "risk_score": [risk], "ts": [seen]})
+    return fold
 
 
-def review_stream(events: DataFrame) -> DataFrame:
-    """Status changes of review cases, with the open cases held in the state store by request_id."""
-    return events.select("request_id", "event", "ts", "risk_score", "action").groupBy("request_id").applyInPandasWithState(
-        _fold, "request_id string, status string, risk_score double, ts string", STATE, "update",
-        GroupStateTimeout.NoTimeout)
+def review_stream(events: DataFrame, keep_days: int = 90) -> DataFrame:
+    """Status changes of review cases, with cases held in the state store by request_id.
+
+    The status is that of ``review.state`` over the same events, whatever their order. A resolved case leaves the
+    state once the watermark is ``keep_days`` past its last event; an event that comes later still opens it anew.
+    """
+    at = events.withColumn("at", F.col("ts").try_cast("timestamp")).withWatermark("at", f"{keep_days} days")
+    rows = at.select("request_id", "event", "ts", "risk_score", "action", F.unix_millis("at").alias("at_ms"), "at")
+    return rows.groupBy("request_id").applyInPandasWithState(
+        _fold(keep_days * 86_400_000), "request_id string, status string, risk_score double, ts string", STATE, "update",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import features, hashing, parsing, text
@@ -170,11 +171,11 @@ _EVIDENCE = f"""WITH {FRAME}, o AS (SELECT avg(is_fraud) AS o FROM f),
 
 
 @query(f"""{_EVIDENCE} SELECT f.id, round(r / o, 2) AS lift, round(pct, 6) AS percentile,
-  CASE WHEN r IS NULL THEN 'merchant category: ' || mcc_category || ' (no reference data)' ELSE 'merchant category: ' || mcc_category || ' — ' || format('{{:.2f}}%', r * 100) || ' of transactions in this group were fraud'
-   || CASE WHEN r / o >= 1.5 THEN ' (' || format('{{:.1f}}', r / o) || 'x the overall rate)' ELSE '' END
-   || ', against ' || format('{{:.2f}}%', o * 100) || ' overall (n=' || format('{{:,}}', n) || ')' END AS category_evidence,
-  'transaction size (ignoring refund sign): ' || format('{{:,.2f}}', p.v) || ' — ' || CASE WHEN pct >= 0.5 THEN 'higher' ELSE 'lower' END
-   || ' than ' || format('{{:.1f}}', (CASE WHEN pct >= 0.5 THEN pct ELSE 1 - pct END) * 100) || '% of legitimate transactions' AS amount_evidence
+  CASE WHEN r IS NULL THEN 'merchant category = ' || mcc_category || ': too few rows to compare'
+   ELSE 'merchant category = ' || mcc_category || ': fraud in ' || format('{{:.2f}}%', r * 100) || ' of ' || format('{{:,}}', n) || ' rows, '
+   || format('{{:.2f}}%', o * 100) || ' in all rows' || CASE WHEN r / o >= 1.5 THEN ', ' || format('{{:.1f}}', r / o) || ' times as much' ELSE '' END END AS category_evidence,
+  'transaction size (ignoring refund sign) = ' || format('{{:,.2f}}', p.v) || ': ' || CASE WHEN pct >= 0.5 THEN 'above' ELSE 'below' END
+   || ' ' || format('{{:.1f}}', (CASE WHEN pct >= 0.5 THEN pct ELSE 1 - pct END) * 100) || '% of rows without fraud' AS amount_evidence
   FROM f JOIN p ON f.id = p.id LEFT JOIN r ON f.mcc_category = r.level AND n >= 200 CROSS JOIN o""")
 def evidence_text(spark, sf):
     """One sentence of evidence per feature value: base rate and lift, or a percentile."""
@@ -377,6 +378,19 @@ _REVIEW = f"""{TXN}, cases AS (SELECT * FROM t WHERE {_BAND} = 'review'),
   pend AS (SELECT * FROM cases WHERE id NOT IN (SELECT id FROM done))"""
 
 
+@query(f"""WITH {_REVIEW}, twice AS (SELECT request_id, action, n FROM res, (VALUES (1), (2)) c(n))
+  SELECT request_id, n - 1 AS nth, CASE WHEN action = 'escalate' THEN 'action must be approve or decline'
+    WHEN n = 1 AND request_id IN (SELECT request_id FROM done) THEN 'accepted' ELSE 'no pending review' END AS outcome FROM twice""")
+def review_every_resolution(spark, sf):
+    """Every resolution comes in twice: each row is accepted once or rejected with a reason."""
+    cases = decisions.review_cases(_decided(spark, sf), POINT, F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    asked = _resolutions(spark, sf)
+    done, rejected = review.resolve(cases, asked.union(asked))
+    every = done.select("request_id", F.lit("accepted").alias("outcome")).unionByName(rejected.select("request_id", F.col("problem").alias("outcome")))
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("outcome")) - 1
+    return every.select("request_id", nth.alias("nth"), "outcome")
+
+
 @query(f"""WITH {_REVIEW} SELECT CAST(id AS VARCHAR) AS request_id, round(score, 6) AS risk_score, format('{{:.2f}}%', score * 100) AS risk_percent, amount,
   mcc_category AS merchant_category, 'score in review band' AS queued_reason, 'RULE_REVIEW_BAND_BELOW_BLOCK_THRESHOLD' AS rule_id FROM cases""")
 def review_queued(spark, sf):

@@ -172,9 +172,8 @@ def top_factors(spark, sf):
 def tuned_search(spark, sf):
     """Two trials of the seeded search, scored on val_fit."""
     rows, levels = _modelling_rows(spark, sf)
-    limits = {"maxIter": 5, "maxDepth": 3}
     trials = tuning.tune(spark, "linear", _part(rows, "train"), _part(rows, "val_fit"), levels, scratch(spark, "trials"),
-                         trials=2, frac=0.5, limits=limits)
+                         trials=2, frac=1.0)
     return trials.select("family", "number", "params", "half_life", "value")
 
 
@@ -229,11 +228,57 @@ def stream_score(spark, sf):
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("value").alias("amount"),
                               F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.col("event_type").alias("mcc_category")))
     parsed = requests.parse_json(_event_stream(spark, sf).select(body.alias("body")))
-    sound = parsed.where("reject_reason IS NULL").drop("body", "reject_reason")
-    streams.score_stream(sound, _formula_service(), f"{base}/audit", f"{base}/queue", f"{base}/state").awaitTermination()
+    streams.score_stream(parsed, _formula_service(), f"{base}/audit", f"{base}/queue", f"{base}/state", rejects=f"{base}/rejects").awaitTermination()
     return spark.read.json(f"{base}/audit").select("request_id", "amount", "risk_score", "decision", "rule_id")
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_id % 7 = 0 THEN 'amount is required'
+    WHEN event_id % 11 = 0 THEN 'amount has the wrong type' END AS reject_reason FROM events""")
+def stream_rejects(spark, sf):
+    """A stream with bad requests: what is scored and what is set apart together are all of them."""
+    base = scratch(spark, "rejects")
+    amount = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.lit("much")).otherwise(F.col("value").cast("string"))
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), amount.alias("amount"), F.col("event_type").alias("mcc_category")))
+    parsed = requests.parse_json(_event_stream(spark, sf).select(body.alias("body")))
+    streams.score_stream(parsed, _formula_service(), f"{base}/audit", f"{base}/queue", f"{base}/state", rejects=f"{base}/rejects").awaitTermination()
+    bad = spark.read.json(f"{base}/rejects").select(F.get_json_object("body", "$.request_id").alias("request_id"), "reject_reason")
+    return spark.read.json(f"{base}/audit").select("request_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(bad)
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(2 AS BIGINT) AS times FROM events")
+def stream_restart(spark, sf):
+    """A second stream with a checkpoint of its own adds to the log and leaves what the first one wrote."""
+    base = scratch(spark, "restart")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("value").alias("amount")))
+    parsed = requests.parse_json(_event_stream(spark, sf).select(body.alias("body")))
+    for run in ("one", "two"):
+        streams.score_stream(parsed, _formula_service(), f"{base}/audit", f"{base}/queue", f"{base}/{run}", rejects=f"{base}/rejects").awaitTermination()
+    return spark.read.json(f"{base}/audit").groupBy("request_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+_STATUS = f"""WITH {_REVIEW} SELECT CAST(id AS VARCHAR) AS request_id, 'pending' AS status, round(score, 6) AS risk_score FROM pend
+  UNION ALL SELECT request_id, action, risk_score FROM done"""
+
+
+@query(_STATUS)
+def stream_review_shuffled(spark, sf):
+    """Review events that arrive in any order end in the status that the whole log gives."""
+    base = scratch(spark, "review-shuffled")
+    log, _, _ = _log(spark, sf)
+    log = materialize(log.select("event", "request_id", "ts", "risk_score", "action"))
+    late = F.pmod(F.xxhash64("request_id", "event"), F.lit(3))
+    for part in range(3):
+        log.where(late == part).coalesce(1).write.mode("append").json(f"{base}/events")
+    events = spark.readStream.schema(REVIEW_EVENT).option("maxFilesPerTrigger", 1).json(f"{base}/events")
+
+    def append(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/changes/b={number}")
+
+    (streams.review_stream(events).writeStream.outputMode("update").foreachBatch(append)
+     .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination())
+    return streams.latest_status(spark.read.parquet(f"{base}/changes")).select("request_id", "status", "risk_score")
+
+
 @query(f"""WITH {_REVIEW} SELECT CAST(id AS VARCHAR) AS request_id, 'pending' AS status, round(score, 6) AS risk_score FROM pend
   UNION ALL SELECT request_id, action, risk_score FROM done""")
 def stream_review(spark, sf):

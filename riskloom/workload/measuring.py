@@ -120,11 +120,15 @@ def cost_sweep(spark, sf):
     return _money_rounded(metrics.cost_sweep(transactions(spark, sf), score="score_b"))
 
 
-@query(f"""WITH {TXN}, {split_sql()}, {_yp('score', 's', "split = 'test'")}, {_GRID}, {_SWEEP} {_COSTED.format(src='x')}""")
+_ACTIVE = """v AS (SELECT *, count(*) OVER (PARTITION BY card_id ORDER BY epoch_us(date)
+  RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS card_txns_7d FROM s)"""
+
+
+@query(f"""WITH {TXN}, {split_sql()}, {_ACTIVE}, {_yp('score', 'v', "split = 'test' AND card_txns_7d > 0")}, {_GRID}, {_SWEEP} {_COSTED.format(src='x')}""")
 def cost_curve(spark, sf):
-    """Flagship: enrich with velocity, split by time, then the whole cost curve of the test period."""
+    """Flagship: velocity windows, time split, then the cost curve of the test period on cards active in the week before."""
     t = transactions(spark, sf)
-    test = splits.time_split(add_velocity(t), source=t).where("split = 'test'")
+    test = splits.time_split(add_velocity(t), source=t).where("split = 'test' AND card_txns_7d > 0")
     return _money_rounded(metrics.cost_sweep(test))
 
 
@@ -217,14 +221,12 @@ def aligned_predictions(spark, sf):
 
 @query()
 def bootstrap_interval(spark, sf):
-    t = transactions(spark, sf).withColumn("score", F.round("score", 3))
-    return bootstrap.ap_interval(t, n_boot=200)
+    return bootstrap.ap_interval(transactions(spark, sf))
 
 
 @query()
 def paired_bootstrap(spark, sf):
-    t = transactions(spark, sf).withColumn("score", F.round("score", 3))
-    return bootstrap.paired_delta(t, "score", "score_b", n_boot=200)
+    return bootstrap.paired_delta(transactions(spark, sf), "score", "score_b")
 
 
 # ----------------------------------------------------------------------------- weights
@@ -299,13 +301,17 @@ def blend_search(spark, sf):
                        F.round("average_precision", 9).alias("average_precision"))
 
 
-@query("""SELECT CAST(i AS DOUBLE) / 10 AS a, CAST(j AS DOUBLE) / 10 AS b, CAST(10 - i - j AS DOUBLE) / 10 AS c, n.rows
-  FROM range(0, 11) g(i), range(0, 11) h(j), (SELECT count(*) AS rows FROM events) n WHERE i + j <= 10""")
+@query(f"""WITH {TXN}, p AS (SELECT CAST(i AS DOUBLE) / 10 AS a, CAST(j AS DOUBLE) / 10 AS b, CAST(10 - i - j AS DOUBLE) / 10 AS c
+  FROM range(0, 11) g(i), range(0, 11) h(j) WHERE i + j <= 10)
+  SELECT a, b, c, count(*) FILTER (WHERE a * score + b * score_b + c * (k / CAST(100 AS DOUBLE)) >= 0.5000001) AS blocked FROM p, t GROUP BY ALL""")
 def simplex_points(spark, sf):
-    """The blend grid itself, with the number of rows each point has to score."""
-    rows = read(spark, sf, "events").agg(F.count(F.lit(1)).alias("rows")).scalar()
-    w = F.col("weights")
-    return blending.simplex(spark, 3).select(w[0].alias("a"), w[1].alias("b"), w[2].alias("c"), rows.alias("rows"))
+    """How many rows each point of the blend grid would block: one pass, one counter for each point."""
+    t = transactions(spark, sf)
+    points = [tuple(float(x) for x in r["weights"]) for r in blending.simplex(spark, 3).collect()]  # 66 fixed points
+    blocked = [F.count_if(F.lit(a) * F.col("score") + F.lit(b) * F.col("score_b") + F.lit(c) * (F.col("k") / 100) >= 0.5000001) for a, b, c in points]
+    counted = t.agg(F.array(*blocked).alias("n"))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.get("n", F.lit(i)).alias("blocked")) for i, (a, b, c) in enumerate(points)])
+    return counted.select(F.inline(rows))
 
 
 @query(f"""WITH {TXN}, q AS (SELECT unnest(quantile_cont(score, list_transform(range(0, 11), lambda i: i / CAST(10 AS DOUBLE)))) AS x FROM t),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import features, parsing
 from riskloom.operators import context, splits
-from riskloom.operators.skew import left_lookup
+from riskloom.operators.skew import left_lookup, repeated_keys
 from riskloom.operators.velocity import add_velocity
 from riskloom.operators import medians
 from riskloom.workload.tables import (CARD, ENRICHED, TXN, USER, cards, enriched, read, split_sql,
@@ -119,7 +119,7 @@ def join_validated(spark, sf):
     """The many-to-one check on a dimension in which every tenth key repeats."""
     c = cards(spark, sf).select("card_id")
     doubled = c.unionByName(c.where(F.col("card_id") % 10 == 0))
-    return doubled.groupBy("card_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return repeated_keys(doubled, "card_id").withColumnRenamed("count", "copies")
 
 
 @query("""SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT)
@@ -268,6 +268,33 @@ def velocity_ties_crowded(spark, sf):
         "id", "card_txns_7d", F.round("hours_since_card_txn", 6).alias("hours_since_card_txn"), "new_mcc_for_card")
 
 
+_ODD = """WITH t AS (SELECT event_id - event_id % 3 AS id, CASE WHEN user_id % 5 > 0 THEN user_id END AS card_id,
+  date_trunc('hour', ts) AS date, abs(value) AS abs_amount, event_type AS mcc_category FROM events),
+  u AS (SELECT *, min(id) OVER (PARTITION BY card_id, date) AS lead_id, max(epoch_us(date)) OVER w AS before_us,
+    min(struct_pack(u := epoch_us(date), i := id)) OVER (PARTITION BY card_id, mcc_category) AS first_use,
+    count(*) OVER w7 AS card_txns_7d, CAST(coalesce(sum(CAST(abs_amount AS DECIMAL(18,6))) OVER w1, 0) AS DOUBLE) AS card_amount_24h
+    FROM t WINDOW w AS (PARTITION BY card_id ORDER BY epoch_us(date) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    w1 AS (PARTITION BY card_id ORDER BY epoch_us(date) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING),
+    w7 AS (PARTITION BY card_id ORDER BY epoch_us(date) RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING))
+  SELECT plan, id, card_id, mcc_category, card_txns_7d, card_amount_24h,
+    round(CASE WHEN id = lead_id THEN (epoch_us(date) - before_us) / 3.6e9 ELSE 0 END, 6) AS hours_since_card_txn,
+    CASE WHEN first_use.u = epoch_us(date) AND first_use.i = id THEN 1 ELSE 0 END AS new_mcc_for_card
+  FROM u, (VALUES ('frames'), ('prefix'), ('mixed')) p(plan)"""
+
+
+@query(_ODD)
+def velocity_edge_cases(spark, sf):
+    """Missing cards, ids on several rows and cards, equal instants: all plans must give the same rows."""
+    e = read(spark, sf, "events")
+    odd = e.select((F.col("event_id") - F.col("event_id") % 3).alias("id"), F.when(F.col("user_id") % 5 > 0, F.col("user_id")).alias("card_id"),
+                   F.date_trunc("hour", "ts").cast("timestamp").alias("date"), F.abs("value").alias("abs_amount"), F.col("event_type").alias("mcc_category"))
+    plans = {"frames": {"force": "frames"}, "prefix": {"force": "prefix"}, "mixed": {"crowded": 20}}
+    made = [add_velocity(odd, **kw).select(F.lit(plan).alias("plan"), "id", "card_id", "mcc_category", "card_txns_7d", "card_amount_24h",
+                                           F.round("hours_since_card_txn", 6).alias("hours_since_card_txn"), "new_mcc_for_card")
+            for plan, kw in plans.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 # --------------------------------------------------------------- splits and samples
 
 

@@ -81,12 +81,22 @@ def test_left_lookup_plans_agree(spark):
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(1, 40)], "k int, name string")
     want = {(i, f"n{k}" if k is not None and k < 40 else None) for i, k in enumerate(keys)}
-    for small, hot in ((1000, 10), (0, 10), (0, 10**9)):
-        got = left_lookup(facts, dim, "k", small=small, hot_rows=hot)
+    for small, salts in ((1000, 4), (0, 4), (0, 1)):
+        got = left_lookup(facts, dim, "k", small=small, salts=salts)
         assert {(r["i"], r["name"]) for r in got.collect()} == want
     assert dominant_keys(facts, "k", 10) == [1, 2] or set(dominant_keys(facts, "k", 10)) == {1, 2}
 
 
+def test_chained_lookups_scan_the_facts_once(spark, tmp_path):
+    spark.range(50).selectExpr("id", "id % 3 AS a", "id % 5 AS b", "id % 7 AS c").write.parquet(str(tmp_path / "facts"))
+    out = spark.read.parquet(str(tmp_path / "facts"))
+    for k in "abc":
+        out = left_lookup(out, spark.range(10).selectExpr(f"id AS {k}", f"id * 2 AS {k}2"), k, small=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert {(r.a2, r.b2, r.c2) for r in out.collect()} == {(2 * (i % 3), 2 * (i % 5), 2 * (i % 7)) for i in range(50)}
+
+
 def test_duplicate_dimension_key_is_refused(spark):
     check_unique(spark.range(5), "id")
     with pytest.raises(DuplicateKey):

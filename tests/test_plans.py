@@ -197,9 +197,9 @@ def test_half_life_of_the_served_model():
 def test_search_resumes(spark, fitted, tmp_path):
     rows, levels, _ = fitted
     tr, vf = rows.where("split = 'train'"), rows.where("split = 'val_fit'")
-    path, limits = str(tmp_path / "trials"), {"maxIter": 5}
-    first = tuning.tune(spark, "linear", tr, vf, levels, path, trials=1, limits=limits).collect()
-    both = tuning.tune(spark, "linear", tr, vf, levels, path, trials=2, limits=limits)
+    path = str(tmp_path / "trials")
+    first = tuning.tune(spark, "linear", tr, vf, levels, path, trials=1).collect()
+    both = tuning.tune(spark, "linear", tr, vf, levels, path, trials=2)
     assert both.count() == 2 and both.where("number = 0").first() == first[0]
     assert first[0]["value"] is not None and first[0]["half_life"] in tuning.HALF_LIVES
     params, half_life = tuning.best(both)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from riskloom.operators.decisions import OperatingPoint
 from riskloom.plans import scoring
 from riskloom.schema import CATEGORICAL, FEATURES, REVIEW_EVENT
 from riskloom.sources import readers, sinks
-from riskloom.sources.shared import materialize, release, scratch, shared_dir
+from riskloom.sources.shared import materialize, release, scope, scratch, shared_dir
 from riskloom.streaming import scoring as streams
 
 LEVELS = {"use_chip": ["Chip Transaction", "Online Transaction"], "mcc_category": ["Eating Places"],
@@ -99,7 +100,7 @@ def test_bands_are_closed_below(spark):
 
 
 def test_disagreement_notes(spark):
-    cases = [(True, 0.5, "raised"), (True, 2.0, ""), (False, 2.0, "reassuring"), (False, 1.0, ""), (True, None, "")]
+    cases = [(True, 0.5, "no warning sign"), (True, 2.0, ""), (False, 2.0, "lowers the score"), (False, 1.0, ""), (True, None, "")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, up boolean, lift double")
     got = [r[0] for r in df.orderBy("i").select(decisions.disagreement(F.col("up"), F.col("lift"))).collect()]
     assert all((want in g) if want else g == "" for g, (_, _, want) in zip(got, cases))
@@ -166,6 +167,9 @@ def test_resolutions(spark):
         ("a", "6"), ("b", "7"), ("c", "6"), ("c", "7"), ("c", "8"), ("zz", "6")]
     after = log.unionByName(done, allowMissingColumns=True)
     assert review.resolve(after, asked)[0].count() == 0  # replaying the batch changes nothing
+    many = asked.union(asked).union(asked)
+    done, rejected = review.resolve(log, many)
+    assert done.count() == 1 and rejected.count() == many.count() - 1
     a = review.resolution_audit(done).first()
     assert a["decision"] == "human_review_resolved" and a["review_action"] == "decline"
 
@@ -216,7 +220,13 @@ def test_shared_folder(spark):
     assert scratch(spark, "x").startswith(shared_dir(spark))
     kept = materialize(spark.range(5))
     assert kept.count() == 5 and "ExistingRDD" not in kept._jdf.queryExecution().toString()
-    assert callable(release)
+    path = kept.table_path
+    with scope(spark) as stay:
+        inner, outer = materialize(spark.range(3)), materialize(spark.range(4))
+        stay.append(outer)
+    assert not os.path.exists(inner.table_path) and os.path.exists(outer.table_path) and os.path.exists(path)
+    release(spark, [path, outer.table_path])
+    assert not os.path.exists(path) and not os.path.exists(outer.table_path)
 
 
 def test_stream_scores_once_even_if_a_batch_repeats(spark, tmp_path):
@@ -233,8 +243,17 @@ def test_stream_scores_once_even_if_a_batch_repeats(spark, tmp_path):
     assert audit.count() == 8 and audit.select("batch").distinct().count() == 2
     run()  # nothing new
     assert spark.read.json(str(tmp_path / "audit")).count() == 8
-    sinks.write_batch(materialize(audit.where("batch = 0").drop("batch")), str(tmp_path / "audit"), 0)
+    first = audit.select("stream").first()[0]
+    sinks.write_batch(materialize(audit.where("batch = 0").drop("batch", "stream")), str(tmp_path / "audit"), first, 0)
     assert spark.read.json(str(tmp_path / "audit")).count() == 8
+    streams.score_stream(stream, service(spark), str(tmp_path / "audit"), str(tmp_path / "queue"), str(tmp_path / "other")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "audit")).count() == 16  # a new checkpoint leaves the old rows
+
+
+def test_twins_stay_two_requests(spark):
+    twins = spark.createDataFrame([(None, 31.0), (None, 31.0), (None, 40.0), ("own", 31.0)], "request_id string, amount double")
+    ids = [sorted(r["request_id"] for r in scoring.score(twins.repartition(n), service(spark), origin="b1").collect()) for n in (1, 3)]
+    assert len(set(ids[0])) == 4 and ids[0] == ids[1] and "own" in ids[0]
 
 
 def test_review_stream_keeps_state_across_batches(spark, tmp_path):
@@ -250,3 +269,18 @@ def test_review_stream_keeps_state_across_batches(spark, tmp_path):
      .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
     got = {r["request_id"]: r["status"] for r in streams.latest_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert got == {"a": "approve", "b": "pending", "c": "pending"}
+
+
+def test_review_stream_takes_any_order(spark, tmp_path):
+    log = events(spark, LOG)
+    for event in ("resolved", "queued"):
+        log.where(F.col("event") == event).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(REVIEW_EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{tmp_path}/out/b={number}")
+
+    (streams.review_stream(stream).writeStream.outputMode("update").foreachBatch(keep)
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+    got = {r["request_id"]: r["status"] for r in streams.latest_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert got == {"a": "approve", "b": "pending", "c": "pending"}
