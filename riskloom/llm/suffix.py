@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom.llm import blocks
 from riskloom.sources import shared
@@ -32,7 +34,7 @@ LENGTH, K = 50, 24
 W = LENGTH - K + 1
 SIDE = W - 1  # bytes on each side of an anchor that strings with it can reach
 GAP = 64  # zero bytes between texts, so that no read of a word crosses into another text
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 FEWEST = 64
 HOT = 2000  # different surroundings of an anchor from which strings are dealt one by one
 COVERED, PARTLY, FREQUENT = 0, 1, 2
@@ -144,7 +146,18 @@ def ties(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (blocks.hash_words_long(data, rows) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-ANCHOR = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("hash", "<u8"), ("around", "V6")])
+ANCHOR = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("hash", "V6"), ("around", "V6")])
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of hashes."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 2:]).view("V6").reshape(-1)
+
+
+def long(h: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(h), 8), np.uint8)
+    out[:, :6] = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def find_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -158,21 +171,21 @@ def find_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         back["doc"], back["tie"], back["at"], back["kind"] = doc[done], tie[done], at[done], COVERED
         rows = [(b, 0, p) for b, p in deal(back, home(back["doc"], back["tie"], buckets))]
         left = np.zeros(int((~done).sum()), ANCHOR)
-        left["doc"], left["tie"], left["at"], left["hash"] = doc[~done], tie[~done], at[~done], h[~done]
-        left["around"] = np.ascontiguousarray(around[~done].view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").reshape(-1)
-        left = left[np.lexsort((left["at"], left["doc"]))]
-        return _batch(rows + [(b, 1, p) for b, p in deal(left, (left["hash"] % np.uint64(buckets)).astype(np.int64))], "bucket kind packed")
+        left["doc"], left["tie"], left["at"] = doc[~done], tie[~done], at[~done]
+        left["hash"], left["around"] = short(h[~done]), short(around[~done])
+        order = np.lexsort((left["at"], left["doc"]))
+        return _batch(rows + [(b, 1, p) for b, p in deal(left[order], (h[~done][order] % np.uint64(buckets)).astype(np.int64))], "bucket kind packed")
 
     def run(batches):
         held, size = [], 0
-        for part in blocks.slices(batches, "_text", 2 << 20):
+        for part in blocks.slices(batches, "_text", 1 << 20):
             data, rows = blocks.buffers(part.column("_text"))
             tie = ties(data, rows)
             at, text, h, around = anchors(*padded(data, rows))
             doc = part.column("_id").to_numpy(zero_copy_only=False)
             held.append((doc[text], tie[text], at, h, around))
             size += len(data)
-            if size >= 12 << 20:
+            if size >= 8 << 20:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -182,29 +195,33 @@ def find_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def judge(found: DataFrame, buckets: int) -> DataFrame:
-    """Step 1 in buckets: (bucket, packed) entries for the homes of texts."""
+    """Step 1 in buckets: (bucket, packed) entries for the homes of texts; what was settled in tasks passes through."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        e = unpack(table.column("packed").to_pylist(), ANCHOR)
-        around = np.zeros((len(e), 8), np.uint8)
-        around[:, :6] = np.ascontiguousarray(e["around"]).view(np.uint8).reshape(-1, 6)
-        around = around.view("<u8").reshape(-1)
-        order, group, least = least_of(e["hash"], around, value=e["doc"])
-        e = e[order]
+        mine = table.filter(pc.equal(table.column("kind"), 1)).column("packed").to_pylist()
+        through = table.filter(pc.equal(table.column("kind"), 0)).select(["bucket", "packed"])
+        e = unpack(mine, ANCHOR)
+        hashes = long(e["hash"])
+        order, group, least = least_of(hashes, long(e["around"]), value=e["doc"])
+        e, hashes = e[order], hashes[order]
         covered = e["doc"] > least[group]
         first = np.flatnonzero(np.diff(np.concatenate([[-1], group])))
-        anchor = np.cumsum(np.concatenate([[True], e["hash"][1:] != e["hash"][:-1]])) - 1 if len(e) else group
+        if not len(e):
+            return through
+        anchor = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])) - 1
         of = anchor[first]  # anchor of each group of equal surroundings
         start = np.flatnonzero(np.diff(np.concatenate([[-1], of])))
         several = np.minimum.reduceat(least, start) < np.maximum.reduceat(least, start)
         many = np.diff(np.append(start, len(of))) > HOT
         out = np.zeros(len(e), ENTRY)
-        for f in ("doc", "tie", "at", "hash"):
+        for f in ("doc", "tie", "at"):
             out[f] = e[f]
+        out["hash"] = hashes
         out["kind"] = np.where(covered, COVERED, np.where(many[anchor], FREQUENT, PARTLY))
         out = out[covered | several[anchor]]
         out["hash"][out["kind"] == COVERED] = 0
         out = out[np.lexsort((out["at"], out["doc"]))]
-        return pa.Table.from_batches([_batch(deal(out, home(out["doc"], out["tie"], buckets)), "bucket packed")])
+        made = _batch(deal(out, home(out["doc"], out["tie"], buckets)), "bucket packed")
+        return pa.concat_tables([through, pa.Table.from_batches([made])])
 
     return found.groupBy("bucket").applyInArrow(run, "bucket int, packed binary")
 
@@ -215,18 +232,24 @@ def _keys(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return key
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """Texts and (id, tie) keys of a home's rows; rows without an id have none."""
+def _rows(table: pa.Table) -> pa.Table:
+    """The rows that were packed for a home."""
     unzip = zstandard.ZstdDecompressor()
-    texts = [unzip.decompress(z) for z in table.column("_z").to_pylist()]
-    ids = table.column("_id").to_pylist()
-    return texts, _keys(np.array([0 if i is None else i for i in ids], np.int64), table.column("_tie").to_numpy().astype(np.uint32))
+    return pa.concat_tables(pa.ipc.open_stream(unzip.decompress(z)).read_all() for z in table.column("_rows").to_pylist()) if table.num_rows else None
+
+
+def _texts(rows: pa.Table | None) -> tuple[list[bytes], np.ndarray]:
+    """Texts and (id, tie) keys of a home's rows; those without an id have that of 0, but are never asked for."""
+    if rows is None:
+        return [], _keys(np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    texts = [t or b"" for t in rows.column("_text").cast(pa.large_binary()).to_pylist()]
+    return texts, _keys(rows.column("_id").fill_null(0).to_numpy().astype(np.int64), rows.column("_tie").to_numpy().astype(np.uint32))
 
 
 def surroundings(zipped: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
     """Step 2 at the texts: (bucket, kind, packed, bytes) with covered spans (kind 0) and strings for suffix arrays (kind 1)."""
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, keys = _texts(left)
+        texts, keys = _texts(_rows(left))
         e = unpack(right.column("packed").to_pylist(), ENTRY)
         known, first = np.unique(keys, return_index=True)
         row = first[np.searchsorted(known, _keys(e["doc"], e["tie"]))] if len(e) else np.zeros(0, np.int64)
@@ -268,7 +291,7 @@ def surroundings(zipped: DataFrame, entries: DataFrame, buckets: int) -> DataFra
                 rows.append((int(t), 1, pack(meta[order[x:y]]), zip_.compress(b"".join(made[k][2] for k in order[x:y]))))
         return pa.Table.from_batches([_batch(rows, "bucket kind packed bytes")])
 
-    cogroup = zipped.select("_home", "_id", "_tie", "_z").groupBy("_home").cogroup(entries.groupBy("bucket"))
+    cogroup = zipped.groupBy("_home").cogroup(entries.groupBy("bucket"))
     return cogroup.applyInArrow(run, "bucket int, kind int, packed binary, bytes binary")
 
 
@@ -364,8 +387,11 @@ def merge(span: np.ndarray) -> np.ndarray:
 def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.StructType, as_text: bool) -> DataFrame:
     """Step 3: ``columns`` with n_bytes, spans and what is kept, as bytes and perhaps as text."""
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, keys = _texts(left)
-        null = left.column("_id").is_null().to_pylist()
+        rows = _rows(left)
+        if rows is None:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
+        texts, keys = _texts(rows)
+        null = rows.column("_id").is_null().to_pylist()
         s = merge(unpack(right.column("packed").to_pylist(), SPAN))
         known, at = np.unique(_keys(s["doc"], s["tie"]), return_index=True)
         place = np.searchsorted(known, keys)
@@ -384,16 +410,12 @@ def cut(zipped: DataFrame, spans: DataFrame, columns: list[str], schema: T.Struc
         made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.binary())]
         if as_text:
             made.append(pa.array([raw.decode(errors="ignore") for raw in kept], pa.string()))
-        return pa.Table.from_arrays([*(left.column(f"c{k}") for k in range(len(columns))), *made], names=schema.names)
+        return pa.Table.from_arrays([*(rows.column(f"c{k}") for k in range(len(columns))), *made], names=names)
 
-    out = T.StructType([*(T.StructField(f"c{k}", schema[k].dataType) for k in range(len(columns))), *schema[len(columns):]])
     names = [*(f"c{k}" for k in range(len(columns))), *schema.names[len(columns):]]
-
-    def named(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(key, left, right).rename_columns(names)
-
-    done = zipped.groupBy("_home").cogroup(spans.groupBy("bucket")).applyInArrow(named, out)
-    return done.toDF(*schema.names)
+    out = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return zipped.groupBy("_home").cogroup(spans.groupBy("bucket")).applyInArrow(run, out).toDF(*schema.names)
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, as_text: str | None = None) -> DataFrame:
@@ -414,22 +436,27 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(FEWEST, int(total) // BUCKET_BYTES)
 
-    zip_schema = T.StructType([T.StructField("_home", T.IntegerType()), docs.schema["_id"], T.StructField("_tie", T.LongType()), T.StructField("_z", T.BinaryType()), *docs.schema[2:]])
-
-    def zip_texts(batches):
-        pack_ = zstandard.ZstdCompressor(level=1)
-        for part in blocks.slices(batches, "_text"):
+    def zip_rows(batches):
+        """Rows packed for their homes, so that little travels."""
+        pack_ = zstandard.ZstdCompressor(level=5)
+        for part in blocks.slices(batches, "_text", 2 * blocks.SLICE_BYTES):
             data, rows = blocks.buffers(part.column("_text"))
-            tie, raw = ties(data, rows), data.tobytes()
-            doc = part.column("_id").fill_null(0).to_numpy(zero_copy_only=False)
-            zipped_ = [pack_.compress(raw[a:b]) for a, b in zip(rows.tolist(), rows[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(home(doc, tie, buckets), pa.int32()), part.column("_id"), pa.array(tie, pa.int64()), pa.array(zipped_, pa.binary()),
-                                              *(part.column(f"c{k}") for k in range(len(columns)))], names=zip_schema.names)
-
-    zipped = docs.mapInArrow(zip_texts, zip_schema)
+            tie = ties(data, rows)
+            part = part.append_column("_tie", pa.array(tie, pa.uint32()))
+            to = home(part.column("_id").fill_null(0).to_numpy(zero_copy_only=False), tie, buckets)
+            order = np.argsort(to, kind="stable")
+            name, at = np.unique(to[order], return_index=True)
+            made = []
+            for x, y in zip(at, [*at[1:], len(order)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part.take(pa.array(order[x:y])))
+                made.append(pack_.compress(sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(made, pa.binary())], names=["_home", "_rows"])
+
+    zipped = docs.mapInArrow(zip_rows, "_home int, _rows binary")
     with shared.scope(df.sparkSession) as stay:
-        found = shared.materialize(find_anchors(docs, buckets))
-        entries = judge(found.where("kind = 1").select("bucket", "packed"), buckets).union(found.where("kind = 0").select("bucket", "packed"))
+        entries = judge(find_anchors(docs, buckets), buckets)
         around = shared.materialize(surroundings(zipped, entries, buckets))
         stay.append(around)
     spans = around.where("kind = 0").select("bucket", "packed").union(covered(around.where("kind = 1").select("bucket", "packed", "bytes"), buckets))
