@@ -122,13 +122,10 @@ def _part(rows, name):
     return rows.where(F.col("split") == name)
 
 
-SMALL = {"gbt": {"maxIter": 5, "maxDepth": 3}, "forest": {"numTrees": 5, "maxDepth": 4}, "linear": {"maxIter": 10}}
-
-
 def _fit(spark, sf, name, half_life=10.0):
     rows, levels = _modelling_rows(spark, sf)
     return _once(spark, ("model", sf, name), lambda: modelling.fit(
-        name, _part(rows, "train"), _part(rows, "val_fit"), levels, SMALL[name], half_life))
+        name, _part(rows, "train"), _part(rows, "val_fit"), levels, half_life=half_life))
 
 
 @query()
@@ -185,7 +182,7 @@ def _assess(spark, sf):
     rows, levels = _modelling_rows(spark, sf)
     members = {n: _fit(spark, sf, n) for n in modelling.FAMILIES}
     predictions = assess.predict_all(members, rows.where("split <> 'train'"))
-    return rows, levels, members, assess.run(predictions, list(members), n_boot=50)
+    return rows, levels, members, assess.run(predictions, list(members))
 
 
 @query()
