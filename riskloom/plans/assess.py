@@ -126,12 +126,12 @@ def save(a: Assessment, path: str) -> None:
 
 def load_point(spark, path: str) -> tuple[OperatingPoint, dict[str, float]]:
     """The saved operating point; without one, a 0.5 threshold and no calibration."""
-    from riskloom.sources.readers import read_or_empty
+    from riskloom.sources.readers import read_artefact
     from pyspark.sql.types import _parse_datatype_string
 
     cfg = sinks.read_document(spark, f"{path}/serving_config")
-    knots = sorted((r["x"], r["y"]) for r in read_or_empty(
-        spark, f"{path}/calibrator", _parse_datatype_string("x double, y double")).collect())
+    knots = sorted((r["x"], r["y"]) for r in read_artefact(
+        spark, f"{path}/calibrator", _parse_datatype_string("x double, y double")))
     point = OperatingPoint(
         block=cfg.get("block_threshold", 0.5), review=cfg.get("review_threshold", 0.25),
         model=cfg.get("shipped_model", "gbt"), version=cfg.get("model_version", MODEL_VERSION),

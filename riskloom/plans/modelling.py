@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.weights import combined_weight, effective_sample_size
-from riskloom.schema import CATEGORICAL, FEATURES, LABEL, NUMERIC
+from riskloom.schema import CATEGORICAL, FEATURES, LABEL, NUMERIC, check_roles
 
 FAMILIES = ("gbt", "forest", "linear")
 MISSING = "__missing__"
@@ -94,6 +94,7 @@ def fit(name: str, train: DataFrame, val_fit: DataFrame, levels: dict[str, list[
     ``val_fit`` only decides when boosting stops; it must be the earlier validation slice.
     """
     only(train, "train"), only(val_fit, "val_fit")
+    check_roles(train)
     weighted = combined_weight(train, half_life)
     keep = [*FEATURES, LABEL, "weight"]
     rows = weighted.select(*keep, F.lit(False).alias("_held"))
@@ -116,7 +117,7 @@ def predict(fitted: Fitted, df: DataFrame, into: str | None = None) -> DataFrame
 def only(df: DataFrame, *allowed: str) -> DataFrame:
     """Refuse a frame that holds rows of any other split: the protocol as a check."""
     if "split" in df.columns:
-        other = [r["split"] for r in df.select("split").where(~F.col("split").isin(*allowed)).limit(1).collect()]
+        other = [r["split"] for r in df.select("split").where(~F.coalesce(F.col("split").isin(*allowed), F.lit(False))).limit(1).collect()]
         if other:
             raise ValueError(f"rows of split {other[0]!r} where only {allowed} may be used")
     return df

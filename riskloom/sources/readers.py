@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +66,12 @@ def read_split(spark: SparkSession, path: str, split: str | None = None,
     return table.select(*columns) if columns else table
 
 
-def read_xy(spark: SparkSession, path: str, split: str) -> DataFrame:
-    return read_split(spark, path, split, ["id", *FEATURES, LABEL])
+def read_xy(spark: SparkSession, path: str, split: str, levels: DataFrame | None = None) -> DataFrame:
+    """Features and label of a split; with the trained ``levels``, a level that training did not see is missing."""
+    from riskloom.operators.context import align_levels
+
+    rows = read_split(spark, path, split, ["id", *FEATURES, LABEL])
+    return rows if levels is None else align_levels(rows, levels)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType = REVIEW_EVENT) -> DataFrame:
@@ -83,3 +87,11 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, kind: st
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         return spark.createDataFrame([], schema)
+
+
+def read_artefact(spark: SparkSession, path: str, schema: T.StructType) -> list:
+    """The rows of a small stored artefact; none where it is absent or cannot be read."""
+    try:
+        return read_or_empty(spark, path, schema).collect()
+    except PySparkException:
+        return []

@@ -6,13 +6,13 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.schema import FEATURES, LABEL, VELOCITY
+from riskloom.schema import FEATURES, LABEL, VELOCITY, check_roles
 
 
 def write_splits(df: DataFrame, path: str) -> None:
     """Features, velocity, label and keys, one directory per split."""
     extra = [c for c in VELOCITY if c in df.columns]
-    df.select("id", "date", "split", *FEATURES, *extra, LABEL).write.mode("overwrite").partitionBy("split").parquet(path)
+    check_roles(df).select("id", "date", "split", *FEATURES, *extra, LABEL).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, model: str) -> None:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from riskloom.operators import blending, bootstrap, metrics, splits, weights
 from riskloom.operators.decisions import OperatingPoint, calibrate
 from riskloom.operators.velocity import add_velocity
+from riskloom.plans import reference, train
+from riskloom.sources import sinks
+from riskloom.sources.shared import scratch
 from riskloom.workload.preparing import _VAL
 from riskloom.workload.tables import TXN, read, split_sql, transactions
 
@@ -216,7 +219,22 @@ def leaderboard(spark, sf):
   FROM pr GROUP BY id""")
 def aligned_predictions(spark, sf):
     """Predictions of several models side by side, matched by row id."""
-    return _predictions(spark, sf).groupBy("id").pivot("model", ["a", "b", "ensemble"]).agg(F.max("score"))
+    base, long = scratch(spark, "predictions"), _predictions(spark, sf)
+    for name in ("a", "b", "ensemble"):
+        sinks.write_predictions(long.where(F.col("model") == name).select("id", F.lit("val_fit").alias("split"), "is_fraud", "abs_amount", "score"), base, name)
+    return train.aligned(spark, base, ["a", "b", "ensemble"]).select("id", "a", "b", "ensemble")
+
+
+@query(f"""WITH {TXN}, p AS (SELECT id, (CAST(0.8 AS DOUBLE) * score + CAST(0.2 AS DOUBLE) * score_b) / CAST(1.0 AS DOUBLE) AS raw_score FROM t)
+  SELECT id, round(raw_score, 9) AS raw_score, round(CASE WHEN raw_score <= 0.5 THEN raw_score / 2 ELSE 0.25 + (raw_score - 0.5) * 1.5 END, 9) AS score FROM p""")
+def shipped_val_scores(spark, sf):
+    """Stored scores of two members through the stored blend and the stored calibrator, as the context stage reads them."""
+    base, long = scratch(spark, "shipped"), _predictions(spark, sf)
+    for name, model in (("gbt", "a"), ("linear", "b")):
+        sinks.write_predictions(long.where(F.col("model") == model).select("id", F.lit("val_fit").alias("split"), "is_fraud", "abs_amount", "score"), f"{base}/val_scores", name)
+    sinks.write_document(spark, f"{base}/serving_config", {"shipped_model": "ensemble", "ensemble_weights": {"gbt": 0.8, "linear": 0.2, "forest": 0.0}})
+    sinks.write_small(spark.createDataFrame([(0.0, 0.0), (0.5, 0.25), (1.0, 1.0)], "x double, y double"), f"{base}/calibrator")
+    return reference.shipped_scores(spark, base).select("id", F.round("raw_score", 9).alias("raw_score"), F.round("score", 9).alias("score"))
 
 
 @query()
