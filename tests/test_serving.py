@@ -128,7 +128,7 @@ def test_score_and_logs_hold_no_raw_input(spark):
     rows = {r["decision"]: r.asDict() for r in audit.collect()}
     assert set(rows) == {"review", "block"} and len(rows["review"]) == 18
     assert rows["review"]["request_id"] == "r1" and len(rows["review"]["input_sha256"]) == 64
-    assert rows["block"]["request_id"] == rows["block"]["input_sha256"]  # no id given: stable under retries
+    assert rows["block"]["request_id"] == rows["block"]["input_sha256"] + "-1"  # no id given: stable under retries
     assert "Visa" not in json.dumps(rows["review"], default=str)
     (case,) = cases.collect()
     assert case["request_id"] == "r1" and case["event"] == "queued" and case["merchant_category"] is None
