@@ -72,8 +72,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find(docs.select(F.col("text").alias("_text"), F.struct("*").alias("_row")), items, text="_text", keep=["_row"])
-    return found.where(F.size("hits") == 0).select("_row.*")
+    rest = F.struct(*(f"`{c}`" for c in docs.columns if c != "text"))
+    found = decontaminate.find(docs.select(F.col("text").alias("_text"), rest.alias("_row")), items, text="_text")
+    columns = [F.col("_text" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns]
+    return found.where(F.size("hits") == 0).select(*columns)
 
 
 @stage

@@ -22,8 +22,8 @@ from sentencepiece import SentencePieceProcessor
 from riskloom.llm import blocks
 
 SPACE = "▁"
-#: Entries of a worker's caches; they only save time.
-CACHED = 500_000
+#: Entries of a worker's caches, of which there are two generations; they only save time.
+CACHED = 120_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -60,6 +60,7 @@ class PieceTable:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         surface = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         for b, i in enumerate(self.byte_ids):
             surface[i] = bytes([b])
@@ -83,7 +84,7 @@ class PieceTable:
 
     def fit(self, a: int, b: int) -> bool:
         left, right = self.spelled[a], self.spelled[b]
-        if len(self.fits) >= CACHED:
+        if len(self.fits) >= 2 * CACHED:
             self.fits.clear()
         self.fits[a << 32 | b] = ok = self.merged(left + right) == [left, right]
         return ok
@@ -118,6 +119,8 @@ class PieceTable:
         found = self.seen.get(text)
         if found is not None:
             return found
+        if (found := self.older.get(text)) is not None:
+            return self.note(text, found)
         if self.known.issuperset(text):
             out = self._run(text)
         else:
@@ -130,11 +133,15 @@ class PieceTable:
                 run = []
                 out += [self.byte_ids[b] for b in c.encode()]
             out += self._run("".join(run))
+        return self.note(text, tuple(out))
+
+    def note(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Remember a short text; what was not asked for since the last turn-over is forgotten at the next."""
         if len(text) <= 64:
             if len(self.seen) >= CACHED:
-                self.seen.clear()
-            self.seen[text] = tuple(out)
-        return tuple(out)
+                self.seen, self.older = {}, self.seen
+            self.seen[text] = ids
+        return ids
 
     def encode(self, column: pa.Array, end: bool) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows and the rows' offsets."""

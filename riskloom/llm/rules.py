@@ -63,9 +63,12 @@ def _count(column: pa.Array) -> list[pa.Array]:
 
 def measure(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and a struct ``_s`` of the statistics of every whole text."""
-    row = df.select(F.struct(*(f"`{c}`" for c in keep)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    made = blocks.map_text(row, "_text", COUNTS, _count, ["_row"]).select("_row", F.struct(*COUNTS.names).alias("_c"))
-    return made.select("_row.*", F.struct(*(f().alias(n) for n, f in STATISTICS.items())).alias("_s"))
+    # The text goes through the workers once; the other columns go in a struct, so that no name clashes.
+    rest = F.struct(*([f"`{c}`" for c in keep if c != text] or [F.lit(0).alias("none")]))
+    row = df.select(rest.alias("_row"), F.col(f"`{text}`").alias("_text"))
+    made = blocks.map_text(row, "_text", COUNTS, _count, ["_row", *["_text"] * (text in keep)]).withColumn("_c", F.struct(*COUNTS.names))
+    columns = [(F.col("_text") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in keep]
+    return made.select(*columns, F.struct(*(f().alias(n) for n, f in STATISTICS.items())).alias("_s"))
 
 
 def paths(forest) -> list[Rule]:
