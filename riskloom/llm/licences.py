@@ -126,9 +126,9 @@ def examples(corpus: list[str], seed: int = 5) -> list[tuple[int, list[bytes]]]:
 def train(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
     """Fit on three quarters of the examples and set thresholds on the rest. ``sample`` bounds the corpus rows used."""
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    chosen = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").select("k", F.xxhash64("k").alias("h"), lines.alias("t"))
-    one = chosen.where(F.size("t") > 0).select("k", "h", F.substring(F.get("t", F.pmod(F.col("h"), F.size("t")).cast("int")), 1, 2000).alias("p"))
-    corpus = [r.p for r in one.orderBy("h", "k").limit(sample).collect()]  # bounded by ``sample``, 2,000 characters each
+    chosen = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").select("k", lines.alias("t"))
+    one = chosen.where(F.size("t") > 0).select("k", F.substring(F.get("t", F.pmod(F.xxhash64("k"), F.size("t")).cast("int")), 1, 2000).alias("p"))
+    corpus = [r.p for r in blocks.lowest(one, "k", sample, docs.select(f"`{key}`").count()).collect()]  # bounded by ``sample``, 2,000 characters each
     rows = examples(corpus)
     fit, held = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
     frame = docs.sparkSession.createDataFrame([(float(c), vector(w)) for c, w in fit], ["label", "features"])

@@ -132,7 +132,8 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     known = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").alias("_label")).where("_label IN (0, 1)")
     if usable is not None:
         known = known.where(usable)
-    chosen = known.groupBy("_key").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(train_rows)
+    chosen = known.groupBy("_key").agg(F.max("_label").alias("_label"))
+    chosen = blocks.lowest(chosen, "_key", train_rows, chosen.count())
     slim = measured.select(F.col(f"`{key}`").alias("_key"), "_s")
     with shared.scope(df.sparkSession):
         intercept, rules = fit(slim.join(chosen, "_key").select("_label", "_s"), "_label")
