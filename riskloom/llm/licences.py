@@ -92,6 +92,14 @@ def share(family: str, words: list[bytes]) -> float:
     return max((len(t & held) / len(t) for t in TEMPLATES.get(family, ())), default=0.0)
 
 
+def extent(family: str, words: list[bytes]) -> tuple[int, int]:
+    """The words from the first to the last triple of the family's best notice; all words if none is there."""
+    held = triples(words)
+    best = max(TEMPLATES.get(family, ()), key=lambda t: len(t & held) / len(t), default=set())
+    at = [k for k in range(max(1, len(words) - 2)) if tuple(words[k:k + 3]) in best]
+    return (at[0], min(at[-1] + 3, len(words))) if at else (0, len(words))
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, least: np.ndarray):
         self.weights, self.bias, self.least = weights, bias, least
@@ -151,7 +159,8 @@ def train(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None, keep: list[str] | None = None) -> DataFrame:
     """Append ``licences`` (family, paragraph number, probability, share, confirmed) in order of paragraphs.
 
-    Paragraphs are lines; each has at most one entry for a family, that of its best window. ``family`` is "unknown" for licence
+    Paragraphs are numbered by lines; each line has at most one entry for a family, that of its best window. Lines with words one
+    after another are also read as one text, so a notice that is wrapped has one entry, at the line where it begins. ``family`` is "unknown" for licence
     talk that fits none. Null, empty and wordless texts have no entries; rows are judged alone, so repeated
     rows agree. A column named licences is replaced.
     """
@@ -167,6 +176,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     return blocks.map_text(docs, text, RESULT, run, keep)
 
 
+def windows(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows of stretches of words: number of the stretch, first word, end."""
+    count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STEP) + 1), 0)
+    of = np.repeat(np.arange(len(first)), count)
+    x = first[of] + (np.arange(len(of)) - (np.cumsum(count) - count)[of]) * STEP
+    return of, x, np.minimum(x + WINDOW, first[of] + n[of])
+
+
 def judge(column: pa.Array, model: Model) -> list[list[dict]]:
     data, rows = blocks.buffers(column)
     flat, at, place = blocks.placed(column, blocks.PLAIN_WORDS, lower=True)
@@ -180,11 +197,23 @@ def judge(column: pa.Array, model: Model) -> list[list[dict]]:
     begin = np.sort(np.concatenate([rows[:-1], feed]), kind="stable")
     first = np.searchsorted(place, begin)
     n = np.diff(np.append(first, len(codes)))
-    count = np.maximum(1, -(-(n - WINDOW) // STEP) + 1)
-    line = np.repeat(np.arange(len(first)), np.where(n > 0, count, 0))
-    nth = np.arange(len(line)) - np.repeat(np.cumsum(np.where(n > 0, count, 0)) - np.where(n > 0, count, 0), np.where(n > 0, count, 0))
-    x = first[line] + nth * STEP
-    y = np.minimum(x + WINDOW, first[line] + n[line])
+    per_row = np.diff(np.searchsorted(feed - 1, rows)) + 1
+    of = np.repeat(np.arange(len(column)), per_row)
+    paragraph = np.arange(len(begin)) - (np.cumsum(per_row) - per_row)[of]
+    line, x, y = windows(first, n)
+    # Wrapped text: lines with words one after another. Windows run over its line ends, from each line and every STEP words.
+    wordy = n > 0
+    opens = wordy & np.append(True, ~wordy[:-1] | (of[1:] != of[:-1]))
+    head = np.flatnonzero(opens)
+    block = np.cumsum(opens) - 1  # of each line with words
+    size = np.bincount(block[wordy], n[wordy], len(head)).astype(np.int64)
+    wrapped = np.bincount(block[wordy], minlength=len(head)) > 1
+    _, bx, by = windows(first[head[wrapped]], size[wrapped])
+    inner = np.flatnonzero(wordy & wrapped[np.maximum(block, 0)])
+    bx = np.concatenate([bx, first[inner]])
+    by = np.concatenate([by, np.minimum(first[inner] + WINDOW, (first[head] + size)[block[inner]])])
+    n_line = len(x)
+    x, y = np.concatenate([x, bx]), np.concatenate([y, by])
     zero = np.zeros((1, len(CLASSES)))
     upto = np.concatenate([zero, np.cumsum(model.weights[one], 0, dtype=np.float64)])
     total = upto[y] - upto[x]
@@ -193,19 +222,46 @@ def judge(column: pa.Array, model: Model) -> list[list[dict]]:
     p = model.probabilities(total, 2 * (y - x) - 1)
     best = p[:, 1:].argmax(1) + 1
     look = np.flatnonzero(p[:, 0] < 0.5)
-    per_row = np.diff(np.searchsorted(feed - 1, rows)) + 1
-    of = np.repeat(np.arange(len(column)), per_row)
-    paragraph = np.arange(len(begin)) - (np.cumsum(per_row) - per_row)[of]
     seen: dict[tuple[int, str], dict] = {}
+    over: list[tuple] = []  # windows over line ends: entry, lines
     for k in look.tolist():
         c = int(best[k])
         words = flat.slice(int(x[k]), int(y[k] - x[k])).to_pylist()
         family = CLASSES[c] if p[k, c] >= model.least[c] else UNKNOWN
         part = share(family, words)
-        entry = {"family": family, "paragraph": int(paragraph[line[k]]), "probability": round(float(p[k, c]), 6), "share": round(part, 6), "confirmed": part >= CONFIRMED}
+        entry = {"family": family, "probability": round(float(p[k, c]), 6), "share": round(part, 6), "confirmed": part >= CONFIRMED}
+        if k >= n_line:
+            a, b = extent(family, words)
+            lines = np.searchsorted(first, (x[k] + a, x[k] + b - 1), side="right") - 1
+            over.append((entry, int(lines[0]), int(lines[1])))
+            continue
         old = seen.get((int(line[k]), family))
         if old is None or (entry["share"], entry["probability"]) > (old["share"], old["probability"]):
             seen[int(line[k]), family] = entry
+    found: dict[int, list] = {}
     for (k, _), entry in sorted(seen.items()):
-        out[int(of[k])].append(entry)
+        found.setdefault(k, []).append(entry)
+    # The best windows first. What a confirmed one holds of its notice is no entry of its own line by line; one that is
+    # not confirmed counts only where nothing else was found.
+    made: list[tuple[int, dict]] = []
+    spans: dict[str, set[int]] = {}
+    for entry, a, b in sorted(over, key=lambda o: (not o[0]["confirmed"], -o[0]["share"], -o[0]["probability"], o[1])):
+        family, held = entry["family"], range(a, b + 1)
+        if entry["confirmed"]:
+            if any(e["family"] == family and e["confirmed"] for k in held for e in found.get(k, ())) or spans.get(family, set()) & set(held):
+                continue
+            for k in held:
+                if k in found:
+                    found[k] = [e for e in found[k] if e["confirmed"]]
+            spans.setdefault(family, set()).update(held)
+        elif any(found.get(k) for k in held) or any(s & set(held) for s in spans.values()):
+            continue
+        else:
+            spans.setdefault(family, set()).update(held)
+        made.append((a, entry))
+    for k, entry in made:
+        found.setdefault(k, []).append(entry)
+    for k in sorted(found):
+        for entry in sorted(found[k], key=lambda e: e["family"]):
+            out[int(of[k])].append({"family": entry["family"], "paragraph": int(paragraph[k]), **entry})
     return out

@@ -151,3 +151,33 @@ def test_licence_notices_are_found_and_prose_is_not(spark, docs, none):
     assert [[x.confirmed for x in r.licences] for r in licences.scan(talk, model=model).orderBy("doc_id").collect()] in ([[False], []], [[], []])
     assert all(not any(x.confirmed for x in r.licences) and r.note == "kept as it is" for r in licences.scan(docs, model=model).collect())
     assert licences.scan(none, model=model).count() == 0
+
+
+WRAPPED = {
+    "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal",
+            "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+}
+
+
+def test_wrapped_notices_are_found_where_they_begin(spark):
+    rng = random.Random(8)
+    words = [x + y for x in "nd the ou er st".split() for y in "a en ing ti or".split()]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for family, lines in WRAPPED.items():
+        for sign in ("", "# ", "// ", " * "):
+            for before in ([], [prose(12)], [prose(9), "", "Copyright (c) 2020 A. Writer"]):
+                want[len(rows)] = (family, len(before))
+                rows.append("\n".join(sign + x for x in [*before, *lines, "", prose(20)]))
+    rows += [prose(9) + "\n" + prose(30) + "\n" + prose(7), "Released under the MIT License.\nReleased under the MIT License."]
+    want[len(rows) - 2], want[len(rows) - 1] = None, "both"
+    plain = spark.createDataFrame([(k, prose(rng.randrange(5, 90))) for k in range(120)], "doc_id long, text string")
+    model = licences.train(plain, "doc_id", "text")
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in licences.scan(frame, model=model).collect():
+        sure = [(x.family, x.paragraph) for x in r.licences if x.confirmed]
+        one = want[r.doc_id]
+        assert sure == ([] if one is None else [("mit", 0), ("mit", 1)] if one == "both" else [one]), (r, one)
