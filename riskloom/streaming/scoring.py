@@ -41,45 +41,33 @@ def score_stream(requests: DataFrame, service: Service, audit: str, queue: str,
 STATE = "ts string, resolved boolean, status string, risk_score double"
 
 
-def _fold(keep_ms: int):
-    def fold(key: tuple, batches, state: GroupState):
-        """The latest event of one case, a resolution after a queueing of the same time: in whatever order they arrive."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = tuple(state.get) if state.exists else None
-        last = 0
-        for rows in batches:
-            for r in rows.itertuples():
-                if r.event not in ("queued", "resolved"):
-                    continue
-                now = (r.ts or "", r.event == "resolved")
-                status = r.action if now[1] else "pending"
-                risk = None if pd.isna(r.risk_score) else float(r.risk_score)
-                if best is None or now > (best[0], best[1]):
-                    best = (*now, status, risk)
-                last = max(last, 0 if pd.isna(r.at_ms) else int(r.at_ms))
-        if best is None:
-            return
-        state.update(best)
-        if best[1]:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + keep_ms)
-        yield pd.DataFrame({"request_id": [key[0]], "status": [best[2]], "risk_score": [best[3]], "ts": [best[0]]})
-
-    return fold
-
-
-def review_stream(events: DataFrame, keep_days: int = 90) -> DataFrame:
+def _fold(key: tuple, batches, state: GroupState):
+    """The latest event of one case, a resolution after a queueing of the same time: in whatever order they arrive."""
+    best = tuple(state.get) if state.exists else None
+    for rows in batches:
+        for r in rows.itertuples():
+            if r.event not in ("queued", "resolved"):
+                continue
+            now = (r.ts or "", r.event == "resolved")
+            status = r.action if now[1] else "pending"
+            risk = None if pd.isna(r.risk_score) else float(r.risk_score)
+            if best is None or now > (best[0], best[1]):
+                best = (*now, status, risk)
+    if best is None:
+        return
+    state.update(best)
+    yield pd.DataFrame({"request_id": [key[0]], "status": [best[2]], "risk_score": [best[3]], "ts": [best[0]]})
+
+
+def review_stream(events: DataFrame) -> DataFrame:
     """Status changes of review cases, with cases held in the state store by request_id.
 
-    The status is that of ``review.state`` over the same events, whatever their order. A resolved case leaves the
-    state once the watermark is ``keep_days`` past its last event; an event that comes later still opens it anew.
+    The status is that of ``review.state`` over the same events, whatever their order and however late. So there is no
+    watermark, which would drop rows, and a closed case stays as a marker of its last event: one row of four values a case.
     """
-    at = events.withColumn("at", F.col("ts").try_cast("timestamp")).withWatermark("at", f"{keep_days} days")
-    rows = at.select("request_id", "event", "ts", "risk_score", "action", F.unix_millis("at").alias("at_ms"), "at")
+    rows = events.select("request_id", "event", "ts", "risk_score", "action")
     return rows.groupBy("request_id").applyInPandasWithState(
-        _fold(keep_days * 86_400_000), "request_id string, status string, risk_score double, ts string", STATE, "update",
-        GroupStateTimeout.EventTimeTimeout)
+        _fold, "request_id string, status string, risk_score double, ts string", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_status(changes: DataFrame) -> DataFrame:

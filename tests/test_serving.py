@@ -284,3 +284,22 @@ def test_review_stream_takes_any_order(spark, tmp_path):
      .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
     got = {r["request_id"]: r["status"] for r in streams.latest_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
     assert got == {"a": "approve", "b": "pending", "c": "pending"}
+
+
+def test_review_stream_drops_nothing_late(spark, tmp_path):
+    """Files in reverse order of time, 200 days apart: status as in the batch fold."""
+    days = [("2024-07-19", "resolved", "a", "approve"), ("2024-07-19", "queued", "late", None), ("2024-01-01", "queued", "a", None),
+            ("2024-01-01", "queued", "b", None), ("2024-01-01", "queued", "c", None), ("2024-01-02", "resolved", "c", "decline")]
+    log = spark.createDataFrame([(d + "T10:00:00", e, r, x) for d, e, r, x in days], "ts string, event string, request_id string, action string")
+    for month in ("2024-07", "2024-01-02", "2024-01-01"):
+        log.where(F.col("ts").startswith(month)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(REVIEW_EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{tmp_path}/out/b={number}")
+
+    (streams.review_stream(stream).writeStream.outputMode("update").foreachBatch(keep)
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+    got = {r["request_id"]: r["status"] for r in streams.latest_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    want = {r["request_id"]: "pending" if r["event"] == "queued" else r["action"] for r in review.state(log).collect()}
+    assert got == want == {"a": "approve", "b": "pending", "c": "decline", "late": "pending"}
