@@ -141,37 +141,38 @@ def model_scores(spark, sf):
 
 @query()
 def tree_attribution(spark, sf):
-    """Shapley contributions of the boosted model for each test row."""
+    """Shapley contributions of the boosted model for each row."""
     rows, levels = _modelling_rows(spark, sf)
-    out = attribution.with_contributions(_fit(spark, sf, "gbt"), _part(rows, "test").select("id", *FEATURES))
+    out = attribution.with_contributions(_fit(spark, sf, "gbt"), rows.select("id", *FEATURES))
     return out.select("id", *[c for c in out.columns if c.startswith("_contrib_")])
 
 
 @query()
 def linear_attribution(spark, sf):
     rows, levels = _modelling_rows(spark, sf)
-    out = attribution.with_contributions(_fit(spark, sf, "linear"), _part(rows, "test").select("id", *FEATURES),
+    out = attribution.with_contributions(_fit(spark, sf, "linear"), rows.select("id", *FEATURES),
                                          _part(rows, "train"))
     return out.select("id", *[c for c in out.columns if c.startswith("_contrib_")])
 
 
 @query()
 def top_factors(spark, sf):
-    """The six strongest factors of each test row with their evidence."""
+    """The six strongest factors of each row with their evidence."""
     rows, levels = _modelling_rows(spark, sf)
     history = _part(rows, "train")
-    out = attribution.with_contributions(_fit(spark, sf, "gbt"), _part(rows, "test").select("id", *FEATURES))
+    out = attribution.with_contributions(_fit(spark, sf, "gbt"), rows.select("id", *FEATURES))
     ranked = decisions.top_factors(out, context.build(history, 10.0))
     return ranked.select("id", F.inline("top_factors"))
 
 
 @query()
 def tuned_search(spark, sf):
-    """Two trials of the seeded search, scored on val_fit."""
+    """All trials of the seeded search for each family, scored on val_fit."""
     rows, levels = _modelling_rows(spark, sf)
-    trials = tuning.tune(spark, "linear", _part(rows, "train"), _part(rows, "val_fit"), levels, scratch(spark, "trials"),
-                         trials=2, frac=1.0)
-    return trials.select("family", "number", "params", "half_life", "value")
+    path = scratch(spark, "trials")
+    for family in modelling.FAMILIES:
+        tuning.tune(spark, family, _part(rows, "train"), _part(rows, "val_fit"), levels, path, trials=tuning.TRIALS, frac=1.0)
+    return readers.read_or_empty(spark, path, tuning.TRIAL).select("family", "number", "params", "half_life", "value")
 
 
 def _assessed(spark, sf):
@@ -194,12 +195,12 @@ def assessment(spark, sf):
 
 @query()
 def score_requests(spark, sf):
-    """Requests rebuilt from the last split, scored end to end and explained."""
+    """Requests rebuilt from all rows, scored end to end and explained."""
     rows, levels, members, a = _assessed(spark, sf)
     ctx = context.build(_part(rows, "train"), 10.0, a.scored_val)
     service = scoring.Service(requests.Dictionaries(None, None, 60.0, levels), a.point, members, a.weights, ctx)
     service.point.explainer = "gbt"
-    asked = requests.to_request(_part(rows, "demo")).withColumn("request_id", F.col("id").cast("string"))
+    asked = requests.to_request(rows).withColumn("request_id", F.col("id").cast("string"))
     return scoring.score(asked, service).select(
         "request_id", "risk_score", "risk_percent", "decision", "rule_id", "missing_fields", "top_factors", "base_rate")
 

@@ -35,3 +35,27 @@ def test_query_equals_sql(spark, duck, name):
     cur = duck.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in cur.description]
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["score_requests", "tree_attribution", "linear_attribution", "top_factors"])
+def test_every_row_is_scored_and_explained(spark, name):
+    from riskloom.workload.tables import transactions
+
+    made = contract.queries()[name](spark, SF)
+    key = "request_id" if name == "score_requests" else "id"
+    assert made.select(key).distinct().count() == transactions(spark, SF).select("id").distinct().count()
+
+
+def test_search_runs_every_family_with_all_trials(spark, monkeypatch):
+    from riskloom.plans import modelling, tuning
+
+    asked = []
+
+    def fit(family, train, val_fit, levels, params, half_life):
+        asked.append(family)
+        raise ValueError("not fitted in this test")
+
+    monkeypatch.setattr(tuning, "fit", fit)
+    made = contract.queries()["tuned_search"](spark, SF)
+    assert {f: asked.count(f) for f in modelling.FAMILIES} == dict.fromkeys(modelling.FAMILIES, tuning.TRIALS)
+    assert made.count() == tuning.TRIALS * len(modelling.FAMILIES)
