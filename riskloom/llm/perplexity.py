@@ -1,15 +1,16 @@
 """Quality rules with an n-gram perplexity.
 
 Symbols are 61 classes of UTF-8 bytes (letters without case, digits, marks, lead and trail bytes) and the
-edge of a word, so a word spells a run of symbols and an n-gram has at most 64**ORDER values in each language: a
-bound on the model that does not grow with the corpus. Spark counts the n-grams of all words of all
+edge of a word, so a word spells a run of symbols and an n-gram has at most 64**ORDER values in each language. This model
+of spelling is small; word order and choice are judged by the word n-grams of ``wordmodel``, whose counts grow with the corpus. Spark counts the n-grams of all words of all
 documents, takes continuation counts and discounts of modified Kneser-Ney smoothing, and writes each
 language's tables sorted by hash. Tasks look n-grams up in these arrays by binary search, once for each
 distinct word of a slice.
 
 The log perplexity of a text is the median of its lines', each weighed by its symbols, so that a foreign
 passage or a table inside a text does not decide. A document passes if it lies between its language's quartiles, widened on both
-sides by ``WIDTH`` times their distance, or ``LEAST`` if that is more.
+sides by ``WIDTH`` times their distance, or ``LEAST`` if that is more. The word perplexity is the mean over all words of the
+text and must lie in a band of its own (``WORD_WIDTH``, ``LEAST``).
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm import blocks, stats, store
+from riskloom.llm import blocks, stats, store, wordmodel
 from riskloom.sources import shared
 
 ORDER = 4
 WIDTH, LEAST = 4.0, 0.1
+WORD_WIDTH = 3.0  # Tukey's outer fences
 BITS = 6
 EDGE = 0
 
@@ -189,8 +191,9 @@ def median(log: np.ndarray, symbols: np.ndarray, lines: np.ndarray, line_rows: n
     return out
 
 
-def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
-    """Append counts, ``log_perplexity``, ``base_failed``, the band and ``kept`` to ``df``.
+def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, width: float = WIDTH, least: float = LEAST,
+          word_width: float = WORD_WIDTH) -> DataFrame:
+    """Append counts, ``log_perplexity``, ``word_log_perplexity``, ``base_failed``, the bands and ``kept`` to ``df``.
 
     A null language is one of its own. Texts without words have no perplexity (null) and fail the base rules,
     as all texts under 50 words do. Bands are set by the documents that pass the base rules. Columns of the
@@ -201,8 +204,11 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
     with shared.scope(spark):
         folder = train(source.select(F.col("_lang").alias("lang"), F.col(f"`{text}`").alias("text")), "lang", "text", order)
     names = stats.NAMES[:5]
-    added = T.StructType([*(T.StructField(c, T.LongType()) for c in names), T.StructField("log_perplexity", T.DoubleType())])
-    kept = [c for c in df.columns if c not in added.names and c not in ("base_failed", "low", "high", "kept")] + ["_lang"]
+    added = T.StructType([*(T.StructField(c, T.LongType()) for c in names), T.StructField("log_perplexity", T.DoubleType()),
+                          T.StructField("word_log_perplexity", T.DoubleType())])
+    kept = [c for c in df.columns if c not in added.names and c not in ("base_failed", "low", "high", "word_low", "word_high", "kept")] + ["_lang"]
+    asked = source.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{text}`"]))
+    counted = wordmodel.count(asked, "_lang", text)
     schema = T.StructType([*(source.schema[c] for c in kept), *added])
 
     def run(batches):
@@ -224,17 +230,18 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
                     logs[at] = own.model(folder, code, order).log(key[at])
                 upto = np.concatenate([[0], np.cumsum(logs)])
                 log[mine] = (upto[cut[1:]] - upto[cut[:-1]])[words.codes[mine]]
+            each = own.wordmodel.score(counted, part, text, line, words, log)
             value = own.median(log, np.diff(cut)[words.codes], words.lines, words.line_rows, len(line))
             value = pa.array(np.round(value, 9), mask=np.isnan(value))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(made[c], pa.int64()) for c in names), value], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(made[c], pa.int64()) for c in names), value, pa.array(np.round(each, 9), mask=np.isnan(each))], names=schema.names)
 
-    scored = shared.materialize(source.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{text}`"])).mapInArrow(run, schema))
+    scored = shared.materialize(asked.mapInArrow(run, schema))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    quarter = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    spread = F.greatest(width * (F.col("_q")[1] - F.col("_q")[0]), F.lit(least))
-    bands = (scored.where(~F.col("base_failed")).groupBy("_lang").agg(quarter.alias("_q"))
-             .select("_lang", (F.col("_q")[0] - spread).alias("low"), (F.col("_q")[1] + spread).alias("high")))
-    bands = blocks.light(bands)
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands, "_lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
+    quarters = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000)
+    spread = lambda q, by: F.greatest(by * (F.col(q)[1] - F.col(q)[0]), F.lit(least))
+    bands = scored.where(~F.col("base_failed")).groupBy("_lang").agg(quarters("log_perplexity").alias("_q"), quarters("word_log_perplexity").alias("_w"))
+    bands = blocks.light(bands.select("_lang", (F.col("_q")[0] - spread("_q", width)).alias("low"), (F.col("_q")[1] + spread("_q", width)).alias("high"),
+                                      (F.col("_w")[0] - spread("_w", word_width)).alias("word_low"), (F.col("_w")[1] + spread("_w", word_width)).alias("word_high")))
+    inside = F.col("log_perplexity").between(F.col("low"), F.col("high")) & F.col("word_log_perplexity").between(F.col("word_low"), F.col("word_high"))
+    return scored.join(bands, "_lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("_lang")

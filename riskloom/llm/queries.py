@@ -36,7 +36,7 @@ BLANK_SQL = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 @query()
 def op1_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     out = perplexity.score(table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "word_log_perplexity")
 
 
 def held_out(key: str) -> Column:

@@ -186,3 +186,55 @@ def test_preference_pairs(spark):
     made = {(r.kind, r.chosen_id, r.rejected_id) for r in preference.pair_up(frame).collect()}
     assert made == {("opening", 1, 2), ("opening", 1, 3), ("neighbour", 2, 3), ("neighbour", 4, 5)}
     assert preference.format_pairs(pairs, frame.limit(0)).count() == 0
+
+
+def test_shuffled_real_words_are_rejected(spark):
+    rng = random.Random(6)
+    names = [x + y + z for x in "ka lo mi nu re".split() for y in "ba de fi go hu ja ke li".split() for z in "n s t r m".split()]
+    after = {w: rng.sample(names, 4) for w in names}
+
+    def fluent():
+        out = [rng.choice(names)]
+        while len(out) < 120:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    line = lambda w: "\n".join(" ".join(w[k:k + 12]) for k in range(0, len(w), 12))
+    good = [fluent() for _ in range(160)]
+    rows = [(k, line(w), "en") for k, w in enumerate(good)]
+    rows += [(1000 + k, line(rng.sample(w, len(w))), "en") for k, w in enumerate(good[:8])]
+    rows += [(2000 + k, line(w[:60] + rng.sample(w[60:], 60)), "en") for k, w in enumerate(good[8:12])]  # half of it
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in perplexity.score(frame).collect()}
+    assert sum(got[k].kept for k in range(160)) >= 155
+    for k in got:
+        assert k < 1000 or not got[k].kept and not got[k].base_failed and got[k].word_log_perplexity > got[k].word_high, got[k]
+
+
+def test_word_counts_equal_brute_force(spark):
+    """Of two texts in different halves, each is scored by the n-grams of the other."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm import blocks, stats, wordmodel
+
+    texts = ["a b a b c", "A b c", "a b d", "b a b c a"]
+    data, rows = blocks.buffers(pa.array(texts))
+    half = (blocks.hash_words_long(data, rows) & np.uint64(1)).tolist()
+    frame = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string").coalesce(1)
+    folder = wordmodel.count(frame, "lang", "text")
+    part = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["x"] * 4)], names=["text", "lang"])
+    _, words = stats.counts(part.column("text"))
+    got = wordmodel.score(folder, part, "text", np.array(["x"] * 4, object), words, np.full(len(words.codes), math.log(0.01)))
+    for k, t in enumerate(texts):
+        others = [["^", "^", "^", *o.lower().split()] for o, h in zip(texts, half) if h != half[k]]
+        seen = lambda g: sum(o[e - len(g) + 1:e + 1] == g for o in others for e in range(2, len(o)))
+        w, total = ["^", "^", "^", *t.lower().split()], 0.0
+        for e in range(3, len(w)):
+            p = 0.01
+            for n in (1, 2, 3):
+                p = (seen(w[e - n + 1:e + 1]) + wordmodel.PRIOR * p) / (seen(w[e - n + 1:e]) + wordmodel.PRIOR)
+            total -= math.log(p)
+        assert abs(got[k] - total / (len(w) - 3)) < 1e-9
