@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
+from riskloom.llm import decontaminate, infill, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
 from riskloom.sources import shared
 
 QUERIES: dict = {}
@@ -159,3 +159,20 @@ def op10_preference(spark: SparkSession, sf: str) -> DataFrame:
     trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.when(x["trained"], F.length(x["text"])).otherwise(0))
     return out.select("kind", "chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), F.sha2("prompt", 256).alias("prompt_sha256"),
                       whole("chosen").alias("chosen_sha256"), whole("rejected").alias("rejected_sha256"), trained("chosen").alias("chosen_trained"), trained("rejected").alias("rejected_trained"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""")
+def op12_infill(spark: SparkSession, sf: str) -> DataFrame:
+    out = infill.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
