@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, infill, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
+from riskloom.llm import decontaminate, gnat, infill, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
+from riskloom.operators.skew import left_lookup
 from riskloom.sources import shared
 
 QUERIES: dict = {}
@@ -176,3 +177,28 @@ def op12_infill(spark: SparkSession, sf: str) -> DataFrame:
     out = infill.transform(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+#: One round in SQL: nearest entries of codebook c{0} as a{0}, then codebook c{1}.
+_ASSIGN = """a{0} AS (SELECT r, p.part, any_value(p.x) AS x, min(list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) * 64 + c.i) AS m
+       FROM p JOIN c{0} c ON c.part = p.part GROUP BY r, p.part),"""
+_MEAN = """s{0} AS (SELECT part, i, k, sum(x[k]) AS s, count(*) AS n FROM (SELECT part, m % 64 AS i, x, unnest(range(1, len(x) + 1)) AS k FROM a{0}) GROUP BY ALL),
+m{0} AS (SELECT part, i, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS x FROM s{0} GROUP BY part, i),
+c{1} AS (SELECT part, i, coalesce(m{0}.x, c{0}.x) AS x FROM c{0} LEFT JOIN m{0} USING (part, i)),"""
+
+
+@query(f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(256 AS DOUBLE) * x) AS BIGINT)) AS v
+           FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM (SELECT r, v, unnest(range(16)) AS part FROM e)),
+c0 AS (SELECT part, r AS i, x FROM p WHERE r < 64),
+{_ASSIGN.format(0)} {_MEAN.format(0, 1)} {_ASSIGN.format(1)} {_MEAN.format(1, 2)} {_ASSIGN.format(2)}
+o AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, i)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN o USING (r), b""")
+def op13_gnat(spark: SparkSession, sf: str) -> DataFrame:
+    out, books = gnat.compress(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    same = F.when(F.col("label").isNull(), "none").otherwise(F.concat(F.lit("="), F.col("label").cast("string")))
+    made = shared.materialize(out.select("vec_id", same.alias("same"), F.lower(F.hex("code")).alias("code"), "error"))
+    sums = shared.materialize(made.groupBy("same").agg(F.sum("error").alias("label_error")))
+    return left_lookup(made, sums, "same").select("vec_id", "code", "error", "label_error", F.lit(gnat.digest(books)).alias("codebooks_sha256"))
