@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, gnat, infill, jaccard, licences, perplexity, pieces, preference, rans, rules, suffix, warc
+from riskloom.llm import decontaminate, gnat, infill, jaccard, licences, maintext, perplexity, pieces, preference, rans, rules, suffix, warc
 from riskloom.operators.skew import left_lookup
 from riskloom.sources import shared
 
@@ -202,3 +202,9 @@ def op13_gnat(spark: SparkSession, sf: str) -> DataFrame:
     made = shared.materialize(out.select("vec_id", same.alias("same"), F.lower(F.hex("code")).alias("code"), "error"))
     sums = shared.materialize(made.groupBy("same").agg(F.sum("error").alias("label_error")))
     return left_lookup(made, sums, "same").select("vec_id", "code", "error", "label_error", F.lit(gnat.digest(books)).alias("codebooks_sha256"))
+
+
+@query()
+def op11_maintext(spark: SparkSession, sf: str) -> DataFrame:
+    out = maintext.extract(table(spark, sf, "pages").select("page_id", "url", "html"), text="text", keep=["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
