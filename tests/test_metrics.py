@@ -207,3 +207,43 @@ def test_context_sentences(spark):
     assert got[1][0] == "card brand = Rare: too few rows to compare" and got[1][1].endswith("was not given")
     assert got[2][0] == "card brand was not given" and "below 100.0%" in got[2][1]
     assert math.isclose(ctx.knots["abs_amount"][0], 5.0)
+
+
+def _sequential(points):
+    """Isotonic values of (score, positives, rows) by the plain stack."""
+    stack = []
+    for x, p, n in sorted(points):
+        stack.append([[x], p, n])
+        while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
+            xs, p, n = stack.pop()
+            stack[-1] = [stack[-1][0] + xs, stack[-1][1] + p, stack[-1][2] + n]
+    return [(xs[0], xs[-1], p, n) for xs, p, n in stack]
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "steps"])
+@pytest.mark.parametrize("block_rows", [40, 500_000])
+def test_isotonic_blocks_equal_the_sequential_ones(spark, shape, block_rows):
+    import random
+
+    rng = random.Random(block_rows)
+    rate = {"noise": lambda x: 0.3, "falling": lambda x: 1 - x, "rising": lambda x: x, "steps": lambda x: int(x * 5) % 2}[shape]
+    rows = [(x / 500, int(rng.random() < rate(x / 500))) for x in (rng.randrange(500) for _ in range(3000))]
+    df = spark.createDataFrame([*rows, (None, 1), (float("nan"), 1), (0.5, None)], "score double, is_fraud int").repartition(10)
+    points = {}
+    for x, y in rows:
+        p, n = points.get(x, (0, 0))
+        points[x] = p + y, n + 1
+    want = _sequential([(x, p, n) for x, (p, n) in points.items()])
+    blocks = blending.isotonic_blocks(df, block_rows=block_rows)
+    assert sorted((r["lo"], r["hi"], r["pos"], r["n"]) for r in blocks.collect()) == want
+    at = sorted({rng.random() * 1.2 - 0.1 for _ in range(60)} | {x for x, _ in rows[:40]})
+    xs = [x for lo, hi, _, _ in want for x in ((lo, hi) if lo < hi else (lo,))]
+    ys = [p / n for lo, hi, p, n in want for _ in ((lo, hi) if lo < hi else (lo,))]
+    assert blending.curve_at(blocks, at) == pytest.approx(list(np.interp(at, xs, ys)))
+
+
+def test_isotonic_of_no_rows_has_no_knots(spark):
+    none = spark.createDataFrame([], "score double, is_fraud int")
+    assert blending.fit_isotonic(none) == ([], [])
+    one = spark.createDataFrame([(0.5, 1)] * 3, "score double, is_fraud int")
+    assert blending.fit_isotonic(one) == ([0.5], [1.0])
