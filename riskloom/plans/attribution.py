@@ -16,14 +16,18 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.plans import boosting
 from riskloom.plans.modelling import Fitted, feature_slots, model_inputs
 from riskloom.schema import FEATURES
-from riskloom.sources.shared import scratch
+from riskloom.sources.shared import delete, scratch
 
 
 def with_contributions(fitted: Fitted, df: DataFrame, train: DataFrame | None = None,
                        prefix: str = "_contrib_") -> DataFrame:
-    """Add ``<prefix><feature>`` for every feature. The linear member needs training rows for its means."""
+    """Add ``<prefix><feature>`` for every feature. The linear member measures from the means of ``train``, or of the rows it was fitted on."""
+    if fitted.name == "gbt":
+        rows = df.select(*df.columns, boosting.bins_udf(fitted.model.binning)(*boosting.raw_inputs()).alias("_v"))
+        return _named(rows.withColumn("_phi", _tree_udf(fitted, df.sparkSession)(F.col("_v"))), df, prefix)
     head = fitted.model
     vectors = model_inputs(df, fitted.name, fitted.levels)
     for stage in head.stages[:-1]:
@@ -33,14 +37,21 @@ def with_contributions(fitted: Fitted, df: DataFrame, train: DataFrame | None =
         out = _linear(fitted, rows, train)
     else:
         out = rows.withColumn("_phi", _tree_udf(fitted, df.sparkSession)(F.col("_v")))
+    return _named(out, df, prefix)
+
+
+def _named(out: DataFrame, df: DataFrame, prefix: str) -> DataFrame:
     return out.select(*df.columns, *[F.col("_phi")[i].alias(f"{prefix}{f}") for i, f in enumerate(FEATURES)])
 
 
-def _linear(fitted: Fitted, rows: DataFrame, train: DataFrame) -> DataFrame:
-    vectors = model_inputs(train, fitted.name, fitted.levels)
-    for stage in fitted.model.stages[:-1]:
-        vectors = stage.transform(vectors)
-    mean = vectors.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+def _linear(fitted: Fitted, rows: DataFrame, train: DataFrame | None) -> DataFrame:
+    if train is None:
+        mean = fitted.info["means"]
+    else:
+        vectors = model_inputs(train, fitted.name, fitted.levels)
+        for stage in fitted.model.stages[:-1]:
+            vectors = stage.transform(vectors)
+        mean = vectors.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     coef = fitted.model.stages[-1].coefficients.toArray()
     owner = feature_slots(fitted.levels, one_hot=True)
     parts = []
@@ -52,26 +63,27 @@ def _linear(fitted: Fitted, rows: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def read_leaves(fitted: Fitted, spark) -> list[tuple[float, list[tuple]]]:
-    """Every leaf as (value, path); a path step is (slot, threshold, left categories, goes left, cover share)."""
+    """Every leaf as (value, path); a path step is (slot, threshold, left categories, goes left, cover share). Read once for each member."""
+    if fitted.leaves is None:
+        fitted.leaves = fitted.model.leaves() if fitted.name == "gbt" else _forest_leaves(fitted, spark)
+    return fitted.leaves
+
+
+def _forest_leaves(fitted: Fitted, spark) -> list[tuple[float, list[tuple]]]:
     path = scratch(spark, "trees")
     fitted.model.stages[-1].write().overwrite().save(path)
-    meta = spark.read.parquet(f"{path}/treesMetadata")  # (tree, metadata, weight), by position
-    weights = [r[2] for r in sorted(meta.collect(), key=lambda r: r[0])]
     nodes: dict[int, dict] = {}
     for r in spark.read.parquet(f"{path}/data").collect():  # numTrees x nodes per tree: set by the parameters
         nodes.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+    delete(spark, path)
     leaves = []
-    for tree, table in nodes.items():
-        boosted = fitted.name == "gbt"
-        cover = (lambda n: n["impurityStats"][0]) if boosted else (lambda n: sum(n["impurityStats"]))
+    for table in nodes.values():
+        cover = lambda n: sum(n["impurityStats"])
         stack = [(table[0], [])]
         while stack:
             node, steps = stack.pop()
             if node["leftChild"] < 0:
-                # Boosting: log-odds, i.e. twice the summed margin. Forest: mean leaf probability.
-                value = (2.0 * weights[tree] * node["prediction"] if boosted
-                         else node["impurityStats"][1] / max(cover(node), 1e-12) / len(nodes))
-                leaves.append((value, steps))
+                leaves.append((node["impurityStats"][1] / max(cover(node), 1e-12) / len(nodes), steps))  # mean leaf probability
                 continue
             split = node["split"]
             cats = split["leftCategoriesOrThreshold"]
@@ -116,7 +128,7 @@ def shapley(x: np.ndarray, leaves: list, owner: list[int], n_features: int) -> n
 
 def _tree_udf(fitted: Fitted, spark):
     leaves = read_leaves(fitted, spark)
-    owner = feature_slots(fitted.levels, one_hot=False)
+    owner = list(range(len(FEATURES))) if fitted.name == "gbt" else feature_slots(fitted.levels, one_hot=False)
     n = len(FEATURES)
 
     @F.pandas_udf("array<double>")

@@ -1,18 +1,21 @@
-"""Three classifier families behind one fit/predict, and the table of their scores."""
+"""Three classifier families behind one fit/predict: boosted trees of our own, Spark's random forest and logistic regression."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.weights import combined_weight, effective_sample_size
+from riskloom.operators.weights import combined_weight
+from riskloom.plans import boosting
 from riskloom.schema import CATEGORICAL, FEATURES, LABEL, NUMERIC, check_roles
+from riskloom.sources.shared import materialize, scope
 
 FAMILIES = ("gbt", "forest", "linear")
 MISSING = "__missing__"
@@ -22,8 +25,7 @@ TEXTS = [f"_t_{c}" for c in CATEGORICAL]
 CODES = [f"_c_{c}" for c in CATEGORICAL]
 
 DEFAULTS = {
-    "gbt": {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.9, "minInstancesPerNode": 5,
-            "validationTol": 1e-6},
+    "gbt": {"rounds": 100, "depth": 5, "rate": 0.1, "patience": 15, "row_share": 0.9, "leaf_rows": 5},
     "forest": {"numTrees": 60, "maxDepth": 8, "subsamplingRate": 0.8, "minInstancesPerNode": 5},
     "linear": {"maxIter": 60, "regParam": 0.01, "elasticNetParam": 0.0},
 }
@@ -32,9 +34,10 @@ DEFAULTS = {
 @dataclass
 class Fitted:
     name: str
-    model: PipelineModel
+    model: PipelineModel | boosting.Boosted
     levels: dict[str, list[str]]
     info: dict = field(default_factory=dict)
+    leaves: list | None = None  # of trees, once they have been read for attribution
 
 
 def _one_hot_columns(levels: dict[str, list[str]]) -> dict[str, Column]:
@@ -62,6 +65,12 @@ def model_inputs(df: DataFrame, name: str, levels: dict[str, list[str]]) -> Data
     return out.withColumns(_one_hot_columns(levels)) if name == "linear" else out
 
 
+def learner_inputs(df: DataFrame, name: str, levels: dict[str, list[str]], *more: str) -> DataFrame:
+    """Only what a learner's first stages read, the label, and the columns named."""
+    hot = list(_one_hot_columns(levels)) if name == "linear" else TEXTS
+    return model_inputs(df, name, levels).select(*NUMBERS, *GAPS, *hot, LABEL, *more)
+
+
 def feature_slots(levels: dict[str, list[str]], one_hot: bool) -> list[int]:
     """For each slot of the feature vector, the index of the feature it belongs to."""
     slots = list(range(len(NUMERIC))) * 2
@@ -71,7 +80,7 @@ def feature_slots(levels: dict[str, list[str]], one_hot: bool) -> list[int]:
     return slots
 
 
-def _stages(name: str, levels: dict[str, list[str]], params: dict) -> list:
+def stages_of(name: str, levels: dict[str, list[str]], params: dict) -> list:
     known = [[*levels.get(c, []), MISSING] for c in CATEGORICAL]
     index = StringIndexerModel.from_arrays_of_labels(known, inputCols=TEXTS, outputCols=CODES, handleInvalid="keep")
     common = {"featuresCol": "features", "labelCol": LABEL, "weightCol": "weight", **DEFAULTS[name], **params}
@@ -79,10 +88,8 @@ def _stages(name: str, levels: dict[str, list[str]], params: dict) -> list:
     if name == "linear":
         hot = list(_one_hot_columns(levels))
         return [VectorAssembler(inputCols=[*NUMBERS, *GAPS, *hot], outputCol="features"), LogisticRegression(**common)]
-    gather = VectorAssembler(inputCols=[*NUMBERS, *GAPS, *CODES], outputCol="features")
-    if name == "gbt":
-        return [index, gather, GBTClassifier(seed=42, maxBins=bins, validationIndicatorCol="_held", **common)]
     if name == "forest":
+        gather = VectorAssembler(inputCols=[*NUMBERS, *GAPS, *CODES], outputCol="features")
         return [index, gather, RandomForestClassifier(seed=42, maxBins=bins, **common)]
     raise ValueError(f"unknown family {name!r}; choose from {FAMILIES}")
 
@@ -95,21 +102,34 @@ def fit(name: str, train: DataFrame, val_fit: DataFrame, levels: dict[str, list[
     """
     only(train, "train"), only(val_fit, "val_fit")
     check_roles(train)
-    weighted = combined_weight(train, half_life)
-    keep = [*FEATURES, LABEL, "weight"]
-    rows = weighted.select(*keep, F.lit(False).alias("_held"))
     if name == "gbt":
-        rows = rows.unionByName(val_fit.withColumn("weight", F.lit(1.0)).select(*keep, F.lit(True).alias("_held")))
-    model = Pipeline(stages=_stages(name, levels, params or {})).fit(model_inputs(rows, name, levels))
-    stats = weighted.agg(F.count(F.lit(1)).alias("rows_used"), F.sum(LABEL).alias("frauds_used")).first()
+        with scope(train.sparkSession):
+            binning = boosting.learn_bins(train, levels)
+            (model,) = boosting.fit_many(boosting.binned(train, val_fit, binning), binning,
+                                         [boosting.Config(half_life=float(half_life or 0), **{**DEFAULTS[name], **(params or {})})])
+        return Fitted(name, model, levels, model.info)
+    stages = stages_of(name, levels, params or {})
+    with scope(train.sparkSession):
+        weighted = combined_weight(train, half_life)
+        *ready, learner = stages
+        inputs = materialize(learner_inputs(weighted, name, levels, "weight"))
+        head = Pipeline(stages=ready).fit(inputs)
+        rows = head.transform(inputs)
+        model = PipelineModel([*head.stages, learner.fit(rows)])
+        w = F.col("weight")
+        stats = rows.agg(F.count(F.lit(1)), F.sum(LABEL), F.sum(w), F.sum(w * w), Summarizer.mean(F.col("features"))).first()
     info = {"rows_used": stats[0], "frauds_used": stats[1], "recency_half_life_days": half_life or 0,
-            "effective_sample_size": round(effective_sample_size(weighted).first()[0], 1)}
+            "effective_sample_size": round(stats[2] ** 2 / stats[3], 1) if stats[2] else 0.0}
+    if name == "linear":
+        info["means"] = stats[4].toArray().tolist()  # what a contribution is measured from
     return Fitted(name, model, levels, info)
 
 
 def predict(fitted: Fitted, df: DataFrame, into: str | None = None) -> DataFrame:
     """Add the fraud probability as a column."""
     into = into or fitted.name
+    if fitted.name == "gbt":
+        return df.select(*df.columns, boosting.probabilities([fitted.model])(*boosting.raw_inputs())[0].alias(into))
     scored = fitted.model.transform(model_inputs(df, fitted.name, fitted.levels))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(into))
 
@@ -126,7 +146,10 @@ def only(df: DataFrame, *allowed: str) -> DataFrame:
 def save(fitted: Fitted, path: str) -> None:
     from riskloom.sources.sinks import write_document
 
-    fitted.model.write().overwrite().save(f"{path}/{fitted.name}/model")
+    if fitted.name == "gbt":
+        write_document(SparkSession.active(), f"{path}/{fitted.name}/trees", fitted.model.to_dict())
+    else:
+        fitted.model.write().overwrite().save(f"{path}/{fitted.name}/model")
     write_document(SparkSession.active(), f"{path}/{fitted.name}/about",
                    {"name": fitted.name, "levels": fitted.levels, "info": fitted.info})
 
@@ -139,5 +162,7 @@ def load(spark: SparkSession, path: str, names=FAMILIES) -> dict[str, Fitted]:
     for name in names:
         about = read_document(spark, f"{path}/{name}/about")
         if about:
-            out[name] = Fitted(name, PipelineModel.load(f"{path}/{name}/model"), about["levels"], about["info"])
+            model = (boosting.Boosted.from_dict(read_document(spark, f"{path}/{name}/trees")) if name == "gbt"
+                     else PipelineModel.load(f"{path}/{name}/model"))
+            out[name] = Fitted(name, model, about["levels"], about["info"])
     return out

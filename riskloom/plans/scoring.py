@@ -46,7 +46,7 @@ def load_service(spark, path: str, codes: str | None = None) -> Service:
     needed = [n for n in modelling.FAMILIES if weights.get(n, 0) > 0] if point.model == "ensemble" else [point.model]
     members = modelling.load(spark, f"{path}/models", needed)
     if point.explainer not in members:
-        point.explainer = next((n for n in members if n != "linear"), "none")
+        point.explainer = next(iter(members), "none")
     overall = readers.read_or_empty(spark, f"{path}/global_median", StructType.fromDDL("med double")).first()
     medians = readers.read_or_empty(spark, f"{path}/category_medians", StructType.fromDDL("mcc_category string, med double"))
     names = readers.read_codes(spark, codes) if codes else None
@@ -94,7 +94,7 @@ def score(requests: DataFrame, service: Service, explained: bool = True, origin:
     kept = with_ids(kept, origin)
     rows = raw_score(featurize(kept, service.dictionaries), service)
     explainer = service.members.get(service.point.explainer)
-    if explained and explainer is not None and explainer.name != "linear":
+    if explained and explainer is not None:
         rows = with_contributions(explainer, rows)
     return decisions.explain(decisions.decide(rows, service.point), service.context)
 

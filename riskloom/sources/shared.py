@@ -78,13 +78,16 @@ def written() -> list[str]:
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables this session materialized, all by default. Frames built on them stop working."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in list(_written) if paths is None else paths:
         if name in _written:
             _written.remove(name)
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            delete(spark, name)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
