@@ -25,7 +25,7 @@ TEXTS = [f"_t_{c}" for c in CATEGORICAL]
 CODES = [f"_c_{c}" for c in CATEGORICAL]
 
 DEFAULTS = {
-    "gbt": {"rounds": 100, "depth": 5, "rate": 0.1, "patience": 15, "row_share": 0.9, "leaf_rows": 5},
+    "gbt": {"rounds": 100, "depth": 5, "rate": 0.15, "patience": 10, "row_share": 0.9, "leaf_rows": 5},
     "forest": {"numTrees": 60, "maxDepth": 8, "subsamplingRate": 0.8, "minInstancesPerNode": 5},
     "linear": {"maxIter": 60, "regParam": 0.01, "elasticNetParam": 0.0},
 }
