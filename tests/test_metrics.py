@@ -247,3 +247,48 @@ def test_isotonic_of_no_rows_has_no_knots(spark):
     assert blending.fit_isotonic(none) == ([], [])
     one = spark.createDataFrame([(0.5, 1)] * 3, "score double, is_fraud int")
     assert blending.fit_isotonic(one) == ([0.5], [1.0])
+
+
+def test_splitting_tree_gives_every_task_the_same_draws():
+    """Slices of both axes, walked on their own, agree on every cell, and cells and what lies ahead add up to all draws."""
+    rng = np.random.default_rng(2)
+    tree = bootstrap.Splits(3, 2)
+    cells = {(i, j): (int(rng.integers(0, 4)), int(rng.integers(0, 30))) for i in range(8) for j in range(8) if rng.random() < 0.7}
+    cells = {k: v for k, v in cells.items() if any(v)}
+    totals = {}
+    for (i, j), (p, n) in cells.items():
+        for level in range(1, tree.depth + 1):
+            ib, jb = tree.taken(level)
+            node = level, i >> 3 - ib, j >> 3 - jb
+            a, b = totals.get(node, (0, 0))
+            totals[node] = a + p, b + n
+    everything = tuple(int(sum(v[c] for v in cells.values())) for c in (0, 1))
+    seen = {}
+    for axis in (0, 1):
+        reached = {}
+        for slab in range(8):
+            got, ahead = tree.walk(axis, slab, totals, everything, 4000, 5)
+            reached[slab] = sum(got.values(), np.zeros((4000, 2), np.int64)), ahead
+            for cell, draws in got.items():
+                assert cell[axis] == slab and (draws == seen.setdefault(cell, draws)).all()
+        for slab in range(8):
+            later = sum((reached[s][0] for s in range(slab + 1, 8)), np.zeros((4000, 2), np.int64))
+            assert (reached[slab][1] == later).all()
+        assert (sum(r[0] for r in reached.values()) == everything).all()
+    for cell, (p, n) in cells.items():  # a multinomial: means and variances of its cells
+        for c, t in ((0, p), (1, n)):
+            share = t / everything[c]
+            assert seen[cell][:, c].mean() == pytest.approx(t, abs=5 * np.sqrt(max(t, 0.01) / 4000))
+            assert seen[cell][:, c].var() == pytest.approx(everything[c] * share * (1 - share), rel=0.2, abs=0.05)
+
+
+def test_slices_of_any_size_give_the_same_distribution(spark):
+    df = scored(spark)
+    one = bootstrap.replicates(df, ["score"], n_boot=600, slice_rows=10**9).toPandas()["ap_0"]
+    many = bootstrap.replicates(df, ["score"], n_boot=600, slice_rows=7).toPandas()["ap_0"]
+    assert many.mean() == pytest.approx(one.mean(), abs=4 * one.std() / np.sqrt(600) * 1.5) and many.std() == pytest.approx(one.std(), rel=0.2)
+
+
+def test_bootstrap_of_no_rows(spark):
+    none = spark.createDataFrame([], "score double, is_fraud int")
+    assert bootstrap.replicates(none, ["score"], n_boot=5).count() == 0
