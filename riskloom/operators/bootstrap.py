@@ -20,7 +20,7 @@ from riskloom.operators.metrics import rank_quality
 from riskloom.schema import LABEL
 from riskloom.sources.shared import materialize
 
-SLICE_ROWS = 200_000  # distinct scores aimed at per task
+SLICE_ROWS = 20_000  # distinct scores aimed at per task
 CHUNK = 2_000_000  # draws that a task holds at a time
 
 

@@ -42,14 +42,20 @@ def list_pending(events: DataFrame, n: int = 100) -> DataFrame:
     return pending(events).orderBy(F.desc(F.coalesce("risk_score", F.lit(0.0))), "request_id").limit(max(n, 1))
 
 
-def stats(events: DataFrame) -> DataFrame:
+def count_columns() -> list:
     done = F.col("event") == "resolved"
-    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
-    totals = events.agg(
-        count(done).alias("resolved"), count(done & (F.col("action") == "approve")).alias("approved"),
-        count(done & (F.col("action") == "decline")).alias("declined"))
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
+    return [count(done).alias("resolved"), count(done & (F.col("action") == "approve")).alias("approved"), count(done & (F.col("action") == "decline")).alias("declined")]
+
+
+def counts(events: DataFrame) -> DataFrame:
+    """One row: how many resolutions there are, and of each kind."""
+    return events.agg(*count_columns())
+
+
+def stats(events: DataFrame) -> DataFrame:
     open_cases = pending(events).agg(F.count(F.lit(1)).alias("pending")).scalar()
-    return totals.withColumn("pending", open_cases)
+    return counts(events).withColumn("pending", open_cases)
 
 
 def check_resolutions(resolutions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from riskloom.functions import parsing
 from riskloom.operators import context, decisions, requests, review, splits
 from riskloom.operators.decisions import OperatingPoint
 from riskloom.operators.skew import left_lookup
-from riskloom.plans import assess, attribution, modelling, scoring, train, tuning
+from riskloom.plans import assess, attribution, modelling, review_log, scoring, train, tuning
 from riskloom.schema import FEATURES, REVIEW_EVENT
 from riskloom.sources import readers, sinks
 from riskloom.sources.shared import materialize, scratch
@@ -294,6 +294,32 @@ def stream_review(spark, sf):
     return streams.latest_status(spark.read.parquet(f"{base}/changes")).select("request_id", "status", "risk_score")
 
 
+def _snapshots(spark, sf):
+    """The review log in five batches of two streams: a snapshot after two of them, another after four."""
+    base = scratch(spark, "review-log")
+    log, _, _ = _log(spark, sf)
+    log = materialize(log.select(*[c for c in log.columns if c in REVIEW_EVENT.names]))
+    kept = review_log.ReviewLog(spark, f"{base}/log", f"{base}/store")
+    part = F.pmod(F.xxhash64("request_id", "event"), F.lit(5))
+    for k in range(5):
+        kept.append(log.where(part == k), "ab"[k % 2], k // 2)
+        if k in (1, 3):
+            kept.compact()
+    return kept
+
+
+@query(f"WITH {_REVIEW} SELECT CAST(id AS VARCHAR) AS request_id, round(score, 6) AS risk_score, 'score in review band' AS queued_reason FROM pend")
+def snapshot_pending(spark, sf):
+    """Pending cases from the last snapshot and the batches after it."""
+    return _snapshots(spark, sf).pending().select("request_id", "risk_score", "queued_reason")
+
+
+@query(f"""WITH {_REVIEW} SELECT (SELECT count(*) FROM done) AS resolved, (SELECT count(*) FROM done WHERE action = 'approve') AS approved,
+  (SELECT count(*) FROM done WHERE action = 'decline') AS declined, (SELECT count(*) FROM pend) AS pending""")
+def snapshot_stats(spark, sf):
+    return _snapshots(spark, sf).stats()
+
+
 @query(f"""WITH {_REVIEW} SELECT 'ok' AS status, 'frm-1.0.0' AS model_version, 'stand-in' AS scored_by, CAST(0.45 AS DOUBLE) AS review_threshold,
   CAST(0.56 AS DOUBLE) AS block_threshold, 'none' AS calibrator, (SELECT count(*) FROM pend) AS pending, (SELECT count(*) FROM done) AS resolved,
   (SELECT count(*) FROM t WHERE is_fraud = 0) AS reference_rows, (SELECT round(avg(is_fraud), 9) FROM t) AS overall_fraud_rate""")

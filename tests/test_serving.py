@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import context, decisions, requests, review
 from riskloom.operators.decisions import OperatingPoint
-from riskloom.plans import scoring
+from riskloom.plans import review_log, scoring
 from riskloom.schema import CATEGORICAL, FEATURES, REVIEW_EVENT
 from riskloom.sources import readers, sinks
 from riskloom.sources.shared import materialize, release, scope, scratch, shared_dir
@@ -303,3 +303,23 @@ def test_review_stream_drops_nothing_late(spark, tmp_path):
     got = {r["request_id"]: r["status"] for r in streams.latest_status(spark.read.parquet(f"{tmp_path}/out")).collect()}
     want = {r["request_id"]: "pending" if r["event"] == "queued" else r["action"] for r in review.state(log).collect()}
     assert got == want == {"a": "approve", "b": "pending", "c": "decline", "late": "pending"}
+
+
+def test_snapshot_and_tail_equal_the_whole_log(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["queued", "resolved", "other"]), f"r{rng.randrange(12)}", f"{k:03d}", rng.random(), "gate downgrade", rng.choice(["approve", "decline"])) for k in range(120)]
+    rng.shuffle(rows)
+    kept = review_log.ReviewLog(spark, f"{tmp_path}/log", f"{tmp_path}/store")
+    assert kept.pending().count() == 0 and kept.compact() == 0
+    same = lambda a, b: sorted(map(str, a.select(sorted(b.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect()))
+    for k in range(6):
+        kept.append(events(spark, rows[20 * k:20 * k + 20]), rng.choice("ab"), k)
+        if k in (1, 2, 4):
+            kept.compact()
+        whole = events(spark, rows[:20 * k + 20])
+        assert same(kept.state(), review.state(whole)) and same(kept.pending(), review.pending(whole)) and same(kept.stats(), review.stats(whole))
+    plan = kept.tail()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "batch" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert kept.tail().select("batch").distinct().count() == 1  # only what came after the last snapshot
