@@ -5,7 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -67,18 +67,36 @@ def format_pairs(pairs: DataFrame, turns: DataFrame, chosen: str = "chosen_id",
     return both.select(*(F.col(f"`{c}`") for c in base.columns), "n_prompt_turns", prompt.alias("prompt"), rest("_a").alias("chosen"), rest("_b").alias("rejected"))
 
 
-def pair_up(turns: DataFrame) -> DataFrame:
+RANGES = 256  # conversations are dealt into so many ranges of ids to find each one's successor
+
+
+def successors(ids: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id): every conversation but the last with the one of the next existing id, whatever the gaps.
+
+    Ids are dealt into ranges of about equal numbers (edges from a sketch of quantiles), in which a window finds
+    successors. The successor of a range's last id is the first id of the next range: a window over ``RANGES`` rows.
+    """
+    edges = ids.agg(F.percentile_approx("conv_id", F.lit([k / RANGES for k in range(1, RANGES)]), 10 * RANGES)).first()[0] or []
+    placed = ids.select("conv_id", F.size(F.filter(F.lit([int(e) for e in edges]).cast("array<bigint>"), lambda e: e <= F.col("conv_id"))).alias("_range"))
+    inside = placed.withColumn("_next", F.lead("conv_id").over(Window.partitionBy("_range").orderBy("conv_id")))
+    firsts = placed.groupBy("_range").agg(F.min("conv_id").alias("_first"))
+    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    found = inside.join(F.broadcast(after), "_range")  # one row for each range
+    return found.select(F.col("conv_id").alias("chosen_id"), F.coalesce("_next", "_after").alias("rejected_id")).where("rejected_id IS NOT NULL")
+
+
+def pair_up(turns: DataFrame, salts: int = 64) -> DataFrame:
     """Pairs (kind, chosen_id, rejected_id) for a table that names none, as many as there are conversations at most twice.
 
     "opening": the least conversation of all with the same first turn against each other one of them; "neighbour":
-    each even conversation against the next number, if there is one.
+    each conversation against that of the next existing id, but for the last one. An opening that many conversations
+    share is dealt out over ``salts`` tasks.
     """
     firsts = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
         F.min(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("f"))
     firsts = firsts.select("conv_id", F.sha2(F.concat_ws("\n", "f.role", "f.text"), 256).alias("opening"))
-    least = firsts.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("_last")).where("chosen_id < _last").drop("_last")
-    opening = firsts.join(least, "opening").where("conv_id > chosen_id").select(F.lit("opening").alias("kind"), "chosen_id", F.col("conv_id").alias("rejected_id"))
-    ids = firsts.select("conv_id")
-    next_ = ids.where("conv_id % 2 = 0").select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
-    neighbour = next_.join(ids.withColumnRenamed("conv_id", "rejected_id"), "rejected_id").select(F.lit("neighbour").alias("kind"), "chosen_id", "rejected_id")
-    return opening.unionByName(neighbour)
+    least = firsts.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("_n")).where("_n > 1")
+    salted = firsts.withColumn("_salt", F.pmod(F.xxhash64("conv_id"), F.lit(salts)).cast("int"))
+    copies = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    opening = salted.join(copies.drop("_n"), ["opening", "_salt"]).where("conv_id > chosen_id").select(F.lit("opening").alias("kind"), "chosen_id", F.col("conv_id").alias("rejected_id"))
+    return opening.unionByName(successors(firsts.select("conv_id")).select(F.lit("neighbour").alias("kind"), "chosen_id", "rejected_id"))

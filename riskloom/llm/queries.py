@@ -142,7 +142,7 @@ WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS turn
 c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
 f AS (SELECT conv_id, turns[1].role || chr(10) || turns[1].text AS opening FROM c),
 p AS (SELECT 'opening' AS kind, m.a AS chosen_id, f.conv_id AS rejected_id FROM f JOIN (SELECT opening, min(conv_id) AS a FROM f GROUP BY opening) m USING (opening) WHERE f.conv_id > m.a
-      UNION ALL SELECT 'neighbour', a.conv_id, b.conv_id FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+      UNION ALL SELECT 'neighbour', conv_id, next FROM (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next FROM c) WHERE next IS NOT NULL),
 b AS (SELECT p.*, x.turns AS a, y.turns AS b, least(len(x.turns), len(y.turns)) AS m FROM p JOIN c x ON x.conv_id = chosen_id JOIN c y ON y.conv_id = rejected_id),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: a[i] <> b[i])) - 1, m) AS n FROM b),
 r AS (SELECT *, '<|im_start|>' AS o, '<|im_end|>' AS e FROM n)

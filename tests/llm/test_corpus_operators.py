@@ -184,7 +184,13 @@ def test_preference_pairs(spark):
     assert got[3].chosen == got[3].rejected == []
     assert got[4].rejected[1].text.count("<|im_end|>") == 1 and not got[4].rejected[1].trained
     made = {(r.kind, r.chosen_id, r.rejected_id) for r in preference.pair_up(frame).collect()}
-    assert made == {("opening", 1, 2), ("opening", 1, 3), ("neighbour", 2, 3), ("neighbour", 4, 5)}
+    assert made == {("opening", 1, 2), ("opening", 1, 3), *(("neighbour", k, k + 1) for k in range(1, 5))}
+    for seed, n in ((1, 700), (2, 1), (3, 0)):
+        ids = sorted(random.Random(seed).sample(range(-10**6, 10**12), n))
+        gaps = spark.createDataFrame([(i, 0, "user", f"u{i % 3}") for i in ids], "conv_id long, turn long, role string, text string").repartition(5)
+        made = [(r.kind, r.chosen_id, r.rejected_id) for r in preference.pair_up(gaps).collect()]
+        assert sorted(p[1:] for p in made if p[0] == "neighbour") == list(zip(ids, ids[1:]))
+        assert sorted(p[1:] for p in made if p[0] == "opening") == sorted((min(j for j in ids if j % 3 == i % 3), i) for i in ids if min(j for j in ids if j % 3 == i % 3) < i)
     assert preference.format_pairs(pairs, frame.limit(0)).count() == 0
 
 
