@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -175,9 +178,17 @@ def lowest(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
     return some.orderBy(h, key).limit(n)
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_text(df: DataFrame, text: str, added: T.StructType, fn: Callable[[pa.Array], list[pa.Array]],
-             keep: list[str] | None = None) -> DataFrame:
-    """Append columns computed from a text column, slice by slice.
+             keep: list[str] | None = None, limit: int = SLICE_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
+    """Append columns computed from a text column, slice by slice of about ``limit`` bytes; ``after`` runs at a task's end.
 
     A column of an added name is replaced. ``keep`` names the columns of ``df`` to return (all by default).
     """
@@ -187,9 +198,11 @@ def map_text(df: DataFrame, text: str, added: T.StructType, fn: Callable[[pa.Arr
     schema = T.StructType([*(df.schema[c] for c in kept), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, limit):
             made = fn(part.column(text))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made],
                                              names=[*kept, *(f.name for f in added)])
+        if after:
+            after()
 
     return df.select(*(df[f"`{c}`"] for c in read)).mapInArrow(run, schema)

@@ -43,6 +43,8 @@ INDEX = np.dtype([("offset", "<u8"), ("words", "<u4"), ("crc", "<u4")])
 AT_ONCE = 32  # blocks coded side by side
 NO_KEY = -(1 << 63)
 SPLIT = 2_000_000  # tokens that one reading task takes
+SLICE_BYTES = 2 << 20  # text encoded at once in a task
+SENT = 100_000  # tokens that a reading task hands over at once
 
 
 def turns_of(size: np.ndarray) -> np.ndarray:
@@ -265,12 +267,13 @@ def encode(df: DataFrame, model: str, end: int, key: str, text: str) -> DataFram
     """(key, tie, ids): the token ids of every text, packed."""
     def run(batches):
         t = tokenizer(model)
-        for part in blocks.slices(batches, text):
+        for part in blocks.slices(batches, text, SLICE_BYTES):
             flat, offsets = t.encode(part.column(text), end)
             pack = zstandard.ZstdCompressor(level=1)
             raw = flat.astype("<u4" if flat.size and int(flat.max()) > 0xFFFF else "<u2")
             ids = [bytes([raw.itemsize]) + pack.compress(raw[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([part.column(key), part.column("tie"), pa.array(ids, pa.binary())], names=["key", "tie", "ids"])
+        blocks.tidy()
 
     source = df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text), F.xxhash64(f"`{text}`").alias("tie"))
     return source.mapInArrow(run, "key long, tie long, ids binary")
@@ -322,6 +325,7 @@ def _writer(folder: str, counts: np.ndarray):
                     made, ids, held, size = made + 1, [], [], 0
         if ids:
             yield flush()
+        blocks.tidy()
 
     return run
 
@@ -365,11 +369,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
              .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(int(n), F.col("file"), F.col("part")))
 
     def run(batches):
+        tokenizer.cache_clear()  # words that this worker kept for encoding
+        blocks.tidy()
         table = frequencies(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 ids, first, counts, tokens = read_file(folder, row["file"], table, row["part"], row["parts"])
-                step = max(1, int(len(ids) * 500_000 / max(1, len(tokens))))
+                step = max(1, int(len(ids) * SENT / max(1, len(tokens))))
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 for a in range(0, len(ids), step):
                     b = min(len(ids), a + step)
@@ -379,5 +385,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array(ids[a:b], mask=null), pa.array(first[a:b] + row["start"]),
                          blocks.lists(tokens[upto[a]:upto[b]].astype(np.int32), upto[a:b + 1] - upto[a], pa.int32()),
                          pa.array(crc, pa.int64())], names=["doc_id", "start", "ids", "crc"])
+        blocks.tidy()
 
     return tasks.mapInArrow(run, "doc_id long, start long, ids array<int>, crc long")
