@@ -24,6 +24,7 @@ from riskloom.llm import blocks
 SPACE = "▁"
 #: Entries of a worker's caches, of which there are two generations; they only save time.
 CACHED = 120_000
+SLICE_BYTES = 2 << 20  # text encoded at once in a task
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -68,6 +69,10 @@ class PieceTable:
         self.control = np.array([sp.is_control(i) for i in ids])
         self.blank_first = np.array([not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)) and p.startswith(SPACE) for i, p in enumerate(pieces)])
 
+    def clear(self) -> None:
+        """Forget words and pairs; they only save time."""
+        self.fits, self.seen, self.older = {}, {}, {}
+
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, best score first and leftmost among equals: the definition, for short strings."""
         parts = list(text)
@@ -202,7 +207,11 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", end:
         made = [blocks.lists(flat, offsets, pa.int32())]
         return [*made, t.decode(flat, offsets).cast(pa.string())] if decoded else made
 
-    return blocks.map_text(df, text, added, run, keep)
+    def after() -> None:
+        table(model).clear()
+        blocks.tidy()
+
+    return blocks.map_text(df, text, added, run, keep, SLICE_BYTES, after)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -24,6 +24,7 @@ from riskloom.sources import shared
 TRAIN_ROWS = 20_000  # labelled rows used at most: those whose id has the least hash
 TREES, DEPTH = 40, 3
 PENALTY = 0.0005
+SLICE_BYTES = 2 << 20  # text measured at once in a task
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, is it at most, threshold) for each comparison
 
@@ -66,7 +67,7 @@ def measure(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     # The text goes through the workers once; the other columns go in a struct, so that no name clashes.
     rest = F.struct(*([f"`{c}`" for c in keep if c != text] or [F.lit(0).alias("none")]))
     row = df.select(rest.alias("_row"), F.col(f"`{text}`").alias("_text"))
-    made = blocks.map_text(row, "_text", COUNTS, _count, ["_row", *["_text"] * (text in keep)]).withColumn("_c", F.struct(*COUNTS.names))
+    made = blocks.map_text(row, "_text", COUNTS, _count, ["_row", *["_text"] * (text in keep)], limit=SLICE_BYTES, after=blocks.tidy).withColumn("_c", F.struct(*COUNTS.names))
     columns = [(F.col("_text") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in keep]
     return made.select(*columns, F.struct(*(f().alias(n) for n, f in STATISTICS.items())).alias("_s"))
 
