@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +90,16 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, kind: st
         return spark.createDataFrame([], schema)
 
 
+#: What Spark says of a file that is no table or not one of this shape.
+UNREADABLE = ("is not a Parquet file", "CANNOT_READ_FOOTER", "UNABLE_TO_INFER_SCHEMA", "PARQUET_COLUMN_DATA_TYPE_MISMATCH")
+
+
 def read_artefact(spark: SparkSession, path: str, schema: T.StructType) -> list:
     """The rows of a small stored artefact; none where it is absent or cannot be read."""
     try:
         return read_or_empty(spark, path, schema).collect()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError) as exc:
+        # A damaged file is as good as none; a lost cluster or a missing permission is not.
+        if not any(sign in str(exc) for sign in UNREADABLE):
+            raise
         return []

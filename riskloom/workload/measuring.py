@@ -9,7 +9,7 @@ from riskloom.operators.decisions import OperatingPoint, calibrate
 from riskloom.operators.velocity import add_velocity
 from riskloom.plans import reference, train
 from riskloom.sources import sinks
-from riskloom.sources.shared import scratch
+from riskloom.sources.shared import materialize, scratch
 from riskloom.workload.preparing import _VAL
 from riskloom.workload.tables import TXN, read, split_sql, transactions
 
@@ -127,12 +127,21 @@ _ACTIVE = """v AS (SELECT *, count(*) OVER (PARTITION BY card_id ORDER BY epoch_
   RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING) AS card_txns_7d FROM s)"""
 
 
-@query(f"""WITH {TXN}, {split_sql()}, {_ACTIVE}, {_yp('score', 'v', "split = 'test' AND card_txns_7d > 0")}, {_GRID}, {_SWEEP} {_COSTED.format(src='x')}""")
+def _curve_of(cards: str, where: str) -> str:
+    return f"SELECT '{cards}' AS cards, c.* FROM (WITH {_yp('score', 'v', where)}, {_GRID}, {_SWEEP} {_COSTED.format(src='x')}) c"
+
+
+@query(f"""WITH {TXN}, {split_sql()}, {_ACTIVE} {_curve_of('active', "split = 'test' AND card_txns_7d > 0")}
+  UNION ALL {_curve_of('idle', "split = 'test' AND card_txns_7d = 0")}""")
 def cost_curve(spark, sf):
-    """Flagship: velocity windows, time split, then the cost curve of the test period on cards active in the week before."""
+    """Flagship: velocity windows, time split, then the cost curves of the test period: of cards active in the week before, and of the others."""
     t = transactions(spark, sf)
-    test = splits.time_split(add_velocity(t), source=t).where("split = 'test' AND card_txns_7d > 0")
-    return _money_rounded(metrics.cost_sweep(test))
+    test = materialize(splits.time_split(add_velocity(t), source=t).where("split = 'test'").select("is_fraud", "score", "abs_amount", "card_txns_7d"))
+    curve = lambda cards, where: _money_rounded(metrics.cost_sweep(test.where(where))).withColumn("cards", F.lit(cards))
+    active, idle = curve("active", "card_txns_7d > 0"), curve("idle", "card_txns_7d = 0")
+    if test.where("card_txns_7d = 0").isEmpty():  # no rows, no curve
+        return active
+    return idle if test.where("card_txns_7d > 0").isEmpty() else active.unionByName(idle)
 
 
 @query(f"""WITH {TXN}, {_yp()}, {_GRID}, {_SWEEP}, f AS ({_COSTED.format(src='x')})

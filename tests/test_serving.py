@@ -323,3 +323,22 @@ def test_snapshot_and_tail_equal_the_whole_log(spark, tmp_path):
     plan = kept.tail()._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "batch" in plan.split("PartitionFilters")[1].split("]")[0]
     assert kept.tail().select("batch").distinct().count() == 1  # only what came after the last snapshot
+
+
+def test_damaged_artefacts_count_as_none_and_other_failures_show(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkRuntimeError
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("x double, y double")
+    os.makedirs(tmp_path / "broken")
+    (tmp_path / "broken" / "x.parquet").write_text("not a table at all")
+    spark.createDataFrame([("a", "b")], "x string, y string").write.parquet(str(tmp_path / "other"))
+    spark.createDataFrame([(1.0, 2.0)], schema).write.parquet(str(tmp_path / "sound"))
+    assert [len(readers.read_artefact(spark, str(tmp_path / n), schema)) for n in ("broken", "other", "none", "sound")] == [0, 0, 0, 1]
+
+    def lost(*_):
+        raise PySparkRuntimeError("an executor was lost")
+
+    monkeypatch.setattr(readers, "read_or_empty", lost)
+    with pytest.raises(PySparkRuntimeError):
+        readers.read_artefact(spark, str(tmp_path / "sound"), schema)
