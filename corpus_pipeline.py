@@ -43,14 +43,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the least id; rows without an id stay, of repeated ids one row."""
+    """Of each group of linked documents that with the least id; rows without an id stay, of repeated ids the least text."""
     groups = shared.materialize(jaccard.group(docs))
     stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = docs.withColumnRenamed("_rows", "_rows_").join(stay, "doc_id") if "_rows" in docs.columns else docs.join(stay, "doc_id")
     columns = [F.col("_rows_" if c == "_rows" else f"`{c}`").alias(c) for c in docs.columns]
     parts = [kept.where("_rows = 1").select(columns), docs.where("doc_id IS NULL")]
     if not stay.where("_rows > 1").isEmpty():
-        parts.append(kept.where("_rows > 1").select(columns).dropDuplicates(["doc_id"]))
+        # The least text, then the least of the other columns as JSON, so that a task that is run again keeps the same row.
+        twins = kept.where("_rows > 1").select(columns)
+        whole = F.struct(*(f"`{c}`" for c in docs.columns))
+        least = twins.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("_row"))
+        parts.append(least.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns)))
     return reduce(DataFrame.unionByName, parts)
 
 
