@@ -80,24 +80,38 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
 
 
+LONG_WORD = 64  # bytes from which a word is hashed by words of eight
+
+
 def hash_words(values: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each binary value, computed column by column on the bytes."""
+    """A 64-bit hash of each binary value: column by column on the bytes, long values by ``hash_words_long``."""
     _, offsets, data = values.buffers()
     offsets = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1]
     n = np.diff(offsets)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     out = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(-n, kind="stable")  # rows that still have a byte at a position come first
+    many = np.flatnonzero(n > LONG_WORD)
+    order = np.argsort(-n, kind="stable")[len(many):]  # rows that still have a byte at a position come first
     begin, left, acc = offsets[:-1][order], n[order], out[order]
-    live = len(n)
-    for at in range(int(n.max()) if len(n) else 0):
+    live = len(order)
+    for at in range(int(left[0]) if live else 0):
         live = int(np.searchsorted(-left[:live], -at, side="left"))
         part = acc[:live]
         part ^= data[begin[:live] + at]
         part *= np.uint64(0x100000001B3)
         part ^= part >> np.uint64(29)
     out[order] = acc
-    return mix(out)
+    out = mix(out)
+    if len(many):
+        out[many] = hash_words_long(*buffers_of(values.take(pa.array(many))))
+    return out
+
+
+def buffers_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large binary array that starts at its buffers' start."""
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 def hash_words_long(data: np.ndarray, rows: np.ndarray) -> np.ndarray:

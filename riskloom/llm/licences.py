@@ -25,8 +25,10 @@ FEATURES = 1 << 14
 WINDOW, STEP = 40, 20  # words; longer paragraphs are judged in overlapping windows
 SAMPLE = 1500  # documents that give paragraphs of no licence: those whose id has the least hash
 VARIANTS = 40  # training texts made of each notice
+LONG = 100  # characters beyond which a word of a training window is named by its SHA-256
 CONFIRMED = 0.6  # share of a notice's triples
 NONE, UNKNOWN = "none", "unknown"
+UPPER, WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Usual notices of public licences.
 NOTICES = {
@@ -110,11 +112,17 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
+def stretch(words: list[bytes], n: int, rng: random.Random) -> list[bytes]:
+    """``n`` words one after another from a random place."""
+    at = rng.randint(0, max(0, len(words) - n))
+    return words[at:at + n]
+
+
 def examples(corpus: list[str], seed: int = 5) -> list[tuple[int, list[bytes]]]:
-    """Labelled word lists: paragraphs of the corpus without a licence, and variants of all notices."""
+    """Labelled word lists: windows of paragraphs of the corpus without a licence, and variants of all notices."""
     rng = random.Random(seed)
-    plain = [w for w in map(split, corpus) if w and max(share(f, w) for f in TEMPLATES) < 0.3]
-    out = [(0, w[:WINDOW]) for w in plain]
+    plain = [w for w in (stretch(split(p), WINDOW, rng) for p in corpus) if w and max(share(f, w) for f in TEMPLATES) < 0.3]
+    out = [(0, w) for w in plain]
     some = plain or [[b"text"]]
     for c, (family, notices) in enumerate(NOTICES.items(), 1):
         for notice in notices:
@@ -126,17 +134,25 @@ def examples(corpus: list[str], seed: int = 5) -> list[tuple[int, list[bytes]]]:
                     at = rng.randint(0, len(part) - n)
                     part = [w for w in part[at:at + n] if len(words) < 8 or rng.random() > 0.08]
                     before, after = rng.choice(some), rng.choice(some)
-                    part = before[:rng.choice((0, 0, 4, 12))] + part + after[:rng.choice((0, 0, 4, 12))]
+                    part = stretch(before, rng.choice((0, 0, 4, 12)), rng) + part + stretch(after, rng.choice((0, 0, 4, 12)), rng)
                 out.append((c, part))
     return out
 
 
+def windows_of(rows: DataFrame) -> DataFrame:
+    """(k, p) of rows (k, t): WINDOW words of a line with words, both drawn by hashes of k; a very long word goes by its SHA-256."""
+    lines = rows.select("k", F.filter(F.split(F.translate("t", UPPER, UPPER.lower()), "\n"), lambda x: x.rlike(WORD)).alias("t")).where(F.size("t") > 0)
+    words = lines.select("k", F.regexp_extract_all(F.get("t", F.pmod(F.xxhash64("k"), F.size("t")).cast("int")), F.lit(f"({WORD})"), 1).alias("w"))
+    begin = F.pmod(F.xxhash64("k", F.lit(1)), F.greatest(F.lit(1), F.size("w") - WINDOW + 1)).cast("int") + 1
+    named = F.transform(F.slice("w", begin, WINDOW), lambda x: F.when(F.length(x) > LONG, F.sha2(x, 256)).otherwise(x))
+    return words.select("k", F.array_join(named, " ").alias("p"))
+
+
 def train(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
     """Fit on three quarters of the examples and set thresholds on the rest. ``sample`` bounds the corpus rows used."""
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    chosen = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k IS NOT NULL AND t IS NOT NULL").select("k", lines.alias("t"))
-    one = chosen.where(F.size("t") > 0).select("k", F.substring(F.get("t", F.pmod(F.xxhash64("k"), F.size("t")).cast("int")), 1, 2000).alias("p"))
-    corpus = [r.p for r in blocks.lowest(one, "k", sample, docs.select(f"`{key}`").count()).collect()]  # bounded by ``sample``, 2,000 characters each
+    chosen = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    one = windows_of(chosen)
+    corpus = [r.p for r in blocks.lowest(one, "k", sample, docs.select(f"`{key}`").count()).collect()]  # ``sample`` rows of WINDOW words
     rows = examples(corpus)
     fit, held = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
     frame = docs.sparkSession.createDataFrame([(float(c), vector(w)) for c, w in fit], ["label", "features"])

@@ -48,3 +48,11 @@ def test_edge_rows_pass(spark, docs):
     for _, fn in corpus_pipeline.STAGES:
         empty = corpus_pipeline.shared.materialize(fn(spark, empty, SMALL))
     assert empty.count() == 0
+
+
+def test_of_repeated_ids_the_least_row_stays(spark):
+    rows = [(1, t, "en", s, len(t)) for t, s in [("b" * 60, "x"), ("a b c d e f g", "y"), ("a b c d e f g", "x"), ("c", None)]] + [(2, "alone", "en", "z", 5)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = corpus_pipeline.shared.materialize(corpus_pipeline.near_duplicates(spark, docs, SMALL)).collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in got) == [(1, "a b c d e f g", "x"), (2, "alone", "z")]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +137,25 @@ def test_long_hashes_tell_rows_apart():
     assert len(set(h.tolist())) == len(rows)
 
 
+def test_hash_words_takes_words_of_megabytes():
+    rng = np.random.default_rng(3)
+    values = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in (1, 8, 63, 64, 65, 66, 200, 5 << 20)]
+    values += [values[-1][:-1] + b"!", b"!" + values[-1][1:], b"", values[4][:-1]]
+    start = time.time()
+    h = blocks.hash_words(pa.array(values * 2, pa.large_binary()))
+    assert time.time() - start < 10 and (h[:len(values)] == h[len(values):]).all() and len(set(h.tolist())) == len(values)
+    assert (blocks.hash_words(pa.array(values, pa.large_binary()).slice(3, 4)) == h[3:7]).all()
+
+
+def test_training_windows_come_from_anywhere_in_a_line(spark):
+    long = " ".join(f"w{k}" for k in range(1000))
+    rows = [(k, f"\n .\n{long}\n!") for k in range(60)] + [(60, "Ä " + "Z" * 5000), (61, " \n."), (62, "")]
+    got = {r.k: r.p.split(" ") for r in licences.windows_of(spark.createDataFrame(rows, "k long, t string")).collect()}
+    assert got.keys() == set(range(61)) and [len(w) for w in got[60]] == [1, 64]
+    firsts = [int(got[k][0][1:]) for k in range(60)]
+    assert all(got[k] == [f"w{i}" for i in range(f, f + licences.WINDOW)] for k, f in enumerate(firsts)) and max(firsts) > 600 and min(firsts) < 300
+
+
 def test_licence_notices_are_found_and_prose_is_not(spark, docs, none):
     rng = random.Random(7)
     words = [x + y for x in "nd the ou er st".split() for y in "a en ing ti or".split()]
