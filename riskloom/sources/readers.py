@@ -75,12 +75,12 @@ def read_xy(spark: SparkSession, path: str, split: str, levels: DataFrame | None
     return rows if levels is None else align_levels(rows, levels)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = REVIEW_EVENT) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: T.StructType | str = REVIEW_EVENT) -> DataFrame:
     """An append-only JSON Lines log; lines that are no JSON are skipped."""
     return read_or_empty(spark, path, schema, "json", mode="DROPMALFORMED")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", **options) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet", **options) -> DataFrame:
     """A stored table, or an empty one of the same shape where it was never written."""
     try:
         return spark.read.schema(schema).options(**options).format(kind).load(path)

@@ -263,11 +263,8 @@ def online_without_zip(spark, sf):
         requests.card_not_present(F.col("is_online"), F.col("zip"), F.col("use_chip"), False).alias("is_online"))
 
 
-@query("""SELECT id, CASE id % 9 WHEN 0 THEN 'amount is required' WHEN 1 THEN 'amount has the wrong type' WHEN 2 THEN 'amount must be a finite number'
-  WHEN 3 THEN 'amount is implausibly large' WHEN 4 THEN 'mcc has the wrong type' WHEN 5 THEN 'not a JSON object' END AS reject_reason,
-  CASE WHEN id % 9 >= 6 THEN v END AS amount FROM (SELECT event_id AS id, value AS v FROM events)""")
-def rejected_requests(spark, sf):
-    """Malformed requests are named and set apart, well-formed ones pass."""
+def request_bodies(spark, sf):
+    """Requests as text, six of nine malformed."""
     e = read(spark, sf, "events")
     v = hashing.plain_number(F.col("value"))
     m = F.col("event_id") % 9
@@ -275,7 +272,15 @@ def rejected_requests(spark, sf):
     body = (F.when(m == 0, '{"mcc": 5812}').when(m == 1, '{"amount": "abc"}').when(m == 2, '{"amount": "Infinity"}')
             .when(m == 3, '{"amount": 1e12}').when(m == 4, F.concat(F.lit('{"amount": '), v, F.lit(', "mcc": "not-a-code"}')))
             .when(m == 5, "{broken").otherwise(good))
-    out = requests.parse_json(e.select(F.col("event_id").alias("id"), body.alias("body")))
+    return e.select(F.col("event_id").alias("id"), body.alias("body"))
+
+
+@query("""SELECT id, CASE id % 9 WHEN 0 THEN 'amount is required' WHEN 1 THEN 'amount has the wrong type' WHEN 2 THEN 'amount must be a finite number'
+  WHEN 3 THEN 'amount is implausibly large' WHEN 4 THEN 'mcc has the wrong type' WHEN 5 THEN 'not a JSON object' END AS reject_reason,
+  CASE WHEN id % 9 >= 6 THEN v END AS amount FROM (SELECT event_id AS id, value AS v FROM events)""")
+def rejected_requests(spark, sf):
+    """Malformed requests are named and set apart, well-formed ones pass."""
+    out = requests.parse_json(request_bodies(spark, sf))
     return out.select("id", "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("amount")).alias("amount"))
 
 
