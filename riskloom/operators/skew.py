@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A hot key holds more than 1/SHARE of the rows, so there are fewer than SHARE hot keys.
 SHARE = 500
 # A lookup table is broadcast only after a count has shown it to be at most this long.
 BROADCAST_ROWS = 50_000
-# Tasks over which the facts of one key spread in a lookup by shuffle.
-SALTS = 16
 
 
 class DuplicateKey(ValueError):
@@ -41,20 +39,34 @@ def dominant_keys(df: DataFrame, key: str, min_rows: int = 1_000_000) -> list:
     return [r[key] for r in heavy.collect()]
 
 
-def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+def left_lookup(facts: DataFrame, dim: DataFrame, key: str, small: int = BROADCAST_ROWS, salts: int | None = None) -> DataFrame:
     """Many-to-one left join; ``dim`` holds one row per key. The facts are scanned once, whatever the size of ``dim``.
 
-    A table counted to be small is broadcast. A larger one is joined by one shuffle on key and salt: facts draw
-    a salt, and each row of ``dim`` stands once for every salt, so the facts of one key, and those without a
-    key, spread over ``salts`` tasks.
+    A table counted to be small is broadcast. A larger one is joined by one shuffle on the key. A key with many
+    facts, or the missing key, makes one large partition, which adaptive execution deals over as many tasks as its
+    measured size asks for; only that partition's rows of ``dim`` are read several times.
+
+    Adaptive execution does not split where an operator behind the join relies on its partitioning, or where it
+    is switched off. For these cases ``salts`` shuffles on key and salt: facts draw a salt, and each row of ``dim``
+    stands once for every salt. It defaults to this with the parallelism of the cluster if skew joins are switched off.
     """
     if is_small(dim, small):
         return facts.join(F.broadcast(dim), key, "left")
+    if salts is None:
+        if splits_skew(facts.sparkSession):
+            return facts.join(dim, key, "left")
+        salts = max(2, facts.sparkSession.sparkContext.defaultParallelism)
     salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in facts.columns if not _nested(facts, c))), F.lit(salts)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether adaptive execution deals a large partition of a join over several tasks."""
+    on = lambda name: spark.conf.get(f"spark.sql.adaptive.{name}", "true") == "true"
+    return on("enabled") and on("skewJoin.enabled")
+
+
 def _nested(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("map", "variant")
 

@@ -101,3 +101,28 @@ def test_duplicate_dimension_key_is_refused(spark):
     check_unique(spark.range(5), "id")
     with pytest.raises(DuplicateKey):
         check_unique(spark.range(5).union(spark.range(1)), "id")
+
+
+def test_lookup_deals_a_hot_key_over_tasks_without_copies_of_the_table(spark, tmp_path):
+    conf = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id") % 5000).cast("long")  # a third, and a third without a key
+    facts = spark.range(0, 120_000, 1, 48).withColumn("k", hot).withColumn("pad", F.sha2(F.col("id").cast("string"), 256))
+    dim = spark.range(6000).selectExpr("id AS k", "id * 2 AS v")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = left_lookup(facts, dim, "k", small=0)
+        assert out.where("NOT (v <=> k * 2)").count() == 0
+        out.withColumn("p", F.spark_partition_id()).write.parquet(str(tmp_path / "placed"))
+        places = spark.read.parquet(str(tmp_path / "placed")).select("k", "p").distinct().collect()
+        assert len({r.p for r in places if r.k == 7}) > 16 and len({r.p for r in places if r.k is None}) > 16
+        assert "explode" not in left_lookup(facts, dim, "k", small=0)._jdf.queryExecution().toString()
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        off = left_lookup(facts, dim, "k", small=0)
+        assert "_salt" in off._jdf.queryExecution().toString() and off.where("NOT (v <=> k * 2)").count() == 0 and off.count() == 120_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
