@@ -129,16 +129,22 @@ def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[flo
     return [found[float(p)] for p in probs if float(p) in found]
 
 
+#: Microseconds of a day, a second and a microsecond: the digits of the clock.
+_UNITS = (86_400_000_000, 1_000_000, 1)
+
+
 def rank_cuts(df: DataFrame, ts_us: Column, key: Column, ranks: Sequence[int],
-              small: int = 1_000_000) -> list[tuple[int, int] | None]:
+              small: int = 1_000_000, instant: Column | None = None) -> list[tuple[int, int] | None]:
     """The (clock, key) found at each 0-based rank of the order (clock, key).
 
     Histogram descent: day, second, microsecond, then 16-bit digits of the key. Each pass is a
     filtered count, and a bin is opened only while more than ``small`` rows share it, so rows
-    are never sorted globally. ``key`` must be a non-negative bigint.
+    are never sorted globally. ``key`` must be a non-negative bigint. ``instant`` is the timestamp behind the clock:
+    passes after the first then read only row groups that reach into an open slot.
     """
-    base = df.select(ts_us.cast("bigint").alias("_t"), key.cast("bigint").alias("_k"))
-    us_day, us_sec = 86_400_000_000, 1_000_000
+    base = df.select(ts_us.cast("bigint").alias("_t"), key.cast("bigint").alias("_k"),
+                     *([] if instant is None else [instant.alias("_i")]))
+    us_day, us_sec, _ = _UNITS
     digits = [
         F.floor(F.col("_t") / F.lit(us_day)).cast("bigint"),
         F.floor(F.pmod("_t", F.lit(us_day)) / F.lit(us_sec)).cast("bigint"),
@@ -196,16 +202,20 @@ def rank_cuts(df: DataFrame, ts_us: Column, key: Column, ranks: Sequence[int],
 def _in_paths(base: DataFrame, digits: list[Column], paths: set[tuple[int, ...]]) -> DataFrame:
     if paths == {()}:
         return base
-    keep = F.lit(False)
+    keep, spans = F.lit(False), F.lit(False)
     for path in paths:
         here = F.lit(True)
         for digit, d in zip(digits, path):
             here = here & (digit == F.lit(d))
-        # The day bound as a plain range on the clock reaches the scan's statistics.
-        day = 86_400_000_000
-        here = here & (F.col("_t") >= F.lit(path[0] * day)) & (F.col("_t") < F.lit((path[0] + 1) * day))
         keep = keep | here
-    return base.where(keep)
+        first = sum(d * unit for d, unit in zip(path, _UNITS))
+        last = first + _UNITS[min(len(path), len(_UNITS)) - 1]
+        if "_i" in base.columns:
+            spans = spans | ((F.col("_i") >= F.timestamp_micros(F.lit(first))) & (F.col("_i") < F.timestamp_micros(F.lit(last))))
+        else:
+            spans = spans | ((F.col("_t") >= F.lit(first)) & (F.col("_t") < F.lit(last)))
+    # The spans stand alone, as plain ranges of one column: only so do they reach the scan's statistics.
+    return base.where(spans).where(keep)
 
 
 def hash_text(key: Column, seed: int) -> Column:

@@ -37,7 +37,8 @@ def by_time(df: DataFrame, fractions: dict[str, float], ts: str = "date", key: s
         start += int(n * fractions[name])
         ends.append(start)
     us, k = clock(F.col(ts)), F.col(key)
-    cuts = rank_cuts(base, us, k, [e for e in sorted(set(ends)) if e < n])
+    instant = F.col(ts) if base.schema[ts].dataType.typeName() == "timestamp" else None
+    cuts = rank_cuts(base, us, k, [e for e in sorted(set(ends)) if e < n], instant=instant)
     found = dict(zip([e for e in sorted(set(ends)) if e < n], cuts))
     label = F.lit(names[-1])
     for name, end in reversed(list(zip(names[:-1], ends))):

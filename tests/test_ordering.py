@@ -76,6 +76,22 @@ def test_lowest_by_hash_is_exact_and_repeatable(spark):
     assert ordering.lowest_by_hash(df, "id", 5000, 1).count() == 1000
 
 
+def test_open_slots_reach_the_scan_as_ranges_of_the_timestamp(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.timestamp_micros(F.col("id") % 40 * 43_200_000_000 + F.col("id") % 3 * 1_500_000 - 86_400_000_000 * 7).alias("date"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    want = sorted((r.u, r.id) for r in rows.select(F.unix_micros("date").alias("u"), "id").collect())
+    ranks = [0, 1, 2499, 4100, 4999]
+    for small in (1, 50, 10_000):
+        assert ordering.rank_cuts(rows, F.unix_micros("date"), F.col("id"), ranks, small, F.col("date")) == [want[r] for r in ranks]
+    base = rows.select(F.unix_micros("date").alias("_t"), F.col("id").alias("_k"), F.col("date").alias("_i"))
+    digits = [F.floor(F.col("_t") / F.lit(86_400_000_000)).cast("bigint")]
+    some = ordering._in_paths(base, digits, {(-3,), (4,)})
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date" in plan.split("PushedFilters")[1] and "LessThan(date" in plan.split("PushedFilters")[1]
+    assert {r._t // 86_400_000_000 for r in some.collect()} == {-3, 4}
+
+
 def test_left_lookup_plans_agree(spark):
     keys = [1] * 500 + [2] * 20 + [None] * 5 + list(range(3, 40)) + [99]
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
