@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import parsing
 from riskloom.functions.features import safe_ratio
-from riskloom.operators.skew import left_lookup
+from riskloom.operators.skew import LITERALS, left_lookup
 from riskloom.schema import CATEGORICAL, FEATURES, REQUEST
 
 MAX_AMOUNT = 1e9
@@ -142,8 +142,11 @@ def featurize(df: DataFrame, dicts: Dictionaries, zip_key: bool = True) -> DataF
     out = out.withColumns(made).drop("_cat", "_med")
     for c in CATEGORICAL:
         known = dicts.levels.get(c)
-        if known:
+        if known and len(known) <= LITERALS:
             out = out.withColumn(c, F.when(F.col(c).isin(known), F.col(c)))
+        elif known:
+            table = df.sparkSession.createDataFrame([(v, True) for v in known], f"`{c}` string, _known boolean")
+            out = left_lookup(out, table, c).withColumn(c, F.when(F.col("_known"), F.col(c))).drop("_known")
     return out
 
 

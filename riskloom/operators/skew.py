@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SHARE = 500
 # A lookup table is broadcast only after a count has shown it to be at most this long.
 BROADCAST_ROWS = 50_000
+# A list becomes part of an expression up to this length, beyond it a lookup table.
+LITERALS = 1_000
 
 
 class DuplicateKey(ValueError):

@@ -99,9 +99,14 @@ def score(requests: DataFrame, service: Service, explained: bool = True, origin:
     return decisions.explain(decisions.decide(rows, service.point), service.context)
 
 
-def log_rows(scored: DataFrame, service: Service) -> tuple[DataFrame, DataFrame]:
+def log_rows(scored: DataFrame, service: Service, latency_ms: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(audit rows, queued review cases) of scored requests."""
-    return decisions.audit_rows(scored, service.point), decisions.review_cases(scored, service.point)
+    return decisions.audit_rows(scored, service.point, latency_ms=latency_ms), decisions.review_cases(scored, service.point)
+
+
+def respond(requests: DataFrame, service: Service, explained: bool = True, origin: str = "", latency_ms: float | None = None) -> DataFrame:
+    """Requests to full responses: decision, thresholds, factors, who scored and who explained."""
+    return decisions.responses(score(requests, service, explained, origin), service.point, latency_ms)
 
 
 def health(spark, service: Service, review_events: DataFrame) -> DataFrame:

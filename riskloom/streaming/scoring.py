@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +14,17 @@ from riskloom.sources.sinks import stream_id, write_batch
 
 
 def score_stream(requests: DataFrame, service: Service, audit: str, queue: str, checkpoint: str,
-                 explained: bool = True, rejects: str | None = None):
+                 explained: bool = True, rejects: str | None = None, once: bool = False):
     """Start scoring a stream of requests; each micro-batch appends to the audit log and the queue.
 
     Parsed requests may still hold rejected ones (``reject_reason``): these go to the log at ``rejects``.
     Scoring keeps no state, so no watermark is needed. A batch that is replayed after a failure
-    overwrites its own directory, which makes all logs exactly-once.
+    overwrites its own directory, which makes all logs exactly-once. The audit rows of a batch carry the time it took to score.
+
+    With ``once`` a request id is scored once however often it is delivered (:func:`first_of_each`).
     """
+    if once:
+        requests = first_of_each(requests)
     checked = "reject_reason" in requests.columns
     if checked and not rejects:
         raise ValueError("rejected requests need a log to go to")
@@ -28,8 +34,10 @@ def score_stream(requests: DataFrame, service: Service, audit: str, queue: str,
         if checked:
             write_batch(batch.where("reject_reason IS NOT NULL").select("body", "reject_reason"), rejects, stream, number)
             batch = batch.where("reject_reason IS NULL").drop("body", "reject_reason")
+        start = time.monotonic()
         scored = score(batch, service, explained, f"{stream}-{number}").persist()  # two sinks read it
-        rows, cases = log_rows(scored, service)
+        scored.count()
+        rows, cases = log_rows(scored, service, round((time.monotonic() - start) * 1000, 3))
         write_batch(rows, audit, stream, number)
         write_batch(cases, queue, stream, number)
         scored.unpersist()
@@ -38,6 +46,21 @@ def score_stream(requests: DataFrame, service: Service, audit: str, queue: str,
             .trigger(availableNow=True).start())
 
 
+def first_of_each(requests: DataFrame) -> DataFrame:
+    """Drop requests whose id the stream has seen, in an earlier batch or in the same one.
+
+    Ids are kept in keyed state, spread over the shuffle partitions, for the life of the checkpoint: a watermark would bound the state
+    but let late repeats through. A large service sets ``spark.sql.streaming.stateStore.providerClass`` to RocksDB. Requests without an id, and rejected ones, are
+    each of their own and pass.
+    """
+    if "request_id" not in requests.columns:
+        return requests
+    named = F.col("request_id").isNotNull()
+    if "reject_reason" in requests.columns:
+        named &= F.col("reject_reason").isNull()
+    return requests.where(named).dropDuplicates(["request_id"]).unionByName(requests.where(~named))
+
+
 STATE = "ts string, resolved boolean, status string, risk_score double"
 
 

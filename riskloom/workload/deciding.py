@@ -181,7 +181,7 @@ def evidence_text(spark, sf):
     """One sentence of evidence per feature value: base rate and lift, or a percentile."""
     f, ctx = _small_context(spark, sf)
     cat, num = context.evidence("mcc_category", ctx), context.evidence("abs_amount", ctx)
-    return context.with_percentiles(f, ctx).select(
+    return context.with_level_rates(context.with_percentiles(f, ctx), ctx, ["mcc_category"]).select(
         "id", cat["lift"].alias("lift"), num["percentile"].alias("percentile"),
         cat["evidence"].alias("category_evidence"), num["evidence"].alias("amount_evidence"))
 
@@ -342,6 +342,18 @@ def audit_rows(spark, sf):
     return rows.withColumns({"top_factors": F.concat_ws(",", "top_factors"), "missing_fields": F.concat_ws(",", "missing_fields")})
 
 
+@query(f"""WITH {TXN}, d AS (SELECT *, {_BAND} AS dec FROM t)
+  SELECT CAST(id AS VARCHAR) AS request_id, round(score, 6) AS risk_score, format('{{:.2f}}%', score * 100) AS risk_percent, dec AS decision, dec AS raw_decision,
+   FALSE AS gated, CAST(NULL AS VARCHAR) AS gate_reason, '' AS top_factors, {_RULE.format(d='dec')} AS rule_id, CAST(0.45 AS DOUBLE) AS review_threshold,
+   CAST(0.56 AS DOUBLE) AS block_threshold, 'frm-1.0.0' AS model_version, 'stand-in' AS scored_by, 'none' AS explained_by, 'mcc' AS missing_fields,
+   CAST(1.5 AS DOUBLE) AS latency_ms, CAST(NULL AS DOUBLE) AS base_rate FROM d""")
+def score_responses(spark, sf):
+    """The full response to every request."""
+    rows = decisions.responses(_decided(spark, sf), POINT, 1.5)
+    return rows.withColumns({"top_factors": F.concat_ws(",", F.transform("top_factors", lambda x: x["feature"])), "missing_fields": F.concat_ws(",", "missing_fields"),
+                             "review_threshold": F.col("thresholds.review"), "block_threshold": F.col("thresholds.block"), "base_rate": F.col("base_rate.fraud_rate")}).drop("thresholds")
+
+
 @query(f"""WITH {TXN}, d AS (SELECT {_BAND} AS dec FROM t) SELECT count(*) AS decisions, round(avg(CAST(dec = 'block' AS INTEGER)), 9) AS block_share,
   round(avg(CAST(dec = 'review' AS INTEGER)), 9) AS review_share, round(avg(CAST(dec = 'hold' AS INTEGER)), 9) AS hold_share FROM d""")
 def audit_kpis(spark, sf):

@@ -9,7 +9,7 @@ from riskloom.operators import context, decisions, requests, review, splits
 from riskloom.operators.decisions import OperatingPoint
 from riskloom.operators.skew import left_lookup
 from riskloom.plans import assess, attribution, modelling, review_log, scoring, train, tuning
-from riskloom.schema import FEATURES, REVIEW_EVENT
+from riskloom.schema import FEATURES, REQUEST, REVIEW_EVENT
 from riskloom.sources import readers, sinks
 from riskloom.sources.shared import materialize, scratch
 from riskloom.streaming import scoring as streams
@@ -254,6 +254,18 @@ def stream_restart(spark, sf):
     return spark.read.json(f"{base}/audit").groupBy("request_id").agg(F.count(F.lit(1)).alias("times"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS times, TRUE AS timed FROM events")
+def stream_once(spark, sf):
+    """Every file of requests is delivered twice, and one of the deliveries repeats rows: each request is scored and logged once."""
+    base = scratch(spark, "once")
+    asked = read(spark, sf, "events").select(F.col("event_id").cast("string").alias("request_id"), F.col("value").alias("amount"))
+    for more in (asked, asked.unionByName(asked)):
+        more.write.mode("append").json(f"{base}/in")
+    stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+    streams.score_stream(stream, _formula_service(), f"{base}/audit", f"{base}/queue", f"{base}/state", once=True).awaitTermination()
+    return spark.read.json(f"{base}/audit").groupBy("request_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.col("latency_ms") > 0).alias("timed"))
+
+
 _STATUS = f"""WITH {_REVIEW} SELECT CAST(id AS VARCHAR) AS request_id, 'pending' AS status, round(score, 6) AS risk_score FROM pend
   UNION ALL SELECT request_id, action, risk_score FROM done"""
 

@@ -342,3 +342,52 @@ def test_damaged_artefacts_count_as_none_and_other_failures_show(spark, tmp_path
     monkeypatch.setattr(readers, "read_or_empty", lost)
     with pytest.raises(PySparkRuntimeError):
         readers.read_artefact(spark, str(tmp_path / "sound"), schema)
+
+
+def test_a_request_delivered_again_is_scored_once(spark, tmp_path):
+    from riskloom.schema import REQUEST
+
+    rows = [("a", 30.0), ("b", 60.0), ("a", 30.0), (None, 5.0), (None, 5.0)]
+    for _ in range(2):
+        spark.createDataFrame(rows, "request_id string, amount double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run = lambda: streams.score_stream(stream, service(spark), str(tmp_path / "audit"), str(tmp_path / "queue"), str(tmp_path / "state"), once=True).awaitTermination()
+    run()
+    audit = spark.read.json(str(tmp_path / "audit")).collect()
+    assert sorted(r.request_id for r in audit if r.request_id in "ab") == ["a", "b"] and len(audit) == 2 + 4  # requests without an id are each of their own
+    assert all(r.latency_ms > 0 for r in audit)
+    spark.createDataFrame([("b", 60.0), ("c", 1.0)], "request_id string, amount double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()  # the state outlives the query
+    assert sorted(r.request_id for r in spark.read.json(str(tmp_path / "audit")).collect() if len(r.request_id) == 1) == ["a", "b", "c"]
+
+
+def test_response_says_all_that_the_caller_needs(spark):
+    r = scoring.respond(spark.createDataFrame([("x", 142.5)], "request_id string, amount double"), service(spark), latency_ms=2.5).first()
+    assert r.thresholds.review <= r.thresholds.block and r.raw_decision == r.decision and not r.gated and r.gate_reason is None
+    assert r.latency_ms == 2.5 and r.model_version == service(spark).point.version and r.explained_by == service(spark).point.explainer
+
+
+def test_many_levels_are_joined_like_few(spark, tmp_path, monkeypatch):
+    known = [f"level {k}" for k in range(100_000)]
+    asked = spark.createDataFrame([(1, 5.0, "level 99999"), (2, 5.0, "none of them"), (3, 5.0, None)], "i int, amount double, mcc_category string")
+    made = requests.featurize(requests.as_requests(asked), requests.Dictionaries(levels={"mcc_category": known})).orderBy("i").collect()
+    assert [r.mcc_category for r in made] == ["level 99999", None, None]
+
+    rates = spark.range(1100).selectExpr("'mcc_category' AS feature", "concat('level ', id) AS level", "id / 2200 AS fraud_rate", "id + 200 AS n").union(
+        spark.createDataFrame([("is_online", "yes", 0.5, 300)], "feature string, level string, fraud_rate double, n bigint"))
+    none = spark.createDataFrame([], "feature string, q double, value double")
+    wide = context.load_context(none, rates, None, 0.1, 10)
+    assert list(wide.tables) == ["mcc_category"] and list(wide.rates) == ["is_online"] and wide.available
+    monkeypatch.setattr(context, "LITERALS", 10_000)
+    few = context.load_context(none, rates, None, 0.1, 10)
+    assert not few.tables
+    rows = spark.createDataFrame([(k, f"level {v}" if v is not None else None) for k, v in enumerate((0, 1, 1099, 1100, None))], "i int, mcc_category string")
+
+    def told(ctx):
+        e = context.evidence("mcc_category", ctx)
+        return context.with_level_rates(rows, ctx, ["mcc_category"]).select("i", e["lift"].alias("lift"), e["evidence"].alias("e")).orderBy("i").collect()
+
+    assert told(wide) == told(few) and told(wide)[2].lift == 5.0
+    monkeypatch.undo()
+    context.save(wide, spark, str(tmp_path / "context"))
+    assert told(context.load(spark, str(tmp_path / "context"))) == told(few)
