@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +175,52 @@ def read_file(folder: str, name: str, table: Frequencies, part: int = 0, parts:
     return ids, first, counts, tokens[int(first[0]) - lo * BLOCK:int(first[-1] + counts[-1]) - lo * BLOCK]
 
 
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 not plain, 1 letter, 2 digit, 3 mark. The apostrophe is not plain, as the tokenizer keeps endings like 's together."""
+    out = np.zeros(256, np.uint8)
+    out[0x21:0x7F] = 3
+    out[ord("'")] = 0
+    out[ord("0"):ord("9") + 1] = 2
+    out[ord("A"):ord("Z") + 1] = out[ord("a"):ord("z") + 1] = 1
+    return out
+
+
+KINDS = _kinds()
+LATIN = 0xC3  # first byte of U+00C0 to U+00FF, all of them letters but for two signs
+
+
+def cut(flat: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of words given one after another, and the piece at which each row starts.
+
+    A word is plain if it holds ASCII letters, digits and marks, and letters of U+00C0 to U+00FF, without an apostrophe and without what may
+    begin a special token. Plain words are folded to lower case.
+    """
+    if not len(flat):
+        return flat, rows
+    data, cuts = blocks.buffers_of(flat)
+    kind = KINDS[data]
+    lead = np.flatnonzero(data[:-1] == LATIN)
+    letter = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[letter] = kind[letter + 1] = 1
+    begins = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    kind[begins] = 0
+    strange = np.concatenate([[0], np.cumsum(kind == 0)])
+    plain = np.repeat(strange[cuts[1:]] == strange[cuts[:-1]], np.diff(cuts))
+    low = blocks.LOWER[data]
+    upper = letter[(data[letter + 1] < 0x9F)]
+    low[upper + 1] += 0x20
+    first = np.zeros(len(data), bool)
+    first[1:] = plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    first[cuts[:-1]] = True
+    starts = np.flatnonzero(first)
+    return blocks.strings(np.where(plain, low, data), np.append(starts, len(data))), np.searchsorted(starts, cuts[rows])
+
+
 class Words:
-    """Ids of a tokenizer that never joins what blanks part, found once for each distinct word.
+    """Ids of a tokenizer that never joins what blanks part, found once for each distinct piece of a word.
 
+    Words of plain bytes (:func:`cut`) are folded and cut into runs of letters, single digits and runs of marks, as the tokenizer cuts
+    them itself; there are far fewer such pieces than words. Other words are pieces as they stand.
     Most words go to the library many at a time. Where the tokens of a piece of such a text end is told by the
     end-of-word sign of the vocabulary and by how many pieces the split pattern makes of each word; words for
     which that is not plain, and texts whose count comes out different, are encoded one by one.
@@ -242,13 +286,17 @@ class Words:
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         flat, rows = blocks.words(column, blocks.BLANK_WORDS)
-        codes, distinct = blocks.coded(flat)
+        pieces, rows = cut(flat, rows)
+        codes, distinct = blocks.coded(pieces)
         distinct = distinct.to_pylist()
         if len(self.known) > self.CACHED:
             self.clear()
-        if new := [w for w in distinct if w not in self.known]:
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(missing := np.flatnonzero(at < 0)):
+            new = [distinct[k] for k in missing.tolist()]
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        at = at[codes]
         n = self.size[at]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])]

@@ -46,6 +46,20 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert pieces.encode(none, PIECES).count() == 0
 
 
+
+def test_pieces_of_words_encode_like_whole_texts():
+    """Signs that the tokenizer treats in their own ways, alone and in random company."""
+    rng = random.Random(5)
+    signs = "aAzZ09'#,.<|>_éÉßÿÀ×÷ñ\u0301\u00a0\u2003\u00aa\u00bd日ǅİŒ\x00\x7f "
+    texts = ["", None, "don't STOP", "a<|endoftext|>b", "<|x", "x×y÷z", "12a3,4.", "ﬁ ½ ² ٣", "e\u0301é", "it's'd 's't", "5é5É", "É", "a<b|c <| |<",
+             "<|startoftext|><|endoftext|>!!", "x" * 100_000, "É#" * 50_000, "日本語テスト1"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    ids, upto = rans.tokenizer(WORDS).encode(pa.array(texts, pa.string()), 1)
+    want = Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    for k, e in enumerate(want):
+        assert ids[upto[k]:upto[k + 1]].tolist() == [*e.ids, 1], texts[k][:50]
+
+
 def test_ids_survive_the_files(spark, docs, none):
     lib = Tokenizer.from_file(WORDS)
     t = rans.tokenizer(WORDS)
