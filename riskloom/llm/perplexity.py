@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm import blocks, stats, store, wordmodel
+from riskloom.operators.ordering import exact_quantiles
 from riskloom.sources import shared
 
 ORDER = 4
@@ -191,6 +192,18 @@ def median(log: np.ndarray, symbols: np.ndarray, lines: np.ndarray, line_rows: n
     return out
 
 
+def fences(passed: DataFrame, of: dict[str, tuple[str, float]], least: float) -> DataFrame:
+    """For each language and column: exact quartiles, widened by a multiple of their distance, as ``<prefix>low`` and ``<prefix>high``."""
+    values = F.inline(F.array(*(F.struct(F.lit(c).alias("_of"), F.col(c).alias("_value")) for c in of)))
+    found = exact_quantiles(passed.select("_lang", values), "_value", [0.25, 0.75], ["_lang", "_of"])
+    at = lambda c, q: F.max(F.when((F.col("_of") == c) & (F.col("q") == q), F.col("value")))
+    out = []
+    for c, (prefix, width) in of.items():
+        spread = F.greatest(width * (at(c, 0.75) - at(c, 0.25)), F.lit(least))
+        out += [(at(c, 0.25) - spread).alias(f"{prefix}low"), (at(c, 0.75) + spread).alias(f"{prefix}high")]
+    return found.groupBy("_lang").agg(*out)
+
+
 def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, width: float = WIDTH, least: float = LEAST,
           word_width: float = WORD_WIDTH) -> DataFrame:
     """Append counts, ``log_perplexity``, ``word_log_perplexity``, ``base_failed``, the bands and ``kept`` to ``df``.
@@ -238,10 +251,6 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
     scored = shared.materialize(asked.mapInArrow(run, schema))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    quarters = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000)
-    spread = lambda q, by: F.greatest(by * (F.col(q)[1] - F.col(q)[0]), F.lit(least))
-    bands = scored.where(~F.col("base_failed")).groupBy("_lang").agg(quarters("log_perplexity").alias("_q"), quarters("word_log_perplexity").alias("_w"))
-    bands = blocks.light(bands.select("_lang", (F.col("_q")[0] - spread("_q", width)).alias("low"), (F.col("_q")[1] + spread("_q", width)).alias("high"),
-                                      (F.col("_w")[0] - spread("_w", word_width)).alias("word_low"), (F.col("_w")[1] + spread("_w", word_width)).alias("word_high")))
+    bands = blocks.light(fences(scored.where(~F.col("base_failed")), {"log_perplexity": ("", width), "word_log_perplexity": ("word_", word_width)}, least))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high")) & F.col("word_log_perplexity").between(F.col("word_low"), F.col("word_high"))
     return scored.join(bands, "_lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("_lang")

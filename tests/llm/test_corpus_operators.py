@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,70 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(p.sum() - 1) < 1e-3 and (p > 0).all()
 
 
+def test_kneser_ney_equals_brute_force(spark):
+    """Counts, continuation counts, discounts and back-off of every order, from plain dictionaries."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcde1.é") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    frame = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    order = perplexity.ORDER
+    model = perplexity.Model(perplexity.train(frame, "lang", "text"), "en", order)
+
+    levels = {order: Counter()}
+    for t in texts:
+        for w in t.split():
+            s = [0] * (order - 1) + [int(perplexity.CLASSES[b]) for b in w.encode()] + [0]
+            levels[order].update(tuple(s[k:k + order]) for k in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discount(k):
+        t = Counter(levels[k].values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.5
+        each = [min(j - 0.01, max(0.1, j - (j + 1) * y * t[j + 1] / t[j] if t[j] else 0.5 * j)) for j in (1, 2, 3)]
+        return lambda n: each[min(n, 3) - 1]
+
+    cut = {k: discount(k) for k in levels}
+
+    def probability(g):
+        if not g:
+            return 2.0 ** -perplexity.BITS
+        below, k = probability(g[1:]), len(g)
+        follow = [n for h, n in levels[k].items() if h[:-1] == g[:-1]]
+        if not follow:
+            return below
+        own = levels[k].get(g, 0)
+        return ((own - cut[k](own) if own else 0) + sum(map(cut[k], follow)) * below) / sum(follow)
+
+    asked = rng.sample(sorted(levels[order]), 150) + [tuple(rng.randrange(64) for _ in range(order)) for _ in range(50)]
+    keys = np.array([sum(x << perplexity.BITS * (order - 1 - i) for i, x in enumerate(g)) for g in asked], np.int64)
+    assert np.allclose(np.exp(model.log(keys)), [probability(g) for g in asked], rtol=1e-4, atol=0)
+
+
+def test_bands_are_exact_quartiles_however_rows_lie(spark):
+    rng = random.Random(4)
+    rows = [(lang, rng.choice([1.0, 2.0, 2.5, rng.random()]), rng.random() if rng.random() < 0.9 else None) for lang in ("a", "b", "") for _ in range(200)] + [("one", 3.0, None)]
+    want = {}
+    for lang in {r[0] for r in rows}:
+        for c, name, width in ((1, "", 4.0), (2, "word_", 3.0)):
+            v = sorted(r[c] for r in rows if r[0] == lang and r[c] is not None)
+            q = [statistics.quantiles(v, n=4, method="inclusive")[k] for k in (0, 2)] if len(v) > 1 else v * 2
+            spread = max(width * (q[1] - q[0]), 0.1) if v else None
+            want[lang, name] = (q[0] - spread, q[1] + spread) if v else (None, None)
+    got = []
+    for n in (1, 5):
+        frame = spark.createDataFrame(rows, "_lang string, log_perplexity double, word_log_perplexity double").repartition(n)
+        made = perplexity.fences(frame, {"log_perplexity": ("", 4.0), "word_log_perplexity": ("word_", 3.0)}, 0.1)
+        got.append({r["_lang"]: r.asDict() for r in made.collect()})
+    assert got[0] == got[1] and set(got[0]) == {"a", "b", "", "one"}
+    for (lang, name), (low, high) in want.items():
+        assert got[0][lang][f"{name}low"] == (pytest.approx(low) if low is not None else None)
+        assert got[0][lang][f"{name}high"] == (pytest.approx(high) if high is not None else None)
+
+
 def test_rules_learn_and_compile(spark, docs, none):
     rng = random.Random(3)
     good = lambda: ". ".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(50)) for _ in range(8)) for _ in range(6))
