@@ -96,34 +96,77 @@ def _forest_leaves(fitted: Fitted, spark) -> list[tuple[float, list[tuple]]]:
     return leaves
 
 
+def _patterns(share: np.ndarray) -> np.ndarray:
+    """Shapley weights of leaves with as many players each: for leaf, player and pattern of the conditions a row meets (a bit
+    for each player). Summing over coalitions of equal size is a product of (share + follows * t) per player, so no subset is enumerated."""
+    leaves, m = share.shape
+    follows = (np.arange(1 << m) >> np.arange(m)[:, None] & 1).astype(float)
+    out = np.empty((leaves, m, 1 << m))
+    for p in range(m):
+        poly = [np.ones((leaves, 1 << m))]
+        for q in range(m):
+            if q == p:
+                continue
+            longer = [share[:, q, None] * c for c in poly] + [np.zeros((leaves, 1 << m))]
+            for s, c in enumerate(poly):
+                longer[s + 1] = longer[s + 1] + follows[q] * c
+            poly = longer
+        weight = sum(c * (factorial(s) * factorial(m - s - 1) / factorial(m)) for s, c in enumerate(poly))
+        out[:, p] = (follows[p] - share[:, p, None]) * weight
+    return out
+
+
 def shapley(x: np.ndarray, leaves: list, owner: list[int], n_features: int) -> np.ndarray:
-    """Shapley values for rows of ``x``. For one leaf, summing over coalitions of equal size is a
-    product of (share + follows * t) per player, so no subset is enumerated."""
-    phi = np.zeros((len(x), n_features))
+    """Shapley values for rows of ``x``. What a leaf gives to its players depends only on which of its conditions a row meets,
+    so it is worked out once for each such pattern and looked up by row."""
+    phi = np.zeros((n_features, len(x)))
+    columns = np.ascontiguousarray(x.T)
+    small = {}  # columns of small whole numbers, as places in a table
+    for slot, column in enumerate(columns):
+        places = np.where((column >= 0) & (column < 1024), column, 0).astype(np.intp)
+        if (places == column).all():
+            small[slot] = places
+    alike: dict[int, list] = {}
     for value, steps in leaves:
-        follows: dict[int, np.ndarray] = {}
         share: dict[int, float] = {}
-        for slot, threshold, cats, left, cover in steps:
-            goes_left = x[:, slot] <= threshold if cats is None else np.isin(x[:, slot], cats)
-            ok = goes_left if left else ~goes_left
-            p = owner[slot]
-            follows[p] = follows[p] & ok if p in follows else ok
-            share[p] = share.get(p, 1.0) * cover
-        players = list(follows)
-        m = len(players)
-        for p in players:
-            poly = [np.ones(len(x))]
-            for q in players:
-                if q == p:
-                    continue
-                o = follows[q].astype(float)
-                longer = [share[q] * c for c in poly] + [np.zeros(len(x))]
-                for s, c in enumerate(poly):
-                    longer[s + 1] = longer[s + 1] + o * c
-                poly = longer
-            weight = sum(c * (factorial(s) * factorial(m - s - 1) / factorial(m)) for s, c in enumerate(poly))
-            phi[:, p] += value * (follows[p].astype(float) - share[p]) * weight
-    return phi
+        for step in steps:
+            share[owner[step[0]]] = share.get(owner[step[0]], 1.0) * step[4]
+        alike.setdefault(len(share), []).append((value, steps, share))
+    for m, group in alike.items():
+        if not m:
+            continue
+        chunk = max(1, (1 << 17) >> m)
+        for at in range(0, len(group), chunk):
+            some = group[at:at + chunk]
+            tables = _patterns(np.array([list(share.values()) for _, _, share in some]))
+            for (value, steps, share), table in zip(some, tables):
+                pattern = _pattern(columns, small, steps, owner, list(share))
+                for p, t in zip(share, value * table):
+                    phi[p] += t[pattern]
+    return phi.T
+
+
+def _pattern(columns: np.ndarray, small: dict[int, np.ndarray], steps: list, owner: list[int], players: list[int]) -> np.ndarray:
+    """A bit for each player whose conditions a row meets."""
+    bits = np.zeros(columns.shape[1], np.intp)
+    for i, p in enumerate(players):
+        mine = [step for step in steps if owner[step[0]] == p]
+        slots = {step[0] for step in mine}
+        if len(slots) == 1 and mine[0][0] in small and all(step[2] is not None for step in mine):
+            table = np.full(1024, 1 << i, np.intp)
+            for _, _, cats, left, _ in mine:
+                listed = np.zeros(1024, bool)
+                inside = np.asarray([c for c in cats if c == int(c) and 0 <= c < 1024], np.intp)
+                listed[inside] = True
+                table[listed != left] = 0
+            bits |= table[small[mine[0][0]]]
+            continue
+        ok = np.ones(columns.shape[1], bool)
+        for slot, threshold, cats, left, _ in mine:
+            goes_left = columns[slot] <= threshold if cats is None else np.isin(columns[slot], cats)
+            ok &= goes_left if left else ~goes_left
+        bits |= ok.astype(np.intp) << i
+    return bits
 
 
 def _tree_udf(fitted: Fitted, spark):

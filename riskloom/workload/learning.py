@@ -11,7 +11,7 @@ from riskloom.operators.skew import left_lookup
 from riskloom.plans import assess, attribution, modelling, review_log, scoring, train, tuning
 from riskloom.schema import FEATURES, REQUEST, REVIEW_EVENT
 from riskloom.sources import readers, sinks
-from riskloom.sources.shared import materialize, scratch
+from riskloom.sources.shared import materialize, release, scratch, spread
 from riskloom.streaming import scoring as streams
 from riskloom.workload.deciding import POINT, _BAND, _RULE, _REVIEW, _log, frame
 from riskloom.workload.tables import ENRICHED, TXN, enriched, read, split_sql, transactions
@@ -112,7 +112,13 @@ def _once(spark, key, make):
 def _modelling_rows(spark, sf):
     def make():
         f = splits.time_split(frame(spark, sf), source=transactions(spark, sf))
-        rows = splits.val_cut(materialize(f.select("id", "date", "split", *FEATURES, "is_fraud")))
+        table = materialize(f.select("id", "date", "split", *FEATURES, "is_fraud"))
+        even = spread(table, table.count())
+        if even.rdd.getNumPartitions() > table.rdd.getNumPartitions():  # fewer files than cores: every fit and score would wait for them
+            even = materialize(even)
+            release(spark, [table.table_path])
+            table = even
+        rows = splits.val_cut(table)
         levels = requests.levels_dict(context.learn_levels(rows.where("split = 'train'")))
         return rows, levels
     return _once(spark, ("rows", sf), make)
@@ -162,7 +168,8 @@ def top_factors(spark, sf):
     history = _part(rows, "train")
     out = attribution.with_contributions(_fit(spark, sf, "gbt"), rows.select("id", *FEATURES))
     ranked = decisions.top_factors(out, context.build(history, 10.0))
-    return ranked.select("id", F.inline("top_factors"))
+    # Every row has factors. A plain ``inline`` would have Spark infer a filter on the array and evaluate all of it once more.
+    return ranked.select("id", F.inline_outer("top_factors"))
 
 
 @query()
