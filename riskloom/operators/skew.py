@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import materialize
+
 # A hot key holds more than 1/SHARE of the rows, so there are fewer than SHARE hot keys.
 SHARE = 500
 # A lookup table is broadcast only after a count has shown it to be at most this long.
@@ -73,19 +75,22 @@ def _nested(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName() in ("map", "variant")
 
 
-def inner_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str,
-                 hot_rows: int = 1_000_000) -> DataFrame:
-    """Many-to-one inner join where ``lookup`` knows, in ``rows``, how many facts each key has.
+def inner_lookup(facts: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+    """Many-to-one inner join that survives hot keys.
 
     Keys with more than ``hot_rows`` facts are joined by broadcast when a count shows them to be
-    few; the others are joined by shuffle.
+    few; the others are joined by shuffle. Without such keys ``lookup`` is computed in the join itself, where
+    its partitioning is of use; else it is written once, as two joins read it.
     """
-    hot = lookup.where(F.col(rows) > hot_rows)
-    if hot.isEmpty() or not is_small(hot):
+    hot = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_facts")).where(F.col("_facts") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return facts.join(lookup, keys)
+    hot = materialize(hot)
+    if not is_small(hot):
         return facts.join(lookup, keys)
-    cold = facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return facts.join(F.broadcast(hot), keys).unionByName(
-        cold.join(lookup.where(F.col(rows) <= hot_rows), keys))
+    lookup, hot = materialize(lookup), F.broadcast(hot)
+    return facts.join(F.broadcast(lookup.join(hot, keys, "left_semi")), keys).unionByName(
+        facts.join(hot, keys, "left_anti").join(lookup.join(hot, keys, "left_anti"), keys))
 
 
 def crowded_keys(df: DataFrame, key: str, limit: int) -> DataFrame:

@@ -7,11 +7,12 @@ Two plans give identical results and are chosen per card by row count:
 * **frames** - one exchange on the card, then RANGE frames. A sliding frame costs rows times
   frame length, so it is kept for cards with at most ``crowded`` rows.
 * **prefix sums** - for crowded cards. Rows of one card at one instant see the same windows, so
-  they are merged to one tick first, map-side. A window is the difference of two running totals
-  over ticks. The timeline of a card is cut into granules, each (card, granule) is its own task
-  key, and a tick sends one probe to the granule in which each window starts. Work is linear,
-  a card spreads over as many tasks as it has granules, and a granule holds no more ticks than
-  the clock has instants in it.
+  they are merged to one tick first, map-side. The timeline of a card is cut into granules, and each
+  (card, granule) is its own task key. A window is the whole granules in it, by running totals over
+  granules, and parts of the two at its ends, by running totals over their ticks: a tick sends a
+  probe to the granule in which a window starts, if that one holds rows. Work is linear, a card
+  spreads over as many tasks as it has granules, and a granule holds no more ticks than the clock
+  has instants in it.
 
 Amounts are added as decimals, so totals do not depend on row order or plan. What a row gets depends on
 values only: of rows at one instant, those with the least id look back to the instant before and
@@ -102,49 +103,48 @@ def _prefix(rows: DataFrame, card: str, key: str, category: str, granule_us: int
         raise ValueError("the granule must divide every window")
     plain, given, card = rows.columns, card, "_card"
     rows = rows.withColumn(card, F.struct(given))  # a struct is never NULL itself, so a missing card joins like any other
+    offset = F.pmod(F.col("_us"), F.lit(granule_us))
+    granule = F.expr(f"(_us - pmod(_us, {granule_us})) div {granule_us}")
+    backs = {s: w // granule_us for s, w in SPANS.items()}
     ticks = rows.groupBy(card, "_us").agg(
         F.count(F.lit(1)).alias("_tn"), F.sum("_amt").alias("_tm"), F.min(key).alias("_lead"))
-    placed = ticks.select(
-        "*", F.pmod(F.col("_us"), F.lit(granule_us)).alias("_off"),
-        F.expr(f"(_us - pmod(_us, {granule_us})) div {granule_us}").alias("_g"),
+    # Granules with rows: what lies in the whole granules of each window, and whether a window starts in one with rows.
+    sums = rows.groupBy(card, granule.alias("_g")).agg(
+        F.count(F.lit(1)).alias("_gn"), F.sum("_amt").alias("_gm"), F.max("_us").alias("_gl"))
+    along = Window.partitionBy(card).orderBy("_g")
+    upto = lambda c, g: _zero(F.sum(c).over(along.rangeBetween(Window.unboundedPreceding, g)))
+    granules = sums.select(
+        card, "_g", F.max("_gl").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"),
+        *[(upto("_gn", -1) - upto("_gn", -b - 1)).alias(f"_whole_n_{s}") for s, b in backs.items()],
+        *[(upto("_gm", -1) - upto("_gm", -backs[s] - 1)).alias(f"_whole_amt_{s}") for s in ("24h", "7d")],
+        *[(F.count(F.lit(1)).over(along.rangeBetween(-b, -b)) > 0).alias(f"_at_{s}") for s, b in backs.items()],
     )
-    marks = F.array(F.struct(F.lit("now").alias("tag"), F.lit(0).cast("bigint").alias("back")),
-                    *[F.struct(F.lit(s).alias("tag"), F.lit(w // granule_us).cast("bigint").alias("back"))
-                      for s, w in SPANS.items()])
+    # A tick stands in its own granule and asks each granule with rows in which one of its windows starts.
+    marks = F.array(F.struct(F.lit("now").alias("tag"), F.lit(0).cast("bigint").alias("back"), F.lit(True).alias("there")),
+                    *[F.struct(F.lit(s).alias("tag"), F.lit(b).cast("bigint").alias("back"), F.col(f"_at_{s}").alias("there"))
+                      for s, b in backs.items()])
     own = F.col("m.tag") == "now"
-    probes = placed.select("*", F.explode(marks).alias("m")).select(
-        card, "_us", "_off", F.col("m.tag").alias("_tag"), (F.col("_g") - F.col("m.back")).alias("_g"),
-        F.when(own, F.col("_tn")).otherwise(0).alias("_one"),
-        F.when(own, F.col("_tm")).otherwise(F.lit(0).cast(MONEY)).alias("_money"),
-        F.when(own, F.col("_us")).alias("_data_us"), F.when(own, F.col("_lead")).alias("_lead"),
-    )
-    # Totals of all granules ahead, per card. One row per visited granule, not per transaction.
-    ahead = Window.partitionBy(card).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    granules = (
-        probes.groupBy(card, "_g")
-        .agg(F.sum("_one").alias("_gn"), F.sum("_money").alias("_gm"), F.max("_data_us").alias("_gl"))
-        .select(
-            card, "_g",
-            _zero(F.sum("_gn").over(ahead)).alias("_n_ahead"),
-            _zero(F.sum("_gm").over(ahead)).alias("_m_ahead"),
-            F.max("_gl").over(ahead).alias("_last_ahead"),
-        )
+    whole = [f"_whole_{c}" for c in ("n_1h", "n_24h", "n_7d", "amt_24h", "amt_7d")]
+    probes = (
+        ticks.select("*", offset.alias("_off"), granule.alias("_g")).join(granules, [card, "_g"])
+        .select("*", F.explode(F.filter(marks, lambda m: m["there"])).alias("m"))
+        .select(card, "_us", "_off", F.col("m.tag").alias("_tag"), (F.col("_g") - F.col("m.back")).alias("_g"),
+                *[F.when(own, F.col(c)).alias(c) for c in ("_tn", "_tm", "_lead", "_last", *whole)])
     )
     earlier = Window.partitionBy(card, "_g").orderBy("_off").rangeBetween(Window.unboundedPreceding, -1)
-    totals = probes.join(granules, [card, "_g"]).select(
-        card, "_us", "_tag", "_one", "_lead",
-        F.coalesce(F.max("_data_us").over(earlier), F.col("_last_ahead")).alias("_prev"),
-        (F.col("_n_ahead") + _zero(F.sum("_one").over(earlier))).alias("_cn"),
-        (F.col("_m_ahead") + _zero(F.sum("_money").over(earlier))).alias("_cm"),
+    now = F.col("_tag") == "now"
+    totals = probes.select(
+        card, "_us", "_tag", "_tn", "_lead", *whole,
+        F.when(now, F.coalesce(F.max(F.when(now, F.col("_us"))).over(earlier), F.col("_last"))).alias("_prev"),
+        _zero(F.sum("_tn").over(earlier)).alias("_ahead_n"), _zero(F.sum("_tm").over(earlier)).alias("_ahead_amt"),
     )
-    at = lambda tag, c: F.max(F.when(F.col("_tag") == tag, F.col(c)))
+    # A window: its whole granules and what its last granule holds before the tick, less what its first granule holds before its start.
+    held = lambda c, s: F.sum(F.when(now, F.col(f"_whole_{c}_{s}") + F.col(f"_ahead_{c}"))
+                              .when(F.col("_tag") == s, -F.col(f"_ahead_{c}"))).alias(f"_{c}_{s}")
     windows = totals.groupBy(card, "_us").agg(
-        *[(at("now", "_cn") - at(s, "_cn")).alias(f"_n_{s}") for s in SPANS],
-        *[(at("now", "_cm") - at(s, "_cm")).alias(f"_amt_{s}") for s in ("24h", "7d")],
-        at("now", "_prev").alias("_before"), F.max("_lead").alias("_lead"), F.max("_one").alias("_rows"),
-    )
-    # Written once: the lookup below reads it per branch, and its row counts name the hot ticks.
-    wide = inner_lookup(rows, materialize(windows), [card, "_us"], "_rows").withColumn(
+        *[held("n", s) for s in SPANS], *[held("amt", s) for s in ("24h", "7d")],
+        F.max("_prev").alias("_before"), F.max("_lead").alias("_lead"))
+    wide = inner_lookup(rows, windows, [card, "_us"]).withColumn(
         "_prev_us", F.when(F.col(key).eqNullSafe(F.col("_lead")), F.col("_before")).otherwise(F.col("_us")))
     # The first use of a (card, category) pair by a plain minimum: combined map-side, so a pair
     # that covers most of the table is still one row per task after the partial aggregation.

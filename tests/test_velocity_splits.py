@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import splits
+from riskloom.operators.skew import inner_lookup
 from riskloom.operators.velocity import HOUR_US, add_velocity
 from riskloom.schema import VELOCITY
+from riskloom.sources.shared import written
 
 BASE = datetime(2020, 3, 1)
 SCHEMA = "id bigint, card_id int, date timestamp, abs_amount double, mcc_category string"
@@ -60,6 +62,39 @@ def test_granule_must_divide_windows(spark):
         add_velocity(spark.createDataFrame(busy_rows(5), SCHEMA), force="prefix", granule_us=7 * HOUR_US)
 
 
+def sent(plan) -> int:
+    """Rows that the exchanges of an executed plan wrote, those of adaptive stages included."""
+    name, rows = plan.nodeName(), 0
+    if name == "AdaptiveSparkPlan":
+        return sent(plan.executedPlan())
+    if "QueryStage" in name:
+        return sent(plan.plan())
+    if name == "Exchange":
+        rows = plan.metrics().apply("shuffleRecordsWritten").value()
+    below = plan.children()
+    return rows + sum(sent(below.apply(k)) for k in range(below.size()))
+
+
+def test_a_tick_asks_only_granules_with_rows(spark):
+    """Rows days apart: no window starts in a granule with rows, so a tick travels alone, and no table is written for the lookup."""
+    rows = [(i, i % 4, BASE + timedelta(hours=25 * (i // 4), minutes=i), float(i), "a") for i in range(120)]
+    tables = written()
+    out = add_velocity(spark.createDataFrame(rows, SCHEMA), force="prefix").select("id", "hours_since_card_txn", "card_txns_7d")
+    plan = out._jdf.queryExecution().executedPlan()
+    got = {r["id"]: r["card_txns_7d"] for r in map(lambda r: {"id": r.getLong(0), "card_txns_7d": r.getLong(2)}, plan.executeCollectPublic())}
+    assert got == {r[0]: brute(rows)[r[0]]["card_txns_7d"] for r in rows}
+    assert written() == tables
+    assert sent(plan) < 10 * len(rows)
+
+
+def test_inner_lookup_of_hot_keys(spark):
+    facts = spark.createDataFrame([(k % 3 if k < 30 else k, k) for k in range(40)], "k int, fact int")
+    lookup = spark.createDataFrame([(k, k * 10) for k in range(36)], "k int, value int")
+    want = sorted(map(tuple, facts.join(lookup, "k").collect()))
+    for hot_rows in (3, 100):
+        assert sorted(map(tuple, inner_lookup(facts, lookup, ["k"], hot_rows).collect())) == want
+
+
 def hourly(spark, n=1000):
     return spark.range(n).select(
         "id", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("id") * 3600).alias("date"),
