@@ -43,7 +43,7 @@ NOTE = np.dtype([("at", "<u4"), ("state", "<u8", LANES)])
 INDEX = np.dtype([("offset", "<u8"), ("words", "<u4"), ("crc", "<u4")])
 AT_ONCE = 32  # blocks coded side by side
 NO_KEY = -(1 << 63)
-SPLIT = 2_000_000  # tokens that one reading task takes
+SPLIT = 2_000_000  # tokens that one reading task takes, or up to a quarter more
 SLICE_BYTES = 2 << 20  # text encoded at once in a task
 SENT = 100_000  # tokens that a reading task hands over at once
 
@@ -216,6 +216,30 @@ def cut(flat: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return blocks.strings(np.where(plain, low, data), np.append(starts, len(data))), np.searchsorted(starts, cuts[rows])
 
 
+class Known:
+    """Distinct pieces, and their ids one after another."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece; -1 if it is not known."""
+        return np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.at.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.ids)])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered pieces one after another, and where each piece's begin."""
+        n = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])], upto
+
+
 class Words:
     """Ids of a tokenizer that never joins what blanks part, found once for each distinct piece of a word.
 
@@ -224,9 +248,10 @@ class Words:
     Most words go to the library many at a time. Where the tokens of a piece of such a text end is told by the
     end-of-word sign of the vocabulary and by how many pieces the split pattern makes of each word; words for
     which that is not plain, and texts whose count comes out different, are encoded one by one.
+    Beyond ``CACHED`` pieces a new table is begun; the one before it is still asked, so that frequent pieces are not found anew.
     """
 
-    CACHED, TOGETHER = 600_000, 1000
+    CACHED, TOGETHER = 450_000, 1000
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
@@ -242,9 +267,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        """Words known so far: their number, and where their ids lie."""
-        self.known: dict[bytes, int] = {}
-        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.older = Known(), Known()
 
     def alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -278,28 +301,25 @@ class Words:
         for a in range(0, len(plain), self.TOGETHER):
             some = plain[a:a + self.TOGETHER]
             made.append(self.several([words[k] for k in some], [pieces[k] for k in some]))
-        size = np.concatenate([n for _, n in made])
-        self.known.update((new[k], len(self.size) + i) for i, k in enumerate([*rest, *plain]))
-        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.ids)])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *(i for i, _ in made)])
+        self.known.add([new[k] for k in [*rest, *plain]], np.concatenate([i for i, _ in made]), np.concatenate([n for _, n in made]))
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         flat, rows = blocks.words(column, blocks.BLANK_WORDS)
         pieces, rows = cut(flat, rows)
         codes, distinct = blocks.coded(pieces)
-        distinct = distinct.to_pylist()
-        if len(self.known) > self.CACHED:
-            self.clear()
-        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        distinct = distinct.to_numpy(zero_copy_only=False)
+        if len(self.known.at) > self.CACHED:
+            self.known, self.older = Known(), self.known
+        at = self.known.find(distinct.tolist())
         if len(missing := np.flatnonzero(at < 0)):
-            new = [distinct[k] for k in missing.tolist()]
-            self.learn(new)
-            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
-        at = at[codes]
-        n = self.size[at]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])]
+            new = distinct[missing]
+            was = self.older.find(new.tolist())
+            again = was >= 0
+            ids, upto = self.older.of(was[again])
+            self.known.add(new[again].tolist(), ids, np.diff(upto))
+            self.learn(new[~again].tolist())
+            at[missing] = self.known.find(new.tolist())
+        ids, upto = self.known.of(at[codes])
         return blocks.ended(ids, upto[rows], end)
 
 
@@ -411,14 +431,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.parquet(f"{folder}/manifest")  # one row per file
     before = F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    shares = F.greatest(F.lit(1), F.ceil(F.col("tokens") / SPLIT)).cast("int")
+    shares = F.greatest(F.lit(1), F.ceil(F.col("tokens") / SPLIT - 0.25)).cast("int")  # a file of just over two shares makes no third
     n = files.agg(F.sum(shares)).first()[0] or 1  # as many tasks as shares
     tasks = (files.select("file", F.coalesce(before, F.lit(0)).alias("start"), shares.alias("parts"))
              .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(int(n), F.col("file"), F.col("part")))
 
     def run(batches):
-        tokenizer.cache_clear()  # words that this worker kept for encoding
-        blocks.tidy()
+        if tokenizer.cache_info().currsize:  # words that this worker kept for encoding
+            tokenizer.cache_clear()
+            blocks.tidy()
         table = frequencies(folder)
         for batch in batches:
             for row in batch.to_pylist():

@@ -60,6 +60,19 @@ def test_pieces_of_words_encode_like_whole_texts():
         assert ids[upto[k]:upto[k + 1]].tolist() == [*e.ids, 1], texts[k][:50]
 
 
+def test_frequent_pieces_outlive_a_full_table(monkeypatch):
+    """A piece of the table before is not given to the library again, and the ids stay those of the library."""
+    monkeypatch.setattr(rans.Words, "CACHED", 3)
+    t, asked = rans.Words(WORDS), []
+    learn = t.learn
+    monkeypatch.setattr(t, "learn", lambda new: (asked.extend(new), learn(new)))
+    lib = Tokenizer.from_file(WORDS)
+    for text in ("one two three four", "one two five", None, "six one two", "one's seven twö"):
+        ids, upto = t.encode(pa.array([text, ""], pa.string()), 1)
+        assert ids.tolist() == [*(lib.encode(text or "", add_special_tokens=False).ids), 1, 1] and upto[-1] == len(ids)
+    assert len(asked) == len(set(asked)) and b"one" in asked
+
+
 def test_ids_survive_the_files(spark, docs, none):
     lib = Tokenizer.from_file(WORDS)
     t = rans.tokenizer(WORDS)
