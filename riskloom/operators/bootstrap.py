@@ -177,6 +177,8 @@ def replicates(df: DataFrame, scores: list[str], label: str = LABEL, n_boot: int
         nodes = df.sparkSession.createDataFrame([], "level int, a int, b int, p bigint, n bigint")
 
     parts = []
+    # Slices are few bytes and much work, so adaptive execution would join them to a task or two: the number is given.
+    tasks = max(1, min(2 * slices, 4 * df.sparkSession.sparkContext.defaultParallelism))
     for axis, single in enumerate(hot):
         key, value, other = (("i", "s0", "s1"), ("j", "s1", "s0"))[axis]
         rows = placed.select("i", "j", "s0", "s1", "pos", "neg")
@@ -187,7 +189,7 @@ def replicates(df: DataFrame, scores: list[str], label: str = LABEL, n_boot: int
                 F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn(other, F.lit(0.0))
             rows = rows.where(~is_hot).unionByName(merged)
         needed = tree.for_slices(nodes, axis) if tree.depth else nodes.withColumn("slab", F.lit(0))
-        steps = rows.groupBy(key).cogroup(needed.groupBy("slab")).applyInPandas(
+        steps = rows.repartition(tasks, key).groupBy(key).cogroup(needed.groupBy("slab")).applyInPandas(
             _task(axis, tree, (int(positives), int(negatives)), n_boot, seed), "b bigint, steps double")
         parts.append(steps.groupBy("b").agg((F.sum("steps") / F.lit(max(float(positives), 1.0))).alias(f"ap_{axis}")))
     return parts[0] if len(parts) == 1 else parts[0].join(parts[1], "b")

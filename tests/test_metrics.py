@@ -292,3 +292,9 @@ def test_slices_of_any_size_give_the_same_distribution(spark):
 def test_bootstrap_of_no_rows(spark):
     none = spark.createDataFrame([], "score double, is_fraud int")
     assert bootstrap.replicates(none, ["score"], n_boot=5).count() == 0
+
+
+def test_bootstrap_slices_are_not_joined_to_one_task(spark):
+    df = scored(spark).localCheckpoint()
+    plan = bootstrap.replicates(df, ["score"], n_boot=3, slice_rows=20)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
