@@ -88,6 +88,8 @@ def count(df: DataFrame, lang: str, text: str, order: int) -> DataFrame:
                 codes, distinct = blocks.coded(flat)
                 key, at = grams(distinct, order)
                 times = np.repeat(np.bincount(codes, minlength=len(distinct)), np.diff(at))
+                gram, kinds = blocks.coded(pa.array(key))
+                key, times = kinds.to_numpy(), np.bincount(gram, times, len(kinds)).astype(np.int64)
                 if code in held:
                     key, times = np.concatenate([held[code][0], key]), np.concatenate([held[code][1], times])
                 key, of = np.unique(key, return_inverse=True)
@@ -228,7 +230,7 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
         from riskloom.llm import perplexity as own
 
         for part in blocks.slices(batches, text):
-            made, words = stats.counts(part.column(text))
+            made, words = stats.counts(part.column(text), names)
             key, cut = grams(words.distinct, order)
             line = np.array(part.column("_lang").to_pylist(), object)
             of = np.repeat(np.arange(len(line)), np.diff(words.rows))
@@ -240,7 +242,8 @@ def score(df: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
                 at = np.flatnonzero(np.repeat(used, np.diff(cut)))
                 logs = np.zeros(len(key))
                 if len(at):
-                    logs[at] = own.model(folder, code, order).log(key[at])
+                    gram, kinds = blocks.coded(pa.array(key[at]))
+                    logs[at] = own.model(folder, code, order).log(kinds.to_numpy())[gram]
                 upto = np.concatenate([[0], np.cumsum(logs)])
                 log[mine] = (upto[cut[1:]] - upto[cut[:-1]])[words.codes[mine]]
             each = own.wordmodel.score(counted, part, text, line, words, log)

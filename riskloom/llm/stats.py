@@ -45,10 +45,18 @@ def repeated(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     out = np.zeros(len(codes), bool)
     if len(codes) < 3:
         return out
-    _, pair = np.unique(codes[:-1].astype(np.int64) << 32 | codes[1:], return_inverse=True)
-    whole = row[:-2] == row[2:]
-    at = np.flatnonzero(whole)
-    _, triple = np.unique(pair[:-1].astype(np.int64)[at] << 32 | codes[2:][at], return_inverse=True)
+    at = np.flatnonzero(row[:-2] == row[2:])
+    # Only windows whose hash occurs twice are compared.
+    h = row[at].astype(np.uint64)
+    for k in range(3):
+        h = blocks.mix(h * np.uint64(3) + codes[at + k].astype(np.uint64))
+    ordered = np.sort(h)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return out
+    at = at[again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h]
+    _, pair = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True)
+    _, triple = np.unique(pair.astype(np.int64) << 32 | codes[at + 2], return_inverse=True)
     _, which, times = np.unique(row[at].astype(np.int64) << 32 | triple, return_inverse=True, return_counts=True)
     twice = at[times[which] > 1]
     for k in range(3):
@@ -66,8 +74,23 @@ class Words(NamedTuple):
     line_rows: np.ndarray
 
 
-def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], Words]:
-    """The counts of each row, and its words."""
+def _of_distinct(codes: np.ndarray, distinct: pa.Array, at: np.ndarray, row: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts that are taken from the distinct words."""
+    n = len(at) - 1
+    out = {"n_distinct": _distinct(row, codes, n)}
+    _, cuts, raw = distinct.buffers()
+    cuts = np.frombuffer(cuts, np.int64)[:len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+    letters = np.concatenate([[0], np.cumsum((LETTERS | (np.arange(256) >= 128))[np.frombuffer(raw or b"", np.uint8)], dtype=np.int64)])
+    bare = np.diff(letters[cuts]) == 0
+    out["n_bare"] = _per_row(bare[codes], at)
+    size = np.concatenate([np.diff(cuts)[codes], [0]])
+    longest = np.maximum.reduceat(size, np.minimum(at[:-1], len(size) - 1)) if n else np.zeros(0, np.int64)
+    out["longest_word"] = np.where(np.diff(at) > 0, longest, 0)
+    return out
+
+
+def counts(column: pa.Array, names: tuple[str, ...] = NAMES) -> tuple[dict[str, np.ndarray], Words]:
+    """The counts of each row, those of ``names`` at least, and its words."""
     data, rows = blocks.buffers(column)
     n = len(rows) - 1
     flat, at, place = blocks.placed(column, blocks.BLANK_WORDS)
@@ -76,10 +99,12 @@ def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], Words]:
     out = {"n_words": np.diff(at)}
     start = (data & 0xC0) != 0x80  # first bytes of code points
     out["word_chars"] = _per_row(start & blocks.BLANK_WORDS[data], rows)
-    out["n_chars_all"] = _per_row(start, rows)
+    if "n_chars_all" in names:
+        out["n_chars_all"] = _per_row(start, rows)
     for name, table in (("n_symbols", SYMBOLS), ("n_upper", UPPER), ("n_letters", LETTERS), ("n_digits", DIGITS), ("n_marks", MARKS),
                         ("n_sentence", SENTENCE), ("n_bang", BANG)):
-        out[name] = _per_row(table[data], rows)
+        if name in names:
+            out[name] = _per_row(table[data], rows)
     # Lines: pieces between \n and row edges.
     feed = data == 10
     line_row = np.repeat(np.arange(n), _per_row(feed, rows) + 1)
@@ -94,13 +119,6 @@ def counts(column: pa.Array) -> tuple[dict[str, np.ndarray], Words]:
     out["n_lines"] = np.bincount(line_row[some], minlength=n)
     out["n_dup_lines"] = out["n_lines"] - _distinct(line_row[some], line_codes[some], n)
     out["n_repeat_words"] = np.bincount(row[repeated(codes, row)], minlength=n)
-    out["n_distinct"] = _distinct(row, codes, n)
-    _, cuts, raw = distinct.buffers()
-    cuts = np.frombuffer(cuts, np.int64)[:len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
-    letters = np.concatenate([[0], np.cumsum((LETTERS | (np.arange(256) >= 128))[np.frombuffer(raw or b"", np.uint8)], dtype=np.int64)])
-    bare = np.diff(letters[cuts]) == 0
-    out["n_bare"] = _per_row(bare[codes], at)
-    size = np.concatenate([np.diff(cuts)[codes], [0]])
-    longest = np.maximum.reduceat(size, np.minimum(at[:-1], len(size) - 1)) if n else np.zeros(0, np.int64)
-    out["longest_word"] = np.where(out["n_words"] > 0, longest, 0)
+    if {"n_distinct", "n_bare", "longest_word"} & set(names):
+        out |= _of_distinct(codes, distinct, at, row)
     return out, Words(codes, distinct, at, np.append(np.searchsorted(place, begin), len(codes)), line_row)

@@ -7,19 +7,25 @@ and answer every slice with the counts of its n-grams. So neither the counts nor
 Texts fall in two halves by their hash, copies in the same one, and a text is judged by the counts of the other
 half: no text vouches for itself. Smoothing is hierarchical (Dirichlet), from the spelling of a word up:
 p_k = (count + ``PRIOR`` p_(k-1)) / (count of the context + ``PRIOR``).
+
+Words are counted first, then pairs, then triples (``ROUNDS``). An n-gram of which one half lacks the first or the last n - 1 words
+is not in that half: its count there is 0 and nobody there asks for it, so it is not sent. That leaves out no count that is used.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm import blocks, store
+from riskloom.llm import blocks, stats, store
 from riskloom.sources import shared
 
 ORDERS = 4
+ROUNDS = ((0, 1), (2,), (3,))  # the orders that are counted together
 PRIOR = 4.0
 KEY_BITS = 48
 HOME_BYTES = 8 << 20  # text for each home
@@ -35,8 +41,8 @@ def folded(words) -> np.ndarray:
     return blocks.hash_words(blocks.strings(blocks.LOWER[np.frombuffer(data or b"", np.uint8)[:cuts[-1]]], cuts))
 
 
-def sequence(words, lang: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of orders 0 to 3 of an edge and the words of each row; row and place in ``codes`` of each (-1: edge), and where each row's begin."""
+def sequence(words, lang: np.ndarray, orders: int = ORDERS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of orders 0 to ``orders`` - 1 of an edge and the words of each row; row and place in ``codes`` of each (-1: edge), and where each row's begin."""
     n = np.diff(words.rows)
     at = np.concatenate([[0], np.cumsum(n + 1)])
     row = np.repeat(np.arange(len(n)), n + 1)
@@ -45,7 +51,7 @@ def sequence(words, lang: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.
     w = np.full(at[-1], EDGE)
     w[place >= 0] = folded(words)[words.codes]
     before = []
-    for k in (1, 2):
+    for k in range(1, orders - 1):
         prior = np.full(len(w), EDGE)
         prior[k:] = w[:-k] if len(w) > k else prior[k:]
         near = np.arange(len(w)) - at[:-1][row] < k
@@ -60,22 +66,80 @@ def sequence(words, lang: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.
 
 
 def contexts(n: int, at: np.ndarray) -> np.ndarray:
-    """Position of each n-gram's context: the one that ends a word earlier, one order less; -1 before the edge of a row."""
+    """Position of each n-gram's context, the one that ends a word earlier, one order less; an edge stands before itself."""
     back = np.arange(n) - 1
-    back[at[:-1][at[:-1] < len(back)]] = -1
+    back[at[:-1]] += 1
     return back
 
 
-def halves(part, text: str, words, lang: np.ndarray):
-    """For each half: positions, sorted distinct keys, times, and for every order the number of each position's key."""
-    keys, row, place, at = sequence(words, lang)
+def numbered(keys: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the number of each key among them. Words repeat much, so only distinct ones are sorted."""
+    if r:
+        return np.unique(keys, return_inverse=True)
+    codes, distinct = blocks.coded(pa.array(keys))
+    distinct = distinct.to_numpy()
+    by = np.argsort(distinct)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return distinct[by], rank[codes]
+
+
+class Half(NamedTuple):
+    """The rows of a slice that lie in one half: positions, the context of each (as a place in ``mine``), by order the times of each one's
+    n-gram in the other half, and distinct keys and times of the n-grams that the next round asks for."""
+
+    f: int
+    mine: np.ndarray
+    back: np.ndarray
+    known: list[np.ndarray]
+    distinct: np.ndarray
+    times: np.ndarray
+
+
+def halves(part, text: str, words, lang: np.ndarray, folder: str, done: int) -> tuple[np.ndarray, np.ndarray, list[Half]]:
+    """Row and place of each position, and the halves of a slice after so many rounds."""
+    asks = ROUNDS[done] if done < len(ROUNDS) else ()
+    keys, row, place, at = sequence(words, lang, max(asks, default=ORDERS - 1) + 1)
     data, rows = blocks.buffers(part.column(text))
     half = (blocks.hash_words_long(data, rows) & np.uint64(1)).astype(np.int64)[row]
+    files = Answers(folder, name(part, text, lang))
+    nth, made = np.zeros(len(row), np.int64), []
     for f in (0, 1):
         mine = np.flatnonzero(half == f)
-        if len(mine):
-            distinct, of, times = np.unique(np.concatenate([k[mine] for k in keys]), return_inverse=True, return_counts=True)
-            yield f, mine, distinct, times, of.reshape(ORDERS, len(mine)), row, place, at
+        if not len(mine):
+            continue
+        nth[mine] = np.arange(len(mine))
+        back = nth[contexts(len(row), at)[mine]]
+        known, live = [], np.arange(len(mine))
+        for r in range(done):
+            distinct, of = numbered(np.concatenate([keys[k][mine[live]] for k in ROUNDS[r]]), r)
+            times = files.read(r, f, len(distinct))
+            for one in of.reshape(len(ROUNDS[r]), len(live)):
+                known.append(np.zeros(len(mine)))
+                known[-1][live] = times[one]
+            live = np.flatnonzero((known[-1] > 0) & (known[-1][back] > 0))
+        distinct, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys[k][mine[live]] for k in asks)]), return_counts=True)
+        made.append(Half(f, mine, back, known, distinct, times))
+    return row, place, made
+
+
+class Answers:
+    """The counts that a slice asked for, round by round."""
+
+    def __init__(self, folder: str, slice_: int):
+        self.folder, self.slice, self.tables = folder, slice_, {}
+
+    def read(self, r: int, f: int, n: int) -> np.ndarray:
+        if not n:
+            return np.zeros(0)
+        if r not in self.tables:
+            fs, path = store.at(self.folder)
+            with fs.open_input_file(f"{path}/{self.slice}.{r}.counts") as file:
+                self.tables[r] = pa.ipc.open_file(file).read_all()
+        got = [unpacked(t, m) for h, m, t in zip(*(self.tables[r].column(c).to_pylist() for c in ("half", "n", "times"))) if h == f]
+        if sum(map(len, got)) != n:
+            raise ValueError("the counts of a slice are not those of its words")
+        return np.concatenate(got).astype(np.float64)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -103,24 +167,36 @@ def homes(df: DataFrame, text: str) -> int:
     return max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // HOME_BYTES)
 
 
+def cut(column: pa.Array) -> stats.Words:
+    """The words of a column, without their lines."""
+    flat, rows = blocks.words(column, blocks.BLANK_WORDS)
+    codes, distinct = blocks.coded(flat)
+    return stats.Words(codes, distinct, rows, None, None)
+
+
 def count(df: DataFrame, lang: str, text: str) -> str:
     """Count n-grams and write the counts that each slice of ``df`` asks for; their folder."""
     folder = shared.scratch(df.sparkSession, "words")
     n_homes = homes(df, text)
+    for r in range(len(ROUNDS)):
+        ask(df, lang, text, folder, n_homes, r)
+        shared.forget(df.sparkSession)
+    return folder
 
-    def send(batches):
-        from riskloom.llm import stats
 
+def ask(df: DataFrame, lang: str, text: str, folder: str, n_homes: int, r: int) -> None:
+    """One round: count the n-grams of its orders that may be in both halves."""
+    def send(batches):
         for part in blocks.slices(batches, text):
             langs = np.array(part.column(lang).to_pylist(), object)
             slice_ = name(part, text, langs)
-            _, words = stats.counts(part.column(text))
-            for f, _, distinct, times, *_ in halves(part, text, words, langs):
+            for half in halves(part, text, cut(part.column(text)), langs, folder, r)[2]:
+                distinct, times = half.distinct, half.times.astype(np.uint64)
                 home = (distinct * np.uint64(n_homes) >> np.uint64(KEY_BITS)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(home, prepend=-1))
-                rows = [(int(home[a]), a, b) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(home)])]
+                first = np.flatnonzero(np.diff(home, prepend=-1))
+                rows = [(int(home[a]), a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(home)])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int32()), pa.array([slice_] * len(rows), pa.int64()), pa.array([f] * len(rows), pa.int32()),
+                    pa.array([h for h, _, _ in rows], pa.int32()), pa.array([slice_] * len(rows), pa.int64()), pa.array([half.f] * len(rows), pa.int32()),
                     pa.array([b - a for _, a, b in rows], pa.int32()),
                     pa.array([packed(np.diff(distinct[a:b], prepend=np.uint64(0))) for _, a, b in rows], pa.binary()),
                     pa.array([packed(times[a:b]) for _, a, b in rows], pa.binary())], names=["home", "slice", "half", "n", "keys", "times"])
@@ -147,37 +223,23 @@ def count(df: DataFrame, lang: str, text: str) -> str:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_file(sink, table.schema) as w:
             w.write_table(table)
-        store.put(folder, f"{key[0].as_py()}.counts", [sink.getvalue()])
+        store.put(folder, f"{key[0].as_py()}.{r}.counts", [sink.getvalue()])
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64())})
 
     sent = df.mapInArrow(send, "home int, slice long, half int, n int, keys binary, times binary")
     made = sent.groupBy("home").applyInArrow(answer, "slice long, half int, home int, n int, times binary")
     made.groupBy("slice").applyInArrow(file, "slice long").write.format("noop").mode("overwrite").save()
-    return folder
 
 
 def score(folder: str, part, text: str, lang: np.ndarray, words, spelled: np.ndarray) -> np.ndarray:
     """Mean negative log probability of the words of each row; NaN without words. ``spelled``: log probability of each word's spelling."""
-    fs, path = store.at(folder)
     total = np.zeros(len(lang))
-    table = None
-    for f, mine, distinct, _, of, row, place, at in halves(part, text, words, lang):
-        if table is None:
-            with fs.open_input_file(f"{path}/{name(part, text, lang)}.counts") as file:
-                table = pa.ipc.open_file(file).read_all()
-        got = [unpacked(t, n) for h, n, t in zip(*(table.column(c).to_pylist() for c in ("half", "n", "times"))) if h == f]
-        times = np.concatenate(got).astype(np.float64)
-        if len(times) != len(distinct):
-            raise ValueError("the counts of a slice are not those of its words")
-        nth = np.full(len(row), -1)
-        nth[mine] = np.arange(len(mine))
-        back = contexts(len(row), at)[mine]
-        back = np.where(back >= 0, nth[back], -1)
-        real = np.flatnonzero(place[mine] >= 0)  # an edge comes before every word of its row
-        p = np.exp(spelled[place[mine][real]])
+    row, place, made = halves(part, text, words, lang, folder, len(ROUNDS))
+    for half in made:
+        real = np.flatnonzero(place[half.mine] >= 0)  # an edge comes before every word of its row
+        p = np.exp(spelled[place[half.mine][real]])
         for k in range(1, ORDERS):
-            context = times[of[k - 1, back[real]]]
-            p = (times[of[k, real]] + PRIOR * p) / (context + PRIOR)
-        total += np.bincount(row[mine][real], -np.log(np.maximum(p, 1e-300)), len(lang))
+            p = (half.known[k][real] + PRIOR * p) / (half.known[k - 1][half.back[real]] + PRIOR)
+        total += np.bincount(row[half.mine][real], -np.log(np.maximum(p, 1e-300)), len(lang))
     n = np.diff(words.rows)
     return np.where(n > 0, total / np.maximum(n, 1), np.nan)

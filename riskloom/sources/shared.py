@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,6 +95,15 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             delete(spark, name)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have the shuffle files of frames that are gone deleted now.
+
+    Spark's cleaner does so once the driver's JVM has collected its garbage, which a driver with little to do seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -309,3 +309,72 @@ def test_word_counts_equal_brute_force(spark):
                 p = (seen(w[e - n + 1:e + 1]) + wordmodel.PRIOR * p) / (seen(w[e - n + 1:e]) + wordmodel.PRIOR)
             total -= math.log(p)
         assert abs(got[k] - total / (len(w) - 3)) < 1e-9
+
+
+def test_only_n_grams_that_both_halves_may_hold_are_sent(spark):
+    """What is sent equals a brute-force count, and so do the scores, over several slices, languages, copies and rows without words."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm import blocks, stats, wordmodel
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 40))) for _ in range(40)] + ["", " ", None, "a b c"] * 2
+    langs = ["x" if k % 3 else "y" for k in range(len(texts))]
+    data, rows = blocks.buffers(pa.array(texts))
+    half = (blocks.hash_words_long(data, rows) & np.uint64(1)).tolist()
+    lines = [["^", "^", "^", *(t or "").split()] for t in texts]
+    grams = lambda w, n: [tuple(w[e - n + 1:e + 1]) for e in range(2, len(w))]
+    seen = {}
+    for w, h, lang in zip(lines, half, langs):
+        for n in range(4):
+            for g in grams(w, n):
+                seen[h, lang, g] = seen.get((h, lang, g), 0) + 1
+    both = lambda lang, g: all((h, lang, g) in seen for h in (0, 1))
+    want = sum(len(g) < 2 or both(lang, g[1:]) and both(lang, g[:-1]) for _, lang, g in seen)
+    assert want < 0.8 * len(seen)
+
+    frame = spark.createDataFrame(list(zip(texts, langs)), "text string, lang string")
+    folder = wordmodel.count(frame.coalesce(1), "lang", "text")
+    files = store.names(folder, ".counts")
+    fs, path = store.at(folder)
+    sent = 0
+    for name, _ in files:
+        with fs.open_input_file(f"{path}/{name}") as file:
+            sent += sum(pa.ipc.open_file(file).read_all().column("n").to_pylist())
+    assert sent == want and len(files) == len(wordmodel.ROUNDS)
+
+    cut = [slice(0, 16), slice(16, 32), slice(32, 48)]  # the same rows in three partitions
+    folder = wordmodel.count(spark.createDataFrame(spark.sparkContext.parallelize(list(zip(texts, langs)), 3), "text string, lang string"), "lang", "text")
+    for c in cut:
+        part = pa.RecordBatch.from_arrays([pa.array(texts[c], pa.string()), pa.array(langs[c])], names=["text", "lang"])
+        _, words = stats.counts(part.column("text"))
+        got = wordmodel.score(folder, part, "text", np.array(langs[c], object), words, np.full(len(words.codes), math.log(0.01)))
+        for one, w, h, lang in zip(got, lines[c], half[c], langs[c]):
+            total = 0.0
+            for e in range(3, len(w)):
+                p = 0.01
+                for n in (1, 2, 3):
+                    p = (seen.get((1 - h, lang, tuple(w[e - n + 1:e + 1])), 0) + wordmodel.PRIOR * p) / (seen.get((1 - h, lang, tuple(w[e - n + 1:e])), 0) + wordmodel.PRIOR)
+                total -= math.log(p)
+            assert math.isnan(one) if len(w) == 3 else abs(one - total / (len(w) - 3)) < 1e-9
+
+
+def test_repeated_words_equal_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    from riskloom.llm import stats
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 60))) for _ in range(50)] + ["", None, "a b a b a b", "a a a a", "a b"]
+    got, _ = stats.counts(pa.array(texts), stats.NAMES[:5])
+    whole, _ = stats.counts(pa.array(texts))
+    assert all(np.array_equal(got[c], whole[c]) for c in stats.NAMES[:5])
+    for t, n in zip(texts, got["n_repeat_words"]):
+        w = (t or "").split()
+        windows = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
+        hit = {k + i for k, x in enumerate(windows) if windows.count(x) > 1 for i in range(3)}
+        assert n == len(hit)
