@@ -178,9 +178,9 @@ def count(df: DataFrame, lang: str, text: str) -> str:
     """Count n-grams and write the counts that each slice of ``df`` asks for; their folder."""
     folder = shared.scratch(df.sparkSession, "words")
     n_homes = homes(df, text)
-    for r in range(len(ROUNDS)):
-        ask(df, lang, text, folder, n_homes, r)
-        shared.forget(df.sparkSession)
+    with shared.passing(df.sparkSession):
+        for r in range(len(ROUNDS)):
+            ask(df, lang, text, folder, n_homes, r)
     return folder
 
 

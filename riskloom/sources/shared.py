@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -95,13 +94,21 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             delete(spark, name)
 
 
-def forget(spark: SparkSession) -> None:
-    """Have the shuffle files of frames that are gone deleted now.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Spark's cleaner does so once the driver's JVM has collected its garbage, which a driver with little to do seldom does.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of a written result as soon as it is written, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:
